@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, merkle, packing, suffixes
+from . import bpe, merkle, packing, suffixes, windows
 from .common import read_table
 
 BPE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -23,6 +23,10 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.digests(merkle.edited_fingerprints(read_table(spark, sf_dir, "documents")))
 
 
+def op6_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.digests(windows.remove_repeats(read_table(spark, sf_dir, "documents"), width=50))
+
+
 def op8_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.digests(suffixes.remove_repeats(read_table(spark, sf_dir, "documents"), width=100))
 
@@ -32,7 +36,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_bpe, op4_fingerprints, op8_suffixes, op10_packing)}
+    return {f.__name__: f for f in (op2_bpe, op4_fingerprints, op6_windows, op8_suffixes, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
