@@ -86,6 +86,34 @@ def bounded_sample(df: DataFrame, key: str, limit: int, extra: list[str]) -> Dat
     return df.where(F.pmod(F.xxhash64(F.col(key), F.lit(17)), F.lit(1_000_003)) < int(share * 1_000_003)).select(key, *extra)
 
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, sample: int, id_col: str, text_col: str) -> DataFrame:
+    """text, label, part, turn of labelled documents, at most about ``sample`` // 2 of either label.
+
+    The sample is taken from the labels alone, so what is broadcast to the documents is bounded by it.
+    """
+    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).cast("int").alias("label"))
+    few = [bounded_sample(known.where(w), id_col, sample // 2, ["label"]) for w in ("label = 1", "label <> 1")]
+    key = few[0].union(few[1]).select(F.col(id_col).cast("long").alias("label_id"), (F.col("label") == 1).cast("int").alias("label"))
+    text = docs.select(F.col(id_col).cast("long").alias("label_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    part = F.pmod(F.xxhash64(F.col("label_id"), F.lit(29)), F.lit(5)).cast("int").alias("part")
+    return text.join(F.broadcast(key), "label_id").select("text", "label", part, F.xxhash64(F.col("label_id"), F.lit(31)).alias("turn"))
+
+
+def platt(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Slope (positive) and shift of the log odds of label 1 over a margin x, both labels weighing alike."""
+    unit = max(1e-9, float(np.std(x)))
+    x = np.stack([x / unit, np.ones(len(x))], axis=1)
+    t = np.where(y == 1, (y.sum() + 1) / (y.sum() + 2), 1 / ((y == 0).sum() + 2))
+    c = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (y == 0).sum())) * len(y)
+    b = np.array([1.0, 0.0])
+    for _ in range(50):
+        q = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
+        g = x.T @ (c * (q - t)) + 1e-2 * (b - [1.0, 0.0])
+        h = (x * (c * q * (1 - q))[:, None]).T @ x + 1e-2 * np.eye(2)
+        b = b - np.clip(np.linalg.solve(h, g), -2, 2)
+    return float(max(b[0], 0.05)) / unit, float(b[1])
+
+
 # ---------------------------------------------------------------- hashing in numpy
 
 

@@ -6,14 +6,22 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, merkle, packing, suffixes, windows
-from .common import read_table
+from . import bpe, langid, merkle, packing, quality, suffixes, toxicity, windows
+from .common import fold, read_table
 
 BPE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PACKING_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    held_out = fold(F.col("doc_id"), 4) == 2
+    model = langid.train(docs.where(~held_out), key="doc_id", text_col="text", label_col="lang")
+    return langid.identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = bpe.encode(read_table(spark, sf_dir, "documents"), BPE_RANKS, public_tokenizers.PATTERN)
     return bpe.digests(bpe.decode(encoded, BPE_RANKS, public_tokenizers.PATTERN))
@@ -27,16 +35,32 @@ def op6_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.digests(windows.remove_repeats(read_table(spark, sf_dir, "documents"), width=50))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (read_table(spark, sf_dir, t) for t in ("documents", "labels"))
+    held_out = fold(F.col("doc_id"), 5) == 0
+    model = quality.train(docs, labels.where(~held_out))
+    scored = quality.score(docs.select("doc_id", "text"), model, score_col="score")
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op8_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.digests(suffixes.remove_repeats(read_table(spark, sf_dir, "documents"), width=100))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (read_table(spark, sf_dir, t) for t in ("documents", "labels"))
+    held_out = fold(F.col("doc_id"), 5) == 0
+    model = toxicity.train(docs, labels.where(~held_out))
+    scored = toxicity.score(docs.select("doc_id", "text"), model, score_col="score")
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digests(packing.pack(read_table(spark, sf_dir, "documents"), PACKING_TOKENIZER))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_bpe, op4_fingerprints, op6_windows, op8_suffixes, op10_packing)}
+    return {f.__name__: f for f in (op1_langid, op2_bpe, op4_fingerprints, op6_windows, op7_quality, op8_suffixes, op9_toxicity, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
