@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, merkle, packing, quality, suffixes, toxicity, windows
+from . import bpe, jaccard, langid, merkle, packing, quality, suffixes, toxicity, windows
 from .common import fold, read_table
 
 BPE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -31,6 +31,10 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.digests(merkle.edited_fingerprints(read_table(spark, sf_dir, "documents")))
 
 
+def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.digests(jaccard.join(read_table(spark, sf_dir, "documents"), words=3, threshold=(90, 100)))
+
+
 def op6_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.digests(windows.remove_repeats(read_table(spark, sf_dir, "documents"), width=50))
 
@@ -60,7 +64,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_langid, op2_bpe, op4_fingerprints, op6_windows, op7_quality, op8_suffixes, op9_toxicity, op10_packing)}
+    return {f.__name__: f for f in (op1_langid, op2_bpe, op4_fingerprints, op5_jaccard, op6_windows, op7_quality, op8_suffixes, op9_toxicity, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
