@@ -8,13 +8,31 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, langid, merkle, packing, quality, suffixes, toxicity, windows
+from . import bpe, jaccard, langid, merkle, neighbours, packing, quality, suffixes, toxicity, windows
 from .common import fold, read_table
 
 BPE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PACKING_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
+#: All pairs of a label, then the closure of the links.
+OP3_SQL = """
+WITH RECURSIVE ok AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND label IS NOT NULL
+    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS u, b.vec_id AS v FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.98
+), reach AS (
+  SELECT vec_id AS u, vec_id AS v FROM embeddings
+  UNION
+  SELECT r.u, l.v FROM reach r JOIN links l ON r.v = l.u
+), comp AS (SELECT u AS vec_id, min(v) AS component_id FROM reach GROUP BY u)
+SELECT c.vec_id, (SELECT count(*) FROM links l WHERE l.u = c.vec_id) AS n_links, c.component_id, c.vec_id = c.component_id AS kept FROM comp c
+"""
+
+
 def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     held_out = fold(F.col("doc_id"), 4) == 2
@@ -27,6 +45,10 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.decode(encoded, BPE_RANKS, public_tokenizers.PATTERN))
 
 
+def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.near_duplicates(read_table(spark, sf_dir, "embeddings"), threshold=0.98).rows
+
+
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.digests(merkle.edited_fingerprints(read_table(spark, sf_dir, "documents")))
 
@@ -64,8 +86,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_langid, op2_bpe, op4_fingerprints, op5_jaccard, op6_windows, op7_quality, op8_suffixes, op9_toxicity, op10_packing)}
+    return {f.__name__: f for f in (op1_langid, op2_bpe, op3_neighbours, op4_fingerprints, op5_jaccard, op6_windows, op7_quality, op8_suffixes, op9_toxicity, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_neighbours": OP3_SQL}
