@@ -97,19 +97,19 @@ def _summaries(rows: DataFrame, words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
-        names = ["doc", "n", "cls", "part", "sketch"]
+        names = ["doc", "n", "cls", "text_hash", "part", "sketch"]
         for batch in batches:
             for s, e, h, owner in _in_slices(batch, words):
                 n = np.bincount(owner, minlength=e - s)
                 np.add.at(sketch, (h >> U64(64 - SKETCH_BITS)).astype(np.int64), 1)
                 cls = pa.array(class_keys(h, n), mask=n == 0)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(s, e - s), pa.array(n, pa.int64()), cls, pa.nulls(e - s, pa.int32()), pa.nulls(e - s, pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(s, e - s), pa.array(n, pa.int64()), cls, batch.column(2).slice(s, e - s), pa.nulls(e - s, pa.int32()), pa.nulls(e - s, pa.binary())], names)
         parts = range(1 << (SKETCH_BITS - SLICE_BITS))
         blobs = [zlib.compress(sketch[p << SLICE_BITS : (p + 1) << SLICE_BITS].tobytes(), 1) for p in parts]
         k = len(blobs)
-        yield pa.RecordBatch.from_arrays([*[pa.nulls(k, pa.int64())] * 3, pa.array(list(parts), pa.int32()), pa.array(blobs, pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([*[pa.nulls(k, pa.int64())] * 4, pa.array(list(parts), pa.int32()), pa.array(blobs, pa.binary())], names)
 
-    return rows.select("doc", "text").mapInArrow(run, "doc long, n long, cls long, part int, sketch binary")
+    return rows.select("doc", "text", F.xxhash64("text")).mapInArrow(run, "doc long, n long, cls long, text_hash long, part int, sketch binary")
 
 
 def _sketch(summaries: DataFrame) -> np.ndarray:
@@ -201,11 +201,11 @@ def _texts(rows: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
 def join(
     docs: DataFrame, *, words: int = 3, threshold: tuple[int, int] = (90, 100), id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
-    """doc, doc_id, n_shingles, component_id, component: components of documents whose shingle sets are similar.
+    """doc, doc_id, text_hash, n_shingles, component_id, component: components of documents whose shingle sets are similar.
 
     Two documents link when intersection / union >= threshold (a fraction of whole numbers). doc_id
     and component_id are ids; component_id is the smallest doc_id reachable by links (null if only
-    documents without id are). doc and component are the rows' unique keys. Texts without words,
+    documents without id are). doc and component are the rows' unique keys, text_hash is xxhash64 of the text. Texts without words,
     null ones too, have no shingle and link with nothing. Rows that repeat an id, and rows without
     id, are documents of their own. An empty table gives an empty one; other columns are not read.
     """
@@ -214,7 +214,7 @@ def join(
     spark = docs.sparkSession
     summaries = write_table(_summaries(rows, words), "summaries")
     sketch = spark.sparkContext.broadcast(_sketch(summaries))
-    known = summaries.where("part IS NULL").select("doc", "n", "cls")
+    known = summaries.where("part IS NULL").select("doc", "n", "cls", "text_hash")
     nodes = write_table(known.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc").alias("rep")), "nodes")
 
     prefixes = _prefixes(rows, sketch, words, num, den)
@@ -252,14 +252,14 @@ def join(
     comp = components(links)
 
     member = known.join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("component", "cls"))
-    member = write_table(member.select("doc", F.col("n").alias("n_shingles"), "comp"), "members")
+    member = write_table(member.select("doc", "text_hash", F.col("n").alias("n_shingles"), "comp"), "members")
     low = member.where("comp IS NOT NULL").groupBy("comp").agg(F.min("doc").alias("low"))
-    out = member.join(low, "comp", "left").select("doc", "n_shingles", F.coalesce("low", "doc").alias("component"))
+    out = member.join(low, "comp", "left").select("doc", "text_hash", "n_shingles", F.coalesce("low", "doc").alias("component"))
     if plain:
-        return out.select("doc", F.col("doc").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), "component")
+        return out.select("doc", F.col("doc").alias("doc_id"), "text_hash", "n_shingles", F.col("component").alias("component_id"), "component")
     names = rows.select("doc", "doc_id")
     named = out.join(names, "doc").join(names.select(F.col("doc").alias("component"), F.col("doc_id").alias("component_id")), "component")
-    return named.select("doc", "doc_id", "n_shingles", "component_id", "component")
+    return named.select("doc", "doc_id", "text_hash", "n_shingles", "component_id", "component")
 
 
 def digests(joined: DataFrame) -> DataFrame:

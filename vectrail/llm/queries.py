@@ -86,8 +86,12 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_langid, op2_bpe, op3_neighbours, op4_fingerprints, op5_jaccard, op6_windows, op7_quality, op8_suffixes, op9_toxicity, op10_packing)}
+    import corpus_pipeline
+
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_langid, op2_bpe, op3_neighbours, op4_fingerprints, op5_jaccard, op6_windows, op7_quality, op8_suffixes, op9_toxicity, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_neighbours": OP3_SQL}
+    import corpus_pipeline
+
+    return {"op3_neighbours": OP3_SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

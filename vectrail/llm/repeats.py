@@ -30,19 +30,21 @@ BATCH_BYTES, SLICE_BYTES = 24 << 20, 384 << 10
 MARKS = "doc long, lo long, hi long, anchor long"
 
 
-def unique_rows(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, bool]:
+def unique_rows(docs: DataFrame, id_col: str, text_col: str, *, carry: bool = False) -> tuple[DataFrame, bool]:
     """(doc, doc_id, text) with a unique doc that sorts as doc_id does.
 
     doc is doc_id itself if ids are unique and not null. Otherwise rows are numbered in the order
-    (doc_id, text hash), null ids last, so that each row is a document of its own.
+    (doc_id, text hash), null ids last, so that each row is a document of its own. With carry, all
+    columns follow in the struct ``row``.
     """
-    t = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    more = ["row"] if carry else []
+    t = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *([F.struct(*docs.columns).alias("row")] if carry else []))
     bad = t.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 OR doc_id IS NULL").limit(1).count()
     if not bad:
-        return t.select(F.col("doc_id").alias("doc"), "doc_id", "text"), True
+        return t.select(F.col("doc_id").alias("doc"), "doc_id", "text", *more), True
     order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text"), F.col("text")]
     ranged = t.repartitionByRange(*order[:2]).sortWithinPartitions(*order)
-    return write_table(ranged.select(F.monotonically_increasing_id().alias("doc"), "doc_id", "text"), "rows"), False
+    return write_table(ranged.select(F.monotonically_increasing_id().alias("doc"), "doc_id", "text", *more), "rows"), False
 
 
 def blocks(values: np.ndarray, counts: np.ndarray, width: int, gram: int):
@@ -117,8 +119,8 @@ def _columns(blob: list[bytes], dtypes: list[str]) -> list[np.ndarray]:
 BLOCK_TYPES = ["<u8", "<u8", "<i8", "<u4", "<u2"]  # anchor, block, doc, lo, hi - lo
 
 
-def candidates(rows: DataFrame, symbols: Symbols, width: int, gram: int, *, own_repeats: bool) -> DataFrame:
-    """Marks of all documents: doc, lo, hi, anchor.
+def candidates(rows: DataFrame, symbols: Symbols, width: int, gram: int, *, own_repeats: bool) -> tuple[DataFrame, int]:
+    """Marks of all documents: doc, lo, hi, anchor; and the number of buckets, which grows with the input.
 
     anchor null: the windows that start in [lo, hi] all repeat. Otherwise the windows of that
     anchor in [lo, hi] are to be compared one by one with those of equal anchor.
@@ -204,7 +206,7 @@ def candidates(rows: DataFrame, symbols: Symbols, width: int, gram: int, *, own_
         return pd.DataFrame({"doc": np.concatenate(docs), "lo": np.concatenate(los), "hi": np.concatenate(his), "anchor": anchor})
 
     sent = rows.select("doc", "text").mapInArrow(scan, "bucket int, doc long, blob binary")
-    return write_table(sent.groupBy("bucket").applyInPandas(judge, MARKS), "marks")
+    return write_table(sent.groupBy("bucket").applyInPandas(judge, MARKS), "marks"), buckets
 
 
 def by_document(marks: DataFrame) -> DataFrame:

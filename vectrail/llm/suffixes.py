@@ -16,6 +16,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import BYTE_VALUE, U64, mix64, prefix_hash, range_hash, window_hash
 from .repeats import by_document, candidates, merged, unique_rows
@@ -161,7 +162,7 @@ def _intervals(marks) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     return lo, hi, anchor.fill_null(0).to_numpy(zero_copy_only=False), opened
 
 
-def remove_repeats(docs: DataFrame, *, width: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, *, width: int = 100, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
     """Remove every byte covered by a ``width``-byte string that also starts earlier.
 
     Earlier means a smaller doc_id, or the same document and an earlier start; overlaps count, and
@@ -169,15 +170,20 @@ def remove_repeats(docs: DataFrame, *, width: int = 100, id_col: str = "doc_id",
     maximal removed runs), kept (binary). Null text counts as empty. Rows that repeat an id, and rows
     without id (which come last), are documents of their own, ordered by text hash. Texts shorter than
     the width keep all bytes. An empty table gives an empty one; other columns are not read.
+
+    With carry, the result is instead all columns of docs followed by spans and kept, in these places,
+    under names c0, c1, ... (docs may have columns of any names).
     """
-    rows, _ = unique_rows(docs, id_col, text_col)
-    return _apply(rows, width).select("doc_id", "n_bytes", "spans", "kept")
+    rows, _ = unique_rows(docs, id_col, text_col, carry=carry)
+    done = _apply(rows, width, carry)
+    return done if carry else done.select("doc_id", "n_bytes", "spans", "kept")
 
 
-def _apply(rows: DataFrame, width: int) -> DataFrame:
+def _apply(rows: DataFrame, width: int, carry: bool) -> DataFrame:
     gram = min(GRAM, width)
-    marks = candidates(rows, byte_symbols, width, gram, own_repeats=True)
+    marks, buckets = candidates(rows, byte_symbols, width, gram, own_repeats=True)
     opened = marks.where("anchor IS NOT NULL")
+    groups = 1 << 16
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -185,7 +191,7 @@ def _apply(rows: DataFrame, width: int) -> DataFrame:
             for doc, text, marks in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2), strict=True):
                 lo, hi, anchor, _ = _intervals(marks.values)
                 for x, y, a in zip(lo.tolist(), hi.tolist(), anchor.tolist(), strict=True):
-                    out["bucket"].append((a >> 40) & 0xFFFF), out["anchor"].append(a), out["doc"].append(doc)
+                    out["bucket"].append((a >> 40) & (groups - 1)), out["anchor"].append(a), out["doc"].append(doc)
                     out["lo"].append(x), out["hi"].append(y), out["context"].append(text[x : y + width])
             kinds = {"bucket": pa.int32(), "context": pa.binary()}
             yield pa.RecordBatch.from_arrays([pa.array(v, kinds.get(k, pa.int64())) for k, v in out.items()], list(out))
@@ -215,26 +221,30 @@ def _apply(rows: DataFrame, width: int) -> DataFrame:
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         for batch in batches:
             sizes, spans, kept = [], [], []
-            for text, full, more in zip(batch.column(2).cast(pa.binary()).to_pylist(), batch.column(3), batch.column(4), strict=True):
-                lo, hi = np.zeros(0, np.int64), np.zeros(0, np.int64)
-                for marks in (full, more):
-                    if marks.is_valid:
-                        lo = np.append(lo, marks.values.field("lo").to_numpy(zero_copy_only=False))
-                        hi = np.append(hi, marks.values.field("hi").to_numpy(zero_copy_only=False))
+            for text, marks in zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2), strict=True):
+                lo = hi = np.zeros(0, np.int64)
+                if marks.is_valid:
+                    lo, hi = (marks.values.field(k).to_numpy(zero_copy_only=False) for k in ("lo", "hi"))
                 x, y = merged(lo, hi + width)
                 sizes.append(len(text))
                 spans.append([{"start": a, "end": b} for a, b in zip(x.tolist(), y.tolist(), strict=True)])
                 edges = [0, *np.stack([x, y], axis=1).ravel().tolist(), len(text)]
                 kept.append(b"".join(text[edges[k] : edges[k + 1]] for k in range(0, len(edges), 2)) if len(x) else text)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(spans, span), pa.array(kept, pa.binary())], ["doc", "doc_id", "n_bytes", "spans", "kept"])
+            own = list(batch.column(3).flatten()) if carry else [batch.column(0), pa.array(sizes, pa.int64())]
+            out = [*own, pa.array(spans, span), pa.array(kept, pa.binary())]
+            yield pa.RecordBatch.from_arrays(out, [f"c{i}" for i in range(len(out))])
 
     asked = by_document(opened)
     sent = rows.select("doc", "text").join(asked, "doc").mapInArrow(contexts, "bucket int, anchor long, doc long, lo long, hi long, context binary")
     single = sent.groupBy("bucket").applyInPandas(compare, "doc long, lo long, hi long")
     both = marks.where("anchor IS NULL").select("doc", "lo", "hi", F.lit(True).alias("whole")).union(single.select("doc", "lo", "hi", F.lit(False).alias("whole")))
-    listed = both.groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("full"))
-    joined = rows.join(listed, "doc", "left").select("doc", "doc_id", "text", "full", F.lit(None).cast("array<struct<lo:long,hi:long>>").alias("more"))
-    return joined.mapInArrow(cut, "doc long, doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
+    listed = both.groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("removed"))
+    joined = rows.join(listed, "doc", "left").select("doc_id", "text", "removed", *(["row"] if carry else []))
+    fields = rows.schema["row"].dataType.fields if carry else [T.StructField("doc_id", T.LongType()), T.StructField("n_bytes", T.LongType())]
+    added = T.StructType.fromDDL("spans array<struct<start:bigint,end:bigint>>, kept binary").fields
+    plain = [T.StructField(f"c{i}", f.dataType) for i, f in enumerate([*fields, *added])]
+    done = joined.mapInArrow(cut, T.StructType(plain))
+    return done if carry else done.toDF(*[f.name for f in [*fields, *added]])
 
 
 def anchor_places(raw, begin, sizes, value, width, gram) -> np.ndarray:

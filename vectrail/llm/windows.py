@@ -46,7 +46,7 @@ def remove_repeats(docs: DataFrame, *, width: int = 50, id_col: str = "doc_id",
     gives an empty one; other columns are not read.
     """
     rows, _ = unique_rows(docs, id_col, text_col)
-    marks = candidates(rows, word_symbols, width, min(GRAM, width), own_repeats=False)
+    marks, _ = candidates(rows, word_symbols, width, min(GRAM, width), own_repeats=False)
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
