@@ -183,7 +183,7 @@ def _apply(rows: DataFrame, width: int, carry: bool) -> DataFrame:
     gram = min(GRAM, width)
     marks, buckets = candidates(rows, byte_symbols, width, gram, own_repeats=True)
     opened = marks.where("anchor IS NOT NULL")
-    groups = 1 << 16
+    groups = max(128, buckets >> 1)  # few enough that a group has work for its numpy calls
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
