@@ -18,12 +18,11 @@ BLOCK = 1024
 DIGITS = 9
 
 
-def pack(df: DataFrame, columns: list[str], side: str) -> DataFrame:
-    """One row a block: arrays of the columns (the first is the id, which deals rows to blocks)."""
-    n = max(1, -(-df.count() // BLOCK))
+def pack(df: DataFrame, columns: list[str], side: str, n: int, on: list[str]) -> DataFrame:
+    """One row a block (and key ``on``): arrays of the columns; the first is the id, which deals rows to n blocks."""
     block = F.pmod(F.xxhash64(columns[0]), F.lit(n)).cast("int")
     fields = [F.collect_list(c).alias(f"{side}_{c}") for c in columns]
-    return df.select(block.alias("block"), *columns).groupBy("block").agg(*fields).withColumnRenamed("block", f"{side}_block")
+    return df.select(*on, block.alias("block"), *columns).groupBy(*on, "block").agg(*fields).withColumnRenamed("block", f"{side}_block")
 
 
 def _matrix(column: pa.ListArray) -> np.ndarray:
@@ -33,17 +32,28 @@ def _matrix(column: pa.ListArray) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, width) if flat is not None else np.zeros((0, 0))
 
 
-def cosine_blocks(queries: DataFrame, items: DataFrame, kernel: Callable, schema: str, *, query_columns: list[str], item_columns: list[str], triangular: bool = False) -> DataFrame:
-    """Apply kernel(scores, q, c) to each pair of blocks; q and c map columns to arrays, scores are cosines rounded to 9 digits.
+def cosine_blocks(
+    queries: DataFrame, items: DataFrame, kernel: Callable, schema: str, *, query_columns: list[str], item_columns: list[str], triangular: bool = False, on: list[str] | None = None,
+) -> DataFrame:
+    """Apply kernel(scores, q, c, same) to each pair of blocks; q and c map columns to arrays, scores are cosines rounded to 9 digits.
 
     The vector column is the last of each list. Zero vectors must have been filtered out. With
-    triangular (both sides the same table) only block pairs in order are visited.
+    triangular (both sides the same table) only block pairs in order are visited. Only blocks of
+    equal ``on`` columns meet; these are named last in ``schema``.
     """
-    left, right = pack(queries, query_columns, "q"), pack(items, item_columns, "c")
-    pairs = left.join(right, F.col("q_block") <= F.col("c_block")) if triangular else left.crossJoin(right)
-    pairs = pairs.repartition(F.col("q_block"), F.col("c_block"))
+    on = on or []
+    size = max(1, -(-items.count() // BLOCK))
+    left = pack(queries, query_columns, "q", size if triangular or on else max(1, -(-queries.count() // BLOCK)), on)
+    right = pack(items, item_columns, "c", size, on)
+    if on:
+        pairs = left.join(right, on)
+    else:
+        pairs = left.join(right, F.col("q_block") <= F.col("c_block")) if triangular else left.crossJoin(right)
+    pairs = pairs.repartition(*on, F.col("q_block"), F.col("c_block"))
     names = [f"q_{c}" for c in query_columns] + [f"c_{c}" for c in item_columns] + ["q_block", "c_block"]
 
+    keyed = len(names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
@@ -53,9 +63,12 @@ def cosine_blocks(queries: DataFrame, items: DataFrame, kernel: Callable, schema
                 scores = np.round((a @ b.T) / norms, DIGITS)
                 q = {c: values[f"q_{c}"].to_numpy(zero_copy_only=False) for c in query_columns[:-1]}
                 c = {c: values[f"c_{c}"].to_numpy(zero_copy_only=False) for c in item_columns[:-1]}
-                yield kernel(scores, q, c, values["q_block"] == values["c_block"])
+                out = kernel(scores, q, c, values["q_block"] == values["c_block"])
+                for k, name in enumerate(on):
+                    out = out.append_column(name, pa.array([batch.column(keyed + k)[i].as_py()] * out.num_rows, batch.column(keyed + k).type))
+                yield out
 
-    return pairs.select(*names).mapInArrow(run, schema)
+    return pairs.select(*names, *on).mapInArrow(run, schema)
 
 
 def batch(**columns: np.ndarray) -> pa.RecordBatch:

@@ -29,15 +29,16 @@ def pair_scores(items: DataFrame) -> DataFrame:
     return blocks.cosine_blocks(items, items, kernel, "i long, j long, score double, is_genuine boolean", query_columns=columns, item_columns=columns, triangular=True)
 
 
-def probe_gallery_scores(probe: DataFrame, gallery: DataFrame) -> DataFrame:
-    """i, j, score, is_genuine of every probe against every gallery item, the item itself included."""
+def probe_gallery_scores(probe: DataFrame, gallery: DataFrame, condition: str | None = None) -> DataFrame:
+    """i, j, score, is_genuine (and the double column ``condition``) of every probe against every gallery item of its condition, the item itself included."""
 
     def kernel(scores, q, c, _):
         i, j = np.indices(scores.shape).reshape(2, -1)
         return blocks.batch(i=q["item_id"][i], j=c["item_id"][j], score=scores[i, j], is_genuine=q["persona_id"][i] == c["persona_id"][j])
 
     columns = ["item_id", "persona_id", "emb"]
-    return blocks.cosine_blocks(probe, gallery, kernel, "i long, j long, score double, is_genuine boolean", query_columns=columns, item_columns=columns)
+    schema = "i long, j long, score double, is_genuine boolean" + (f", {condition} double" if condition else "")
+    return blocks.cosine_blocks(probe, gallery, kernel, schema, query_columns=columns, item_columns=columns, on=[condition] if condition else None)
 
 
 def score_counts(pairs: DataFrame, keys: list[str]) -> DataFrame:
@@ -137,23 +138,21 @@ def check_pairs(pairs: DataFrame) -> None:
         raise ValueError(f"{r.bad} scores are not finite; {r.gen} genuine and {r.imp} impostor pairs")
 
 
-def quantised(items: DataFrame, severity: float) -> DataFrame:
-    """A degraded view where no pixels are: components rounded to multiples of the severity; all-zero vectors drop."""
-    if severity == 0:
-        return items
-    v = F.transform("emb", lambda x: F.floor(x / severity + 0.5).cast("double") * severity)
-    return items.withColumn("emb", v).where(F.exists("emb", lambda x: x != 0))
+def quantised(items: DataFrame, severities: list[float]) -> DataFrame:
+    """severity, item_id, persona_id, emb, clean: a degraded view where no pixels are, once a severity.
+
+    Components are rounded to multiples of the severity (0 leaves them); all-zero vectors drop.
+    """
+    each = items.select("item_id", "persona_id", F.col("emb").alias("clean"), F.explode(F.array(*[F.lit(float(s)) for s in severities])).alias("severity"))
+    degraded = F.transform("clean", lambda x: F.floor(x / F.col("severity") + 0.5).cast("double") * F.col("severity"))
+    return each.withColumn("emb", F.when(F.col("severity") == 0, F.col("clean")).otherwise(degraded)).where(F.exists("emb", lambda x: x != 0))
 
 
 def condition_pairs(items: DataFrame, severities: list[float]) -> DataFrame:
-    """severity, i, j, score, is_genuine, and both sides' quality: degraded probes against the clean vectors of the same items."""
-    out = None
-    for s in severities:
-        probe = quantised(items, s).select("item_id", "persona_id", "emb")
-        gallery = items.join(probe.select("item_id"), "item_id", "left_semi").select("item_id", "persona_id", "emb") if s else probe
-        one = probe_gallery_scores(probe, gallery).withColumn("severity", F.lit(float(s)))
-        out = one if out is None else out.unionByName(one)
-    return out
+    """severity, i, j, score, is_genuine: degraded probes against the clean vectors of the same items, all severities in one plan."""
+    probe = quantised(items, severities)
+    gallery = probe.select("severity", "item_id", "persona_id", F.col("clean").alias("emb"))
+    return probe_gallery_scores(probe.select("severity", "item_id", "persona_id", "emb"), gallery, "severity")
 
 
 def sweep(items: DataFrame, pairs: DataFrame, severities: list[float], target: float = 0.01) -> DataFrame:
