@@ -2,7 +2,7 @@
 
 Two shingle sets of similarity t or more share a token in the prefixes of their sets under every
 global token order. The first order (rare tokens first, by a fixed-size count sketch) proposes
-pairs, which size and position bounds thin out; the prefixes under further orders must meet too,
+pairs, which size, position and parity-bitmap bounds thin out; the prefixes under further orders must meet too,
 and only pairs that pass all filters are verified exactly.
 
 The result is connectivity, so pairs are not enumerated within groups of copies: equal sets are
@@ -26,6 +26,7 @@ from .repeats import unique_rows
 SKETCH_BITS, SLICE_BITS = 20, 16
 SLICE_BYTES = 512 << 10
 ORDERS = 3
+BITMAPS = ("b0", "b1", "b2", "b3")
 #: 2**23 bits, in rows of 32,768: marks documents whose text is wanted (false marks only cost time).
 MARK_BITS = 1 << 23
 
@@ -73,6 +74,16 @@ def class_keys(h: np.ndarray, n: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def parity_bitmaps(h: np.ndarray, owner: np.ndarray, docs: int) -> np.ndarray:
+    """[docs, 4] of 64 bits: for each of 256 hash buckets, whether the set holds an odd number of its tokens.
+
+    Two sets differ in at least as many tokens as their bitmaps do in bits.
+    """
+    bucket = ((h >> U64(17)) & U64(255)).astype(np.int64)
+    odd = (np.bincount(owner * 256 + bucket, minlength=docs * 256) & 1).astype(np.uint8).reshape(docs, 256)
+    return np.packbits(odd, axis=1).view("<i8").reshape(docs, 4)
+
+
 def prefix_length(n, num: int, den: int):
     """Tokens of a set of n of which any similar set must hold one: n - ceil(n * num / den) + 1."""
     return n + (-n * num) // den + 1
@@ -97,19 +108,19 @@ def _summaries(rows: DataFrame, words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
-        names = ["doc", "n", "cls", "text_hash", "part", "sketch"]
+        names = ["doc", "n", "cls", "text_hash", "part", "sketch", "b0", "b1", "b2", "b3"]
         for batch in batches:
             for s, e, h, owner in _in_slices(batch, words):
                 n = np.bincount(owner, minlength=e - s)
                 np.add.at(sketch, (h >> U64(64 - SKETCH_BITS)).astype(np.int64), 1)
                 cls = pa.array(class_keys(h, n), mask=n == 0)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(s, e - s), pa.array(n, pa.int64()), cls, batch.column(2).slice(s, e - s), pa.nulls(e - s, pa.int32()), pa.nulls(e - s, pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(s, e - s), pa.array(n, pa.int64()), cls, batch.column(2).slice(s, e - s), pa.nulls(e - s, pa.int32()), pa.nulls(e - s, pa.binary()), *[pa.array(b) for b in parity_bitmaps(h, owner, e - s).T.copy()]], names)
         parts = range(1 << (SKETCH_BITS - SLICE_BITS))
         blobs = [zlib.compress(sketch[p << SLICE_BITS : (p + 1) << SLICE_BITS].tobytes(), 1) for p in parts]
         k = len(blobs)
-        yield pa.RecordBatch.from_arrays([*[pa.nulls(k, pa.int64())] * 4, pa.array(list(parts), pa.int32()), pa.array(blobs, pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([*[pa.nulls(k, pa.int64())] * 4, pa.array(list(parts), pa.int32()), pa.array(blobs, pa.binary()), *[pa.nulls(k, pa.int64())] * 4], names)
 
-    return rows.select("doc", "text", F.xxhash64("text")).mapInArrow(run, "doc long, n long, cls long, text_hash long, part int, sketch binary")
+    return rows.select("doc", "text", F.xxhash64("text")).mapInArrow(run, "doc long, n long, cls long, text_hash long, part int, sketch binary, b0 long, b1 long, b2 long, b3 long")
 
 
 def _sketch(summaries: DataFrame) -> np.ndarray:
@@ -189,7 +200,7 @@ def _verify(pairs: DataFrame, sketch, words: int, num: int, den: int) -> DataFra
 
 def _texts(rows: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
     """cls, text of the wanted nodes. A bitmap of fixed size thins the texts out before they are exchanged."""
-    docs = write_table(wanted.join(nodes, "cls").select("cls", F.col("rep").alias("doc")), "wanted")
+    docs = write_table(wanted.join(nodes.select("cls", "rep"), "cls").select("cls", F.col("rep").alias("doc")), "wanted")
     bit = F.pmod(F.xxhash64("doc"), F.lit(MARK_BITS))
     marks = docs.select(bit.alias("bit")).groupBy(F.expr("bitmap_bucket_number(bit)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(bit))").alias("bits"))
     at = F.expr("bitmap_bit_position(bit)")
@@ -214,8 +225,8 @@ def join(
     spark = docs.sparkSession
     summaries = write_table(_summaries(rows, words), "summaries")
     sketch = spark.sparkContext.broadcast(_sketch(summaries))
-    known = summaries.where("part IS NULL").select("doc", "n", "cls", "text_hash")
-    nodes = write_table(known.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc").alias("rep")), "nodes")
+    known = summaries.where("part IS NULL").select("doc", "n", "cls", "text_hash", *BITMAPS)
+    nodes = write_table(known.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc").alias("rep"), *[F.min(c).alias(c) for c in ("n", *BITMAPS)]), "nodes")
 
     prefixes = _prefixes(rows, sketch, words, num, den)
     leader = F.min(F.struct("pos", "n", "cls")).alias("lead")
@@ -229,8 +240,15 @@ def join(
     star = shared.alias("m").where("lead.cls <> cls AND " + fits("lead", "m"))
     star = star.select(F.least("cls", "lead.cls").alias("a"), F.greatest("cls", "lead.cls").alias("b")).distinct()
 
+    def plausible(pairs: DataFrame) -> DataFrame:
+        """Pairs whose parity bitmaps differ in no more tokens than similar sets of these sizes may."""
+        for side in ("a", "b"):
+            pairs = pairs.join(nodes.select(F.col("cls").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in ("n", *BITMAPS)]), side)
+        apart = " + ".join(f"bit_count(a_{c} ^ b_{c})" for c in BITMAPS)
+        return pairs.where(f"({apart}) * {num + den} <= {den - num} * (a_n + b_n)").select("a", "b")
+
     def verified(pairs: DataFrame, label: str) -> DataFrame:
-        pairs = write_table(pairs, label)
+        pairs = write_table(plausible(pairs), label)
         wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
         text = write_table(_texts(rows, nodes, wanted), "texts")
         one = pairs.join(text.select(F.col("cls").alias("a"), F.col("text").alias("a_text")), "a")
