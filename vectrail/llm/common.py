@@ -99,12 +99,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, sample:
     return text.join(F.broadcast(key), "label_id").select("text", "label", part, F.xxhash64(F.col("label_id"), F.lit(31)).alias("turn"))
 
 
-def platt(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope (positive) and shift of the log odds of label 1 over a margin x, both labels weighing alike."""
+def platt(x: np.ndarray, y: np.ndarray, positive: float = 0.5) -> tuple[float, float]:
+    """Slope (positive) and shift of the log odds of label 1 over a margin x, label 1 weighing ``positive`` of the whole."""
     unit = max(1e-9, float(np.std(x)))
     x = np.stack([x / unit, np.ones(len(x))], axis=1)
     t = np.where(y == 1, (y.sum() + 1) / (y.sum() + 2), 1 / ((y == 0).sum() + 2))
-    c = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (y == 0).sum())) * len(y)
+    c = np.where(y == 1, positive / max(1, y.sum()), (1 - positive) / max(1, (y == 0).sum())) * len(y)
     b = np.array([1.0, 0.0])
     for _ in range(50):
         q = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))

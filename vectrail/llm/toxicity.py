@@ -24,6 +24,8 @@ from .common import labelled_sample, mix64, platt, slices
 
 ORDER, SPAN, DECAY, BITS = 4, 7, 0.6, 18
 STRETCH = 8  # a stretch holds the subsequences that start within so many characters
+#: Share of toxic documents that the calibration supposes: without evidence a document counts as clean.
+PRIOR = 0.15
 LEAST_SQUARE = 2.0  # keeps stretches of hardly any letters from growing large
 SLICE_CHARS = 512 << 10
 #: Offsets of the second to fourth letter, and the weight of what they span.
@@ -196,10 +198,15 @@ def fit_sentences(got: list[dict], *, landmarks: int, rounds: int, penalty: floa
         m[: len(key) - STRETCH + 1] = run[STRETCH:] - run[:-STRETCH]
         return m
 
+    def usual(margins: list[float]) -> float:
+        """What few clean documents exceed: a bad document must, to teach what is bad in it."""
+        return float(np.quantile(margins, 0.97)) if margins else 0.0
+
+    least = max(2.5, usual([float(contiguous(t).max(initial=-1e9)) for t in clean]))
     positive = []
     for t in bad:
         m = contiguous(t)
-        if len(m) and m.max() > 2.5:
+        if len(m) and m.max() > least:
             i = int(m.argmax())
             positive.append(t[i : i + STRETCH + SPAN])
     negative = [t[i : i + STRETCH + SPAN] for t in clean for i in rng.integers(0, max(1, len(t) - STRETCH), 4).tolist()]
@@ -215,10 +222,12 @@ def fit_sentences(got: list[dict], *, landmarks: int, rounds: int, penalty: floa
         chosen = [kinds_of[i] for i in spread] + [negative[i] for i in rng.permutation(len(negative))[: landmarks // 2].tolist()]
         weights, bias = _svm(positive, negative, chosen, penalty, rng)
         negative = (negative + worst(clean, weights, 2, -1.0 - bias))[-12_000:]
-        positive = worst(bad, weights, 2, -bias) or positive
+        least = max(-bias, usual([float(stretch_margins(t, weights).max()) for t in clean]))
+        positive = worst(bad, weights, 2, least) or positive
     model = ToxicityModel(weights, 1.0, 0.0, ["".join(map(chr, x)) for x in chosen])
     held = np.flatnonzero(~fit) if not fit.all() else np.arange(len(texts))
-    model.slope, model.shift = platt(model.margins([strings[i] for i in held]), label[held])
+    margins = [model.margins([strings[i] for i in held[k : k + 40]]) for k in range(0, len(held), 40)]
+    model.slope, model.shift = platt(np.concatenate(margins), label[held], PRIOR)
     return model
 
 
@@ -243,14 +252,21 @@ def _spread(rows: list[tuple[np.ndarray, np.ndarray]], most: int) -> list[int]:
 def _svm(positive: list[np.ndarray], negative: list[np.ndarray], chosen: list[np.ndarray], penalty: float, rng) -> tuple[np.ndarray, float]:
     """Weights by subsequence of the SVM on Nyström features, by averaged subgradient steps on the balanced hinge loss."""
     marks = features(chosen)
-    table = np.zeros((NOTHING + 1, len(marks)))
+    # a table over the landmarks' own subsequences only; all others share its last row, of zeros
+    known = np.unique(np.concatenate([u for u, _ in marks]))
+    row_of = np.full(NOTHING + 1, len(known), np.int32)
+    row_of[known] = np.arange(len(known))
+    table = np.zeros((len(known) + 1, len(marks)))
     for j, (u, v) in enumerate(marks):
-        table[u, j] = v
-    gram = np.stack([table[u].T @ v for u, v in marks])
+        table[row_of[u], j] = v
+    gram = np.stack([table[row_of[u]].T @ v for u, v in marks])
     value, vector = np.linalg.eigh(gram)
     keep = value > 1e-4 * value.max()
     root = vector[:, keep] / np.sqrt(value[keep])  # Nyström: k(x) @ root are the features
-    x = np.stack([table[u].T @ v for u, v in features(positive + negative)]) @ root
+    x = np.empty((len(positive) + len(negative), root.shape[1]))
+    for i in range(0, len(x), 500):
+        part = (positive + negative)[i : i + 500]
+        x[i : i + 500] = np.stack([table[row_of[u]].T @ v for u, v in features(part)]) @ root
     y = np.append(np.ones(len(positive)), -np.ones(len(negative)))
     groups = [np.flatnonzero(y > 0), np.flatnonzero(y < 0)]
     w, b = np.zeros(x.shape[1]), 0.0
@@ -265,7 +281,8 @@ def _svm(positive: list[np.ndarray], negative: list[np.ndarray], chosen: list[np
             mean_w += w
             mean_b += b
     mean_w, mean_b = mean_w / (steps - steps // 2), mean_b / (steps - steps // 2)
-    folded = (table @ (root @ mean_w)).astype(np.float32)
+    folded = np.zeros(NOTHING + 1, np.float32)
+    folded[known] = table[:-1] @ (root @ mean_w)
     folded[NOTHING] = 0
     return folded, float(mean_b)
 
