@@ -133,12 +133,15 @@ def edited_fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
     follow = successors(t.select("doc_id"))
     # what each document gives to the one before it: as many characters as that one's third
     wanted = t.groupBy("doc_id").agg(F.max(F.floor(F.length("text") / 3)).cast("int").alias("want"))
-    asked = follow.join(wanted, "doc_id").select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("to_id"), "want")
-    keyed = t.withColumn("n_chars", F.length("text").cast("long")).repartition(F.col("doc_id"))
-    grown = keyed.withColumn("tree", tree(F.col("text"))).withColumn("leaves", leaves(F.col("tree")))
+    asked = follow.join(wanted, "doc_id").select(F.col("next_id").alias("asked_id"), F.col("doc_id").alias("to_id"), "want")
+    # both sides below read one exchange of the texts: no filter and no column may differ under it,
+    # so rows that nobody asks keep a place of their own (nobody) instead of being filtered
+    keyed = t.repartition(F.col("doc_id"))
+    nobody = F.lit(-(1 << 63))
     first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    gives = keyed.where("doc_id IS NOT NULL").withColumn("nth", first).where("nth = 1").join(asked, "doc_id")
-    gives = gives.select("to_id", F.expr("left(text, want)").alias("next_prefix"), leaves(tree(F.col("text"))).alias("next_leaves"))
+    gives = keyed.withColumn("nth", first).where("nth = 1").join(asked, F.col("doc_id") == F.col("asked_id"), "left")
+    gives = gives.select(F.coalesce("to_id", nobody).alias("to_id"), F.expr("left(text, want)").alias("next_prefix"), leaves(tree(F.col("text"))).alias("next_leaves"))
+    grown = keyed.withColumn("n_chars", F.length("text").cast("long")).withColumn("tree", tree(F.col("text"))).withColumn("leaves", leaves(F.col("tree")))
     both = grown.join(gives, F.col("doc_id") == F.col("to_id"), "left")
     edited = F.concat(F.expr("left(text, n_chars - floor(n_chars / 3))"), F.coalesce(F.expr("left(next_prefix, floor(n_chars / 3))"), F.lit("")))
     both = both.withColumn("edited_text", edited).withColumn("edited_tree", tree(F.col("edited_text"))).withColumn("edited_leaves", leaves(F.col("edited_tree")))
