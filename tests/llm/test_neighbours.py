@@ -60,3 +60,25 @@ def test_edge_cases(spark):
     got = neighbours.near_duplicates(spark.createDataFrame(rows, SCHEMA)).rows.collect()
     assert {(r.vec_id, r.n_links, r.component_id, r.kept) for r in got} == {(1, 1, 1, True), (2, 1, 1, False), (3, 0, 3, True), (None, None, None, None)}
     assert neighbours.near_duplicates(spark.createDataFrame([], SCHEMA)).rows.count() == 0
+
+
+def test_links_between_saturated_groups(spark):
+    # two groups of twelve: the ten nearest of each vector lie in its own group, yet all 24 are linked
+    rng = np.random.default_rng(4)
+    base, aside = rng.standard_normal(64), rng.standard_normal(64)
+    aside -= base * (aside @ base) / (base @ base)
+    centre = [base, base + 0.15 * aside * np.linalg.norm(base) / np.linalg.norm(aside)]
+    rows = [(i, [float(x) for x in centre[i % 2] + 0.005 * rng.standard_normal(64)], 1) for i in range(24)]
+    rows += [(100 + i, [float(x) for x in rng.standard_normal(64)], 1) for i in range(60)]
+    out = neighbours.near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(3))
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in out.rows.collect()}
+    want = brute(rows, 0.98)
+    assert sum(w[0] for w in want.values()) == 24 * 23
+    assert got == want
+    assert out.recall == 1.0
+
+
+def test_short_recall_compares_every_vector(spark):
+    rows = table(5)
+    found = neighbours.near_duplicates(spark.createDataFrame(rows, SCHEMA), rounds=0, tables=1, k=2, least_recall=1.01)
+    assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in found.rows.collect()} == brute(rows, 0.98)

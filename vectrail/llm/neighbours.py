@@ -2,8 +2,9 @@
 
 A neighbour graph over the distinct vectors of each label starts from random-hyperplane buckets and
 is refined through neighbours-of-neighbours joins until it settles. Edges at or above the threshold
-are links. Where a vector's list is saturated (full of links), lists are enlarged to the whole
-component, compared in square blocks of fixed size. Recall is audited against brute force.
+are links. A vector whose list is saturated (full of links) is compared exactly with every vector of
+its label that an angular bound cannot exclude, in blocks of fixed size and across components. Recall
+of links is audited against brute force; where it falls short, every vector is compared that way.
 """
 
 from __future__ import annotations
@@ -20,6 +21,9 @@ from pyspark.sql import functions as F
 from .common import components, write_table
 
 BLOCK = 512
+SLACK = 1e-6  # radians, beyond what rounding can move an angle
+NONE = np.iinfo(np.int64).max
+NEAR = pa.schema([("ball", pa.int64()), ("o_u", pa.list_(pa.int64())), ("o_copies", pa.list_(pa.int64())), ("o_vec", pa.list_(pa.binary())), ("o_asked", pa.list_(pa.bool_()))])
 
 
 def _vectors(column: pa.Array, dim: int) -> np.ndarray:
@@ -156,40 +160,146 @@ def _refine(graph: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     return sorted_members.mapInArrow(run, "u long, v long, sim double")
 
 
-def _complete(saturated: DataFrame, nodes: DataFrame, sizes: DataFrame, threshold: float) -> DataFrame:
-    """u, n of all members of components with a saturated node: vectors linked, exactly, in blocks.
+def _packs(rows: DataFrame, columns: list[str], most: int) -> DataFrame:
+    """label, dim and at most about ``most`` rows of equal label and dim in each array of ``columns``; no shuffle."""
+    kinds = ", ".join(f"{c} array<{rows.schema[c].dataType.simpleString()}>" for c in columns)
 
-    saturated: u, component. A component of m nodes is dealt into ceil(m / BLOCK) blocks, and each
-    pair of blocks is one group of at most about 2 * BLOCK vectors.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            table = pa.Table.from_batches([batch]).sort_by([("label", "ascending"), ("dim", "ascending")])
+            labels, dims = table.column("label").to_pylist(), table.column("dim").to_pylist()
+            start = 0
+            for i in range(1, len(labels) + 1):
+                if i == len(labels) or i - start == most or (labels[i], dims[i]) != (labels[start], dims[start]):
+                    part = [pa.array([table.column(c).slice(start, i - start).to_pylist()], pa.list_(table.schema.field(c).type)) for c in columns]
+                    yield pa.RecordBatch.from_arrays([pa.array([labels[start]]), pa.array([dims[start]], pa.int32()), *part], ["label", "dim", *columns])
+                    start = i
+
+    return rows.select("label", "dim", *columns).mapInArrow(run, f"label string, dim int, {kinds}")
+
+
+def _balls(asked: DataFrame, sizes: DataFrame, threshold: float) -> DataFrame:
+    """Each asked node in one ball: ball (its leader's id), lead, reach, and arrays us, copies, vecs.
+
+    asked: u, label, dim, vec, copies, component. A component of m asked nodes is dealt into
+    ceil(m / BLOCK) parts, and each part into balls of the threshold's angle at most around a leader.
+    Nothing outside ``reach`` of the leader links with a member, by the triangle inequality of angles.
+    """
+    angle = float(np.arccos(np.clip(threshold, -1, 1)))
+    parts = F.ceil(F.col("size") / BLOCK).cast("int")
+    dealt = asked.join(sizes, "component").withColumn("part", F.pmod(F.xxhash64("u"), parts).cast("int"))
+
+    def deal(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("u")
+        us, copies, vecs = group["u"].to_numpy(), group["copies"].to_numpy(), group["vec"].tolist()
+        x = _vectors(vecs, int(group["dim"].iloc[0]))
+        apart = np.arccos(np.clip(_cosines(x, x), -1, 1))
+        left, out = np.arange(len(us)), []
+        while len(left):
+            near = apart[left[0], left] <= angle
+            near[0] = True
+            i, lead = left[near], left[0]
+            out.append((us[lead], vecs[lead], apart[lead, i].max() + angle + SLACK, us[i].tolist(), copies[i].tolist(), [vecs[k] for k in i.tolist()]))
+            left = left[~near]
+        found = pd.DataFrame(out, columns=["ball", "lead", "reach", "us", "copies", "vecs"])
+        return found.assign(label=group["label"].iloc[0], dim=int(group["dim"].iloc[0]))
+
+    fields = "ball long, lead binary, reach double, us array<long>, copies array<long>, vecs array<binary>, label string, dim int"
+    return dealt.select("component", "part", "u", "label", "dim", "vec", "copies").groupBy("component", "part").applyInPandas(deal, fields)
+
+
+def _complete(asked: DataFrame, nodes: DataFrame, sizes: DataFrame, threshold: float) -> DataFrame:
+    """u, n, v: links of the asked nodes with any node of their label, exactly, summed by block.
+
+    n adds up to the vectors linked with u (for a node not asked: the asked ones alone), and the
+    pairs u, v join what is linked. Leaders meet all nodes of their label in blocks; only nodes
+    within a ball's reach meet its members.
     """
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    placed = saturated.join(sizes, "component").join(nodes, "u").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("u"), F.col("blocks")).cast("int"))
-    dealt = placed.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    dealt = dealt.select("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "u", "copies", "dim", "vec")
-
-    def count(group: pd.DataFrame) -> pd.DataFrame:
-        i, j = int(group["i"].iloc[0]), int(group["j"].iloc[0])
-        a, b = (group[group["own"] == k] for k in (i, j))
-        if not len(a) or not len(b):
-            return pd.DataFrame({"u": [], "n": []}).astype("int64")
-        dim = int(group["dim"].iloc[0])
-        link = _cosines(_vectors(a["vec"], dim), _vectors(b["vec"], dim)) >= threshold
-        if i == j:
-            np.fill_diagonal(link, False)
-            return pd.DataFrame({"u": a["u"].to_numpy(), "n": link @ b["copies"].to_numpy()})
-        return pd.DataFrame({"u": np.append(a["u"], b["u"]), "n": np.append(link @ b["copies"].to_numpy(), link.T @ a["copies"].to_numpy())})
-
-    return dealt.groupBy("component", "i", "j").applyInPandas(count, "u long, n long").groupBy("u").agg(F.sum("n").alias("n"))
+    balls = write_table(_balls(asked.select("u", "label", "dim", "vec", "copies", "component"), sizes, threshold), "balls")
+    leads = _packs(balls, ["ball", "lead", "reach"], BLOCK)
+    others = nodes.join(asked.select("u", F.lit(True).alias("asked")), "u", "left").withColumn("asked", F.coalesce("asked", F.lit(False)))
+    others = _packs(others, ["u", "copies", "vec", "asked"], BLOCK)
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                x = _vectors(r["vec"], r["dim"])
+                apart = np.arccos(np.clip(_cosines(_vectors(r["lead"], r["dim"]), x), -1, 1))
+                inside = apart <= np.array(r["reach"])[:, None]
+                rows = []
+                for b in np.flatnonzero(inside.any(axis=1)).tolist():
+                    i = np.flatnonzero(inside[b]).tolist()
+                    rows.append({"ball": r["ball"][b], **{f"o_{c}": [r[c][k] for k in i] for c in ("u", "copies", "vec", "asked")}})
+                    if len(rows) == 16:
+                        yield pa.RecordBatch.from_pylist(rows, NEAR)
+                        rows = []
+                if rows:
+                    yield pa.RecordBatch.from_pylist(rows, NEAR)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            us, ns, vs = [], [], []
+            for r in batch.to_pylist():
+                a, b, dim = np.array(r["us"]), np.array(r["o_u"]), r["dim"]
+                link = (_cosines(_vectors(r["vecs"], dim), _vectors(r["o_vec"], dim)) >= threshold) & (a[:, None] != b[None, :])
+                if not link.any():
+                    continue
+                to_a, to_b = a, b
+                while True:  # the smallest id that is linked inside this pair of blocks
+                    after_b = np.minimum(to_b, np.where(link, to_a[:, None], NONE).min(axis=0))
+                    after_a = np.minimum(to_a, np.where(link, after_b[None, :], NONE).min(axis=1))
+                    if (after_a == to_a).all() and (after_b == to_b).all():
+                        break
+                    to_a, to_b = after_a, after_b
+                # an asked node's links are counted from its own ball
+                back = np.where(np.array(r["o_asked"]), 0, np.array(r["copies"]) @ link)
+                us += [a, b]
+                ns += [link @ np.array(r["o_copies"]), back]
+                vs += [to_a, to_b]
+            if us:
+                u, n, v = np.concatenate(us), np.concatenate(ns), np.concatenate(vs)
+                # once for each u and v of the batch
+                order = np.lexsort((v, u))
+                u, n, v = u[order], n[order], v[order]
+                cut = np.flatnonzero(np.append(True, (u[1:] != u[:-1]) | (v[1:] != v[:-1])))
+                u, n, v = u[cut], np.add.reduceat(n, cut), v[cut]
+                on = (n > 0) | (u != v)
+                yield pa.RecordBatch.from_arrays([pa.array(x[on], pa.int64()) for x in (u, n, v)], ["u", "n", "v"])
+
+    reached = leads.join(others, ["label", "dim"]).mapInArrow(near, "ball long, o_u array<long>, o_copies array<long>, o_vec array<binary>, o_asked array<boolean>")
+    return reached.join(balls.select("ball", "dim", "us", "copies", "vecs"), "ball").mapInArrow(meet, "u long, n long, v long")
+
+
+def _counted(nodes: DataFrame, links: DataFrame, comp: DataFrame, asked: DataFrame, threshold: float) -> DataFrame:
+    """label, dim, vec, u, copies, n_links, component_id of each node.
+
+    Links with an asked node are counted exactly, those between the others from the lists.
+    """
+    members = write_table(nodes.join(asked, "u").join(comp, "u"), "saturated")
+    sizes = members.groupBy("component").agg(F.count("*").alias("size"))
+    exact = write_table(_complete(members, nodes, sizes, threshold), "exact")
+    of = lambda c: comp.select(F.col("u").alias(c), F.col("component").alias(f"{c}_c"))
+    merged = exact.where("u <> v").select("u", "v").distinct().join(of("u"), "u").join(of("v"), "v").where("u_c <> v_c")
+    merged = write_table(merged.select(F.least("u_c", "v_c").alias("u"), F.greatest("u_c", "v_c").alias("v")).distinct(), "merged")
+    if not merged.isEmpty():
+        top = components(merged).select(F.col("node").alias("component"), F.col("component").alias("top"))
+        comp = comp.join(top, "component", "left").select("u", F.coalesce("top", "component").alias("component"))
+    both = links.union(links.select("v", "u")).join(asked, "u", "left_anti").join(asked.withColumnRenamed("u", "v"), "v", "left_anti")
+    listed = both.join(nodes.select(F.col("u").alias("v"), "copies"), "v").groupBy("u").agg(F.sum("copies").alias("listed"))
+    counts = exact.groupBy("u").agg(F.sum("n").alias("n"))
+    n_links = F.coalesce("n", F.lit(0)) + F.coalesce("listed", F.lit(0)) + F.col("copies") - 1
+    per_node = nodes.join(comp, "u").join(listed, "u", "left").join(counts, "u", "left")
+    return write_table(per_node.select("label", "dim", "vec", "u", "copies", n_links.alias("n_links"), F.col("component").alias("component_id")), "per-node")
 
 
 @dataclasses.dataclass
 class NearDuplicates:
     rows: DataFrame  # vec_id, n_links, component_id, kept
-    recall: float  # of the audited queries' links; 1.0 if they have none
+    recall: float  # of the audited nodes' links; 1.0 if they have none
 
 
 def near_duplicates(
-    vectors: DataFrame, *, threshold: float = 0.98, k: int = 10, tables: int = 10, rounds: int = 5, settle: float = 0.002, queries: int = 256,
+    vectors: DataFrame, *, threshold: float = 0.98, k: int = 10, tables: int = 10, rounds: int = 5, settle: float = 0.002, queries: int = 256, least_recall: float = 0.99,
     id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", seed: int = 11,
 ) -> NearDuplicates:
     """Links between vectors of equal label with cosine >= threshold (double precision), and their components.
@@ -218,18 +328,15 @@ def near_duplicates(
             break
     linked = graph.where(F.col("sim") >= threshold)
     links = write_table(linked.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "links")
-    comp = write_table(components(links), "comp").select(F.col("node").alias("u"), "component")
-    # a list full of links may miss some: its whole component is compared
+    linked_comp = components(links).select(F.col("node").alias("u"), "component")
+    comp = write_table(nodes.select("u").join(linked_comp, "u", "left").select("u", F.coalesce("component", "u").alias("component")), "comp")
+    # a list full of links may miss some, in its component or in another
     full = graph.groupBy("u").agg(F.min("sim").alias("low"), F.count("*").alias("n")).where((F.col("low") >= threshold) & (F.col("n") >= k)).select("u")
-    broad = comp.join(full, "u").select("component").distinct()
-    members = write_table(comp.join(broad, "component"), "saturated")
-    sizes = members.groupBy("component").agg(F.count("*").alias("size"))
-    exact = _complete(members, nodes, sizes, threshold)
-    both = links.union(links.select("v", "u"))
-    listed = both.join(nodes.select(F.col("u").alias("v"), "copies"), "v").groupBy("u").agg(F.sum("copies").alias("listed"))
-    per_node = nodes.select("u", "label", "dim", "vec", "copies").join(comp, "u", "left").join(listed, "u", "left").join(exact, "u", "left")
-    per_node = per_node.select("label", "dim", "vec", "u", (F.coalesce("n", "listed", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "u").alias("component_id"))
-    per_node = write_table(per_node, "per-node")
+    per_node = _counted(nodes, links, comp, write_table(full, "full"), threshold)
+    recall = audit(per_node, threshold, queries, n)
+    if recall < least_recall:
+        per_node = _counted(nodes, links, comp, nodes.select("u"), threshold)
+        recall = audit(per_node, threshold, queries, n)
     found = packed.join(per_node, ["label", "dim", "vec"]).select("vec_id", "n_links", "component_id")
     ids = source.select("vec_id").distinct()
     rows = ids.join(found, "vec_id", "left").select(
@@ -238,12 +345,12 @@ def near_duplicates(
         F.coalesce("component_id", "vec_id").alias("component_id"),
         (F.col("vec_id") == F.coalesce("component_id", "vec_id")).alias("kept"),
     )
-    return NearDuplicates(rows, audit(nodes, links, threshold, queries, n))
+    return NearDuplicates(rows, recall)
 
 
-def audit(nodes: DataFrame, links: DataFrame, threshold: float, queries: int, n: int) -> float:
-    """Share of the components' pairs that brute force finds for at most about ``queries`` nodes with a link."""
-    asked = nodes.where(F.pmod(F.xxhash64("u", F.lit(5)), F.lit(1_000_003)) < int(1_000_003 * min(1.0, queries / max(1, n))))
+def audit(per_node: DataFrame, threshold: float, queries: int, n: int) -> float:
+    """Share of the links that brute force finds for about ``queries`` nodes that their n_links holds."""
+    asked = per_node.where(F.pmod(F.xxhash64("u", F.lit(5)), F.lit(1_000_003)) < int(1_000_003 * min(1.0, queries / max(1, n))))
     sample = [(r.u, r.label, r.dim, r.vec) for r in asked.select("u", "label", "dim", "vec").collect()]
     if not sample:
         return 1.0
@@ -251,17 +358,16 @@ def audit(nodes: DataFrame, links: DataFrame, threshold: float, queries: int, n:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, labels, dims = batch.column(0).to_numpy(), np.array(batch.column(1).to_pylist(), object), batch.column(2).to_numpy()
-            u, v = [], []
+            copies = batch.column(4).to_numpy()
+            u, true = [], []
             for q, label, dim, vec in sample:
                 i = np.flatnonzero((labels == label) & (dims == dim) & (ids != q))
                 if len(i):
                     sim = _cosines(_vectors([vec], dim), _vectors(batch.column(3).take(pa.array(i)), dim))[0]
-                    v += ids[i[sim >= threshold]].tolist()
-                    u += [q] * (len(v) - len(u))
-            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
-
-    true = nodes.select("u", "label", "dim", "vec").mapInArrow(run, "u long, v long")
-    comp = components(links).select(F.col("node").alias("u"), "component")
-    joined = true.join(comp, "u", "left").join(comp.select(F.col("u").alias("v"), F.col("component").alias("other")), "v", "left")
-    got = joined.agg(F.count("*").alias("n"), F.count_if(F.col("component") == F.col("other")).alias("hit")).first()
+                    u.append(q), true.append(int(copies[i[sim >= threshold]].sum()))
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(true, pa.int64())], ["u", "true"])
+
+    true = per_node.select("u", "label", "dim", "vec", "copies").mapInArrow(run, "u long, true long").groupBy("u").agg(F.sum("true").alias("true"))
+    found = true.join(per_node.select("u", (F.col("n_links") - F.col("copies") + 1).alias("found")), "u")
+    got = found.agg(F.sum("true").alias("n"), F.sum(F.least("true", "found")).alias("hit")).first()
     return 1.0 if not got.n else got.hit / got.n
