@@ -52,3 +52,10 @@ def test_query_on_table(spark, library):
         assert (x.n_tokens, x.ids_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
         assert x.decoded_sha256 == hashlib.sha256((r.text or "").encode()).hexdigest()
     assert not got
+
+
+def test_texts_with_nul(library):
+    coder = bpe.codec(RANKS, P.PATTERN).encoder()
+    texts = ["a \0b", "\0b", "a b", " \0", "\0", "a \0b c", "\0\0 \0"]
+    assert [x.tolist() for x in coder.encode(texts)] == [library.encode_ordinary(t) for t in texts]
+    assert [coder.codec.decode(x) for x in coder.encode(texts)] == [t.encode() for t in texts]

@@ -73,3 +73,9 @@ def test_edge_cases(spark, library):
     assert packing.pack(df.where("false"), FILE).count() == 0
     nulls = spark.createDataFrame([(None, "a"), (None, None)], "doc_id long, text string")
     assert {r.doc_id for r in packing.pack(nulls, FILE).collect()} == {None}
+
+
+def test_texts_with_nul(library):
+    own = packing.FastTokenizer(FILE)
+    for text in ["a \0b", "\0b", "a b", " \0", "\0", "a \0b c", "\0\0 \0"]:
+        assert np.frombuffer(own.encode(text), own.dtype).tolist() == library.encode(text, add_special_tokens=False).ids

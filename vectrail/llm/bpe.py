@@ -156,7 +156,8 @@ class TextEncoder:
     """Encodes texts; pieces seen before in this task are looked up. Bounded to ``most`` pieces.
 
     A text in which no blank meets other white space is cut before each blank: no match of the
-    pattern reaches over such a place. Other texts are matched as a whole.
+    pattern reaches over such a place. Other texts, and texts with U+0000 (which marks a text's
+    first piece), are matched as a whole.
     """
 
     def __init__(self, codec: Codec, most: int):
@@ -175,7 +176,8 @@ class TextEncoder:
             self.word.clear()
         known, find = self.piece, self.codec.pattern.findall
         # the first piece has no blank before it, which its leading "\0" marks
-        pieces = [("\0" + text).split(" ") if text else [] for text in texts]
+        whole = ["\0" in text for text in texts]
+        pieces = [("\0" + text).split(" ") if text and not w else [] for text, w in zip(texts, whole, strict=True)]
         new = [p for p in set().union(*pieces) if p not in known]
         split: list[list[str] | None] = []
         for p in new:
@@ -190,10 +192,12 @@ class TextEncoder:
         for p, ws in zip(new, split, strict=True):
             known[p] = ws and (word[ws[0]] if len(ws) == 1 else b"".join([word[w] for w in ws]))
         out = []
-        for text, ps in zip(texts, pieces, strict=True):
+        for text, ps, w in zip(texts, pieces, whole, strict=True):
             try:
-                ids = b"".join([known[p] for p in ps])
+                ids = None if w else b"".join([known[p] for p in ps])
             except TypeError:
+                ids = None
+            if ids is None:
                 words = find(text)
                 self._learn(set(words))
                 ids = b"".join([word[w] for w in words])

@@ -52,7 +52,8 @@ class FastTokenizer:
     """The ids that the tokenizers library gives for a byte-level BPE file, special tokens being ordinary text.
 
     A text in which no blank meets other white space is cut before blanks; pieces already seen in
-    the task are looked up (bounded), the rest go through tiktoken with the file's own ranks.
+    the task are looked up (bounded), the rest go through tiktoken with the file's own ranks. A text
+    with U+0000 (which marks a text's first piece) goes through tiktoken whole.
     """
 
     def __init__(self, path: str, most: int = 700_000):
@@ -87,6 +88,8 @@ class FastTokenizer:
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
+        if "\0" in text:
+            return np.array(self.encode_piece(text), self.dtype).tobytes()
         known = self.known
         if len(known) > self.most:
             known.clear()
