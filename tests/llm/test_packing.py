@@ -79,3 +79,11 @@ def test_texts_with_nul(library):
     own = packing.FastTokenizer(FILE)
     for text in ["a \0b", "\0b", "a b", " \0", "\0", "a \0b c", "\0\0 \0"]:
         assert np.frombuffer(own.encode(text), own.dtype).tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_added_tokens_equal_the_library_as_it_is(spark):
+    library = Tokenizer.from_file(FILE)
+    texts = dict(enumerate(["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|> x \n", "a  <|endoftext|>\0b", "<|endoftext", "no mark"]))
+    assert library.encode(texts[0], add_special_tokens=False).ids == [64, 220, 50256, 275]
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    check([r.asDict() for r in packing.digests(packing.pack(df, FILE, max_tokens=64)).collect()], texts, library, 64)

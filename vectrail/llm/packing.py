@@ -7,6 +7,7 @@ stretch of neighbours into sequences.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,25 +50,34 @@ def hilbert_key(cells: np.ndarray, bits: int) -> np.ndarray:
 
 
 class FastTokenizer:
-    """The ids that the tokenizers library gives for a byte-level BPE file, special tokens being ordinary text.
+    """The ids that the tokenizers library gives for a byte-level BPE file.
+
+    With ``added``, the file's added tokens in a text give their own ids, as the library does by
+    default, and the stretches between them are encoded on their own; without, they are ordinary text.
 
     A text in which no blank meets other white space is cut before blanks; pieces already seen in
     the task are looked up (bounded), the rest go through tiktoken with the file's own ranks. A text
     with U+0000 (which marks a text's first piece) goes through tiktoken whole.
     """
 
-    def __init__(self, path: str, most: int = 700_000):
+    def __init__(self, path: str, most: int = 700_000, added: bool = False):
         import tiktoken
         from public_tokenizers import PATTERN
         from tokenizers import Tokenizer
 
-        vocabulary = Tokenizer.from_file(path).get_vocab(with_added_tokens=False)
+        library = Tokenizer.from_file(path)
+        vocabulary, found = library.get_vocab(with_added_tokens=False), library.get_added_tokens_decoder()
+        if added and any(t.single_word or t.lstrip or t.rstrip or (t.normalized and library.normalizer) for t in found.values()):
+            raise ValueError("added tokens that depend on what is around them are not supported")
+        self.added = {t.content: i for i, t in found.items()} if added else {}
+        # the leftmost, and of those the longest
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         byte = self._alphabet()
         ranks = {bytes(byte[c] for c in token): i for token, i in vocabulary.items() if all(c in byte for c in token)}
         # a special token of the vocabulary is never the result of merges
         ranks = {k: v for k, v in ranks.items() if not (k.startswith(b"<|") and k.endswith(b"|>"))}
         self.encode_piece = tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.size = max(vocabulary.values()) + 1
+        self.size = max([*vocabulary.values(), *found]) + 1
         self.dtype = np.dtype("<u2") if self.size <= 1 << 16 else np.dtype("<u4")
         self.known: dict[str, bytes | None] = {}
         self.most = most
@@ -86,6 +96,13 @@ class FastTokenizer:
         return np.array(self.encode_piece(piece[1:] if first else " " + piece), self.dtype).tobytes()
 
     def encode(self, text: str) -> bytes:
+        if not text:
+            return b""
+        if self.cut is not None and self.cut.search(text):
+            return b"".join([np.array([self.added[t]], self.dtype).tobytes() if t in self.added else self._plain(t) for t in self.cut.split(text)])
+        return self._plain(text)
+
+    def _plain(self, text: str) -> bytes:
         if not text:
             return b""
         if "\0" in text:
@@ -126,7 +143,7 @@ def tokenize(docs: DataFrame, tokenizer: str, end_id: int, *, id_col: str, text_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = None
         for batch in batches:
-            tok = tok or FastTokenizer(tokenizer)
+            tok = tok or FastTokenizer(tokenizer, added=True)
             end = np.array([end_id], tok.dtype).tobytes()
             for i in range(0, batch.num_rows, 128):
                 part = batch.slice(i, 128)
