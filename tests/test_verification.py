@@ -52,7 +52,7 @@ def test_pair_counts(spark):
 
 def test_sweep_and_degenerate_conditions(spark):
     t = items(spark, [(0, 0, [0.01, 0.02]), (1, 0, [1.0, 0.1]), (2, 1, [0.2, 1.0]), (3, 1, [0.3, 2.0])])
-    rows = {r.severity: r for r in v.sweep(t, v.condition_pairs(t, [0.0, 0.5, 9.0]), [0.0, 0.5, 9.0]).collect()}
+    rows = {r.severity: r for r in v.sweep(t, v.quantised_pairs(t, [0.0, 0.5, 9.0]), [0.0, 0.5, 9.0]).collect()}
     assert (rows[0.0].n_scored, rows[0.0].n_query_dropped, rows[0.0].n_pairs) == (4, 0, 16)
     assert (rows[0.5].n_scored, rows[0.5].n_query_dropped, rows[0.5].n_pairs) == (3, 1, 9)
     assert (rows[9.0].n_scored, rows[9.0].n_query_dropped, rows[9.0].eer, rows[9.0].n_pairs) == (0, 4, None, None)
@@ -71,3 +71,28 @@ def test_roc_is_monotone(spark):
     rng = random.Random(1)
     points = sorted((r.threshold, r.fmr, r.fnmr) for r in v.roc(pairs(spark, *[(round(rng.random(), 2), rng.random() < 0.4) for _ in range(300)])).collect())
     assert all(a[1] >= b[1] and a[2] <= b[2] for a, b in zip(points, points[1:]))
+
+
+def test_counters_equal_the_curve(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    base = rng.standard_normal((6, 8))
+    t = items(spark, [(i, i % 6, [float(x) for x in base[i % 6] + rng.standard_normal(8) * 0.7]) for i in range(60)])
+    scored, rows = v.all_pairs(t), v.pair_scores(t)
+    targets = [0.0, 0.01, 0.1, 0.5, 1.0]
+    want = v.operating_points(v.roc(rows), targets).first().asDict()
+    assert scored.operating_points(targets).first().asDict() == pytest.approx(want)
+    key = lambda r: tuple(round(x, 9) for x in r)
+    assert sorted(map(key, scored.points().collect())) == sorted(map(key, v.roc(rows).collect()))
+    cuts = [0.3, -0.2, 0.9, 0.3 + 1e-9]
+    assert sorted(map(key, scored.rates(cuts).collect())) == sorted(map(key, v.fmr_fnmr(rows, cuts).collect()))
+
+
+def test_gate_ablation_degenerate_subsets(spark):
+    t = spark.createDataFrame([(0, 0, 0.9, [1.0, 0.1]), (1, 0, 0.9, [0.9, 0.2]), (2, 1, 0.1, [0.1, 1.0]), (3, 1, 0.1, [0.2, 1.0])], "item_id long, persona_id int, quality double, emb array<double>")
+    rows = {(r.severity, r.subset): r for r in v.gate_ablation(t, [0.0, 5.0], 0.5, 0.5).collect()}
+    assert (rows[0.0, "full"].n, rows[0.0, "full"].eer, rows[0.0, "full"].n_pairs) == (4, 0.0, 16)
+    gated = rows[0.0, "gated"]  # two items of one identity
+    assert (gated.n, gated.pass_rate, gated.eer, gated.fmr, gated.n_pairs) == (2, 0.5, None, None, None)
+    assert (rows[5.0, "full"].n, rows[5.0, "full"].fmr, rows[5.0, "gated"].n, rows[5.0, "gated"].pass_rate) == (0, None, 0, 0.0)

@@ -32,14 +32,25 @@ def _matrix(column: pa.ListArray) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, width) if flat is not None else np.zeros((0, 0))
 
 
+#: Views of a matrix of vectors: (key, rows that are kept, their vectors) for each key.
+Views = Callable[[np.ndarray], list[tuple[float, np.ndarray, np.ndarray]]]
+
+
+def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    norms = np.sqrt((a * a).sum(axis=1))[:, None] * np.sqrt((b * b).sum(axis=1))[None, :]
+    return np.round((a @ b.T) / norms, DIGITS)
+
+
 def cosine_blocks(
-    queries: DataFrame, items: DataFrame, kernel: Callable, schema: str, *, query_columns: list[str], item_columns: list[str], triangular: bool = False, on: list[str] | None = None,
+    queries: DataFrame, items: DataFrame, kernel: Callable, schema: str, *, query_columns: list[str], item_columns: list[str], triangular: bool = False, on: list[str] | None = None, views: Views | None = None,
 ) -> DataFrame:
     """Apply kernel(scores, q, c, same) to each pair of blocks; q and c map columns to arrays, scores are cosines rounded to 9 digits.
 
     The vector column is the last of each list. Zero vectors must have been filtered out. With
     triangular (both sides the same table) only block pairs in order are visited. Only blocks of
-    equal ``on`` columns meet; these are named last in ``schema``.
+    equal ``on`` columns meet; these are named last in ``schema``. With views, the kernel is called
+    once a key, as kernel(scores, q, c, same, key), with the queries as the view shows them against
+    the items that the view keeps, as they are: the blocks are exchanged once for all keys.
     """
     on = on or []
     size = max(1, -(-items.count() // BLOCK))
@@ -59,11 +70,15 @@ def cosine_blocks(
             for i in range(batch.num_rows):
                 values = {n: batch.column(k)[i].values if n not in ("q_block", "c_block") else batch.column(k)[i].as_py() for k, n in enumerate(names)}
                 a, b = _matrix(values[names[len(query_columns) - 1]]), _matrix(values[names[len(query_columns) + len(item_columns) - 1]])
-                norms = np.sqrt((a * a).sum(axis=1))[:, None] * np.sqrt((b * b).sum(axis=1))[None, :]
-                scores = np.round((a @ b.T) / norms, DIGITS)
                 q = {c: values[f"q_{c}"].to_numpy(zero_copy_only=False) for c in query_columns[:-1]}
                 c = {c: values[f"c_{c}"].to_numpy(zero_copy_only=False) for c in item_columns[:-1]}
-                out = kernel(scores, q, c, values["q_block"] == values["c_block"])
+                same = values["q_block"] == values["c_block"]
+                if views:
+                    for (key, left_rows, seen), (_, right_rows, _) in zip(views(a), views(b), strict=True):
+                        part = lambda side, rows: {k: v[rows] for k, v in side.items()}
+                        yield kernel(cosines(seen, b[right_rows]), part(q, left_rows), part(c, right_rows), same, key)
+                    continue
+                out = kernel(cosines(a, b), q, c, same)
                 for k, name in enumerate(on):
                     out = out.append_column(name, pa.array([batch.column(keyed + k)[i].as_py()] * out.num_rows, batch.column(keyed + k).type))
                 yield out

@@ -1,11 +1,15 @@
 """Verification metrics over scored pairs: error rates, ROC, equal error rate, fixed operating points.
 
-Curves are computed from counts by distinct score. Running totals go in two steps (within score
-bins, then over the bins' totals), so no task sees all scores.
+Blocks of vectors are scored and counted in one kernel. Curves are computed from counts by distinct
+score; running totals go in two steps (within score bins, then over the bins' totals), so no task
+sees all scores. Error rates at fixed points need no curve: a histogram and the scores of few bins do.
 """
 
 from __future__ import annotations
 
+import dataclasses
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,32 +17,210 @@ from pyspark.sql import functions as F
 from ..functions import scoring
 from . import blocks
 
-BINS = 400
+#: Bins of the running totals; of scores of nine digits a bin holds 2**17 at most.
+BINS = 1 << 14
 
 
-def pair_scores(items: DataFrame) -> DataFrame:
-    """i, j, score, is_genuine of all unordered pairs i < j, in triangular blocks."""
+@dataclasses.dataclass
+class Scored:
+    """Scored pairs that are counted where they are scored: only counters leave the kernels.
 
-    def kernel(scores, q, c, same):
-        less = q["item_id"][:, None] < c["item_id"][None, :]
-        i, j = np.nonzero(less if same else np.ones_like(less))
-        a, b = q["item_id"][i], c["item_id"][j]
-        return blocks.batch(i=np.minimum(a, b), j=np.maximum(a, b), score=scores[i, j], is_genuine=q["persona_id"][i] == c["persona_id"][j])
+    apply(kernel, fields) calls kernel(score, is_genuine, i, j) with flat arrays of the pairs of two
+    blocks, and gives its columns (``fields``, as DDL) with the columns ``keys``.
+    """
 
-    columns = ["item_id", "persona_id", "emb"]
-    return blocks.cosine_blocks(items, items, kernel, "i long, j long, score double, is_genuine boolean", query_columns=columns, item_columns=columns, triangular=True)
+    apply: Callable[[Callable[..., dict[str, np.ndarray]], str], DataFrame]
+    keys: list[str]
 
+    def rows(self) -> DataFrame:
+        """keys, i, j, score, is_genuine: every pair."""
+        return self.apply(lambda score, genuine, i, j: {"i": i, "j": j, "score": score, "is_genuine": genuine}, "i long, j long, score double, is_genuine boolean")
 
-def probe_gallery_scores(probe: DataFrame, gallery: DataFrame, condition: str | None = None) -> DataFrame:
-    """i, j, score, is_genuine (and the double column ``condition``) of every probe against every gallery item of its condition, the item itself included."""
+    def counts(self) -> DataFrame:
+        """keys, score, gen, imp: genuine and impostor pairs of each distinct score."""
+
+        def kernel(score, genuine, i, j):
+            place, n = np.unique(_place(score) * 2 + genuine, return_counts=True)
+            return {"place": place >> 1, "gen": n * (place & 1), "imp": n * (1 - (place & 1))}
+
+        found = self.apply(kernel, "place long, gen long, imp long").groupBy(*self.keys, "place").agg(F.sum("gen").alias("gen"), F.sum("imp").alias("imp"))
+        return found.select(*self.keys, ((F.col("place") - PLACES) / F.lit(float(PLACES))).alias("score"), "gen", "imp")
+
+    def totals(self) -> DataFrame:
+        """keys, n_pairs, n_genuine, n_impostor, n_scored (items that meet themselves)."""
 
-    def kernel(scores, q, c, _):
-        i, j = np.indices(scores.shape).reshape(2, -1)
-        return blocks.batch(i=q["item_id"][i], j=c["item_id"][j], score=scores[i, j], is_genuine=q["persona_id"][i] == c["persona_id"][j])
+        def kernel(score, genuine, i, j):
+            return {"n_pairs": np.array([len(score)]), "n_genuine": np.array([int(genuine.sum())]), "n_scored": np.array([int((i == j).sum())])}
+
+        found = self.apply(kernel, "n_pairs long, n_genuine long, n_scored long").groupBy(*self.keys).agg(*[F.sum(c).alias(c) for c in ("n_pairs", "n_genuine", "n_scored")])
+        return found.where("n_pairs > 0").select(*self.keys, "n_pairs", "n_genuine", (F.col("n_pairs") - F.col("n_genuine")).alias("n_impostor"), "n_scored")
+
+    def rates(self, thresholds: list[float]) -> DataFrame:
+        """keys, threshold, fmr, fnmr, as fmr_fnmr gives them: one counter for each stretch between thresholds."""
+        cuts = np.sort(np.asarray(thresholds, float))
+
+        def kernel(score, genuine, i, j):
+            n = np.bincount(np.searchsorted(cuts, score, side="right") * 2 + genuine, minlength=2 * len(cuts) + 2)
+            return {"reached": np.arange(len(cuts) + 1), "gen": n[1::2], "imp": n[::2]}
+
+        found = self.apply(kernel, "reached long, gen long, imp long").groupBy(*self.keys, "reached").agg(F.sum("gen").alias("gen"), F.sum("imp").alias("imp"))
+        at = [F.struct(F.lit(float(t)).alias("threshold"), F.lit(int(np.searchsorted(cuts, t, side="left"))).alias("below")) for t in thresholds]
+        each = found.select(*self.keys, "reached", "gen", "imp", F.inline(F.array(*at)))
+        accepted = F.col("reached") > F.col("below")
+        return each.groupBy(*self.keys, "threshold").agg(
+            (F.sum(F.when(accepted, F.col("imp")).otherwise(0)) / F.nullif(F.sum("imp"), F.lit(0))).alias("fmr"),
+            (F.sum(F.when(accepted, 0).otherwise(F.col("gen"))) / F.nullif(F.sum("gen"), F.lit(0))).alias("fnmr"),
+        )
+
+    def points(self) -> DataFrame:
+        """keys, threshold, fmr, fnmr at every distinct score, and just above the largest."""
+        return _curve(self.counts(), self.keys)
+
+    def operating_points(self, targets: list[float]) -> DataFrame:
+        """keys, eer, fmr_at_fnmr_0, ...: as operating_points(points, targets), without the curve.
+
+        A histogram of at most 2**14 bins tells between which scores each curve crosses; a second
+        pass counts the scores of those bins alone, at most 2**17 each. Both are exact.
+        """
+
+        def coarse(score, genuine, i, j):
+            n = np.bincount((_place(score) >> FINE_BITS) * 2 + genuine, minlength=2 * COARSE)
+            bins = np.flatnonzero(n[::2] + n[1::2])
+            return {"bin": bins, "gen": n[1::2][bins], "imp": n[::2][bins]}
+
+        keys = self.keys
+        bins = self.apply(coarse, "bin long, gen long, imp long").groupBy(*keys, "bin").agg(F.sum("gen").alias("gen"), F.sum("imp").alias("imp"))
+        whole, before = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+        bins = bins.select(
+            *keys, "bin", F.coalesce(F.sum("gen").over(before), F.lit(0)).alias("gen_before"), F.coalesce(F.sum("imp").over(before), F.lit(0)).alias("imp_before"),
+            F.sum("gen").over(whole).alias("n_gen"), F.sum("imp").over(whole).alias("n_imp"),
+        )
+        bins = bins.withColumn("fmr", (F.col("n_imp") - F.col("imp_before")) / F.nullif("n_imp", F.lit(0))).withColumn("fnmr", F.col("gen_before") / F.nullif("n_gen", F.lit(0)))
+        reached = [F.col("fmr") <= F.col("fnmr"), *[F.col("fnmr") > F.lit(float(t)) for t in targets]]
+        aggregates = []
+        for n, r in enumerate(reached):  # the bin in which a curve crosses, and the first point after it
+            aggregates.append(F.max(F.when(~r, F.struct("bin", "gen_before", "imp_before"))).alias(f"open_{n}"))
+            aggregates.append(F.min(F.when(r, F.struct("bin", "fmr", "fnmr"))).alias(f"next_{n}"))
+        # one row a key of the configuration
+        states = [r.asDict(recursive=True) for r in bins.groupBy(*keys).agg(F.max("n_gen").alias("n_gen"), F.max("n_imp").alias("n_imp"), *aggregates).collect()]
+        opened = np.unique([s[f"open_{n}"]["bin"] for s in states for n in range(len(reached)) if s[f"open_{n}"]] or [-1])
+
+        def fine(score, genuine, i, j):
+            place = _place(score)
+            own = np.isin(place >> FINE_BITS, opened)
+            value, n = np.unique(place[own] * 2 + genuine[own], return_counts=True)
+            return {"place": value >> 1, "gen": n * (value & 1), "imp": n * (1 - (value & 1))}
+
+        found = self.apply(fine, "place long, gen long, imp long").groupBy(*keys, "place").agg(F.sum("gen").alias("gen"), F.sum("imp").alias("imp"))
+        spark = found.sparkSession
+        fields = ", ".join(f"{k} {found.schema[k].dataType.simpleString()}" for k in keys)
+        rows = [
+            (*[s[k] for k in keys], n, s["n_gen"], s["n_imp"], *((o["bin"], o["gen_before"], o["imp_before"]) if (o := s[f"open_{n}"]) else (None, None, None)), *((x["fmr"], x["fnmr"]) if (x := s[f"next_{n}"]) else (0.0, 1.0)))
+            for s in states for n in range(len(reached))
+        ]
+        state = spark.createDataFrame(rows, (fields + ", " if fields else "") + "curve int, n_gen long, n_imp long, open long, gen_before long, imp_before long, next_fmr double, next_fnmr double")
+        own = found.withColumn("open", F.shiftright("place", FINE_BITS))
+        points = state.join(own, [*keys, "open"], "left")
+        below = Window.partitionBy(*keys, "curve").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+        points = points.withColumn("fmr", (F.col("n_imp") - F.col("imp_before") - F.coalesce(F.sum("imp").over(below), F.lit(0))) / F.nullif("n_imp", F.lit(0)))
+        points = points.withColumn("fnmr", (F.col("gen_before") + F.coalesce(F.sum("gen").over(below), F.lit(0))) / F.nullif("n_gen", F.lit(0)))
+        target = F.element_at(F.array(*[F.lit(float(t)) for t in (0.0, *targets)]), F.col("curve") + 1)
+        crossed = F.when(F.col("curve") == 0, F.col("fmr") <= F.col("fnmr")).otherwise(F.col("fnmr") > target)
+        point, after = F.struct(F.col("place").alias("threshold"), "fmr", "fnmr"), F.struct(F.lit(None).cast("long").alias("threshold"), F.col("next_fmr").alias("fmr"), F.col("next_fnmr").alias("fnmr"))
+        ends = points.groupBy(*keys, "curve").agg(F.coalesce(F.min(F.when(crossed, point)), F.first(after)).alias("at"), F.max(F.when(~crossed, point)).alias("p"), F.max("n_gen").alias("n_gen"), F.max("n_imp").alias("n_imp"))
+        usable = (F.col("n_gen") > 0) & (F.col("n_imp") > 0)
+        values = ends.withColumn("value", F.when(usable, F.when(F.col("curve") == 0, _eer(F.col("at"), F.col("p"))).otherwise(_fixed(F.col("at"), F.col("p"), target))))
+        named = ["eer", *[f"fmr_at_fnmr_{n}" for n in range(len(targets))]]
+        return values.groupBy(*keys).agg(*[F.max(F.when(F.col("curve") == n, F.col("value"))).alias(name) for n, name in enumerate(named)])
+
+
+#: Scores of nine digits have a place of 31 bits; the coarse histogram keeps the upper 14.
+PLACES, FINE_BITS = 10**blocks.DIGITS, 17
+COARSE = (2 * PLACES >> FINE_BITS) + 1
+
+
+def _place(score: np.ndarray) -> np.ndarray:
+    return np.clip(np.rint(score * PLACES).astype(np.int64) + PLACES, 0, 2 * PLACES)
+
+
+def all_pairs(items: DataFrame) -> Scored:
+    """All unordered pairs i < j, in triangular blocks."""
+
+    def apply(kernel, fields):
+        def run(scores, q, c, same):
+            chosen = (q["item_id"][:, None] < c["item_id"][None, :]) if same else np.ones(scores.shape, bool)
+            x, y = np.nonzero(chosen)
+            a, b = q["item_id"][x], c["item_id"][y]
+            return blocks.batch(**kernel(scores[x, y], q["persona_id"][x] == c["persona_id"][y], np.minimum(a, b), np.maximum(a, b)))
+
+        columns = ["item_id", "persona_id", "emb"]
+        return blocks.cosine_blocks(items, items, run, fields, query_columns=columns, item_columns=columns, triangular=True)
+
+    return Scored(apply, [])
+
+
+def probes_and_gallery(probe: DataFrame, gallery: DataFrame, on: list[str] | None = None) -> Scored:
+    """Every probe against every gallery item of equal ``on`` columns, the item itself included."""
+
+    def apply(kernel, fields):
+        def run(scores, q, c, _):
+            x, y = np.indices(scores.shape).reshape(2, -1)
+            return blocks.batch(**kernel(scores.ravel(), q["persona_id"][x] == c["persona_id"][y], q["item_id"][x], c["item_id"][y]))
+
+        columns = ["item_id", "persona_id", "emb"]
+        kinds = "".join(f", {k} {probe.schema[k].dataType.simpleString()}" for k in on or [])
+        return blocks.cosine_blocks(probe, gallery, run, fields + kinds, query_columns=columns, item_columns=columns, on=on)
+
+    return Scored(apply, on or [])
+
+
+def quantised_pairs(items: DataFrame, severities: list[float], least_quality: float | None = None) -> Scored:
+    """Quantised probes (see quantised) against the clean vectors of the same items, under the key severity.
+
+    With least_quality also under the key subset: 'full', and 'gated' where quality * (1 - severity)
+    of both items is at least that. All severities are made in the kernel, from one exchange of the blocks.
+    """
 
-    columns = ["item_id", "persona_id", "emb"]
-    schema = "i long, j long, score double, is_genuine boolean" + (f", {condition} double" if condition else "")
-    return blocks.cosine_blocks(probe, gallery, kernel, schema, query_columns=columns, item_columns=columns, on=[condition] if condition else None)
+    def views(x: np.ndarray):
+        out = []
+        for s in severities:
+            seen = x if s == 0 else np.floor(x / s + 0.5) * s
+            kept = np.flatnonzero((seen != 0).any(axis=1))
+            out.append((float(s), kept, seen[kept]))
+        return out
+
+    def apply(kernel, fields):
+        def run(scores, q, c, _, severity):
+            subsets = [("full", np.arange(len(scores)), np.arange(scores.shape[1]))]
+            if least_quality is not None:
+                subsets.append(("gated", *[np.flatnonzero(side["quality"] * (1 - severity) >= least_quality) for side in (q, c)]))
+            parts = []
+            for name, left, right in subsets:
+                sub = scores[np.ix_(left, right)]
+                x, y = np.indices(sub.shape).reshape(2, -1)
+                out = kernel(sub.ravel(), q["persona_id"][left[x]] == c["persona_id"][right[y]], q["item_id"][left[x]], c["item_id"][right[y]])
+                n = len(next(iter(out.values())))
+                out["severity"] = np.full(n, severity)
+                if least_quality is not None:
+                    out["subset"] = np.full(n, name, "U5")
+                parts.append(out)
+            return blocks.batch(**{k: np.concatenate([p[k] for p in parts]) for k in parts[0]})
+
+        columns = ["item_id", "persona_id", "emb"] if least_quality is None else ["item_id", "persona_id", "quality", "emb"]
+        schema = fields + ", severity double" + (", subset string" if least_quality is not None else "")
+        return blocks.cosine_blocks(items, items, run, schema, query_columns=columns, item_columns=columns, views=views)
+
+    return Scored(apply, ["severity"] if least_quality is None else ["severity", "subset"])
+
+
+def pair_scores(items: DataFrame) -> DataFrame:
+    """i, j, score, is_genuine of all unordered pairs i < j."""
+    return all_pairs(items).rows()
+
+
+def probe_gallery_scores(probe: DataFrame, gallery: DataFrame, condition: str | None = None) -> DataFrame:
+    """i, j, score, is_genuine (and the double column ``condition``) of every probe against every gallery item of its condition, the item itself included."""
+    return probes_and_gallery(probe, gallery, [condition] if condition else None).rows()
 
 
 def score_counts(pairs: DataFrame, keys: list[str]) -> DataFrame:
@@ -64,8 +246,11 @@ def fmr_fnmr(pairs: DataFrame, thresholds: list[float], keys: list[str] | None =
 
 def roc(pairs: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """keys, threshold, fmr, fnmr at every distinct score, and just above the largest."""
-    keys = keys or []
-    counts = score_counts(pairs, keys).withColumn("bin", F.floor((F.col("score") + 1) * (BINS / 2)).cast("int"))
+    return _curve(score_counts(pairs, keys or []), keys or [])
+
+
+def _curve(counts: DataFrame, keys: list[str]) -> DataFrame:
+    counts = counts.withColumn("bin", F.floor((F.col("score") + 1) * (BINS / 2)).cast("int"))
     bins = counts.groupBy(*keys, "bin").agg(F.sum("gen").alias("bin_gen"), F.sum("imp").alias("bin_imp"))
     by_key = Window.partitionBy(*keys)
     before = by_key.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
@@ -91,16 +276,14 @@ def _crossing(reached: Column, name: str) -> list[Column]:
     return [F.min(F.when(reached, point)).alias(f"{name}_at"), F.max(F.when(~reached, point)).alias(f"{name}_p")]
 
 
-def _eer() -> Column:
-    at, p = F.col("eer_at"), F.col("eer_p")
+def _eer(at: Column, p: Column) -> Column:
     gap, last_gap = at["fmr"] - at["fnmr"], p["fmr"] - p["fnmr"]
     inside = p["fmr"] + last_gap / (last_gap - gap) * (at["fmr"] - p["fmr"])
     return F.when(at.isNull(), (p["fmr"] + p["fnmr"]) / 2).when(p.isNull(), (at["fmr"] + at["fnmr"]) / 2).otherwise(inside)
 
 
-def _fixed(name: str, target: float) -> Column:
-    at, p = F.col(f"{name}_at"), F.col(f"{name}_p")
-    share = (F.lit(target) - p["fnmr"]) / (at["fnmr"] - p["fnmr"])
+def _fixed(at: Column, p: Column, target: Column) -> Column:
+    share = (target - p["fnmr"]) / (at["fnmr"] - p["fnmr"])
     return F.when(at.isNull(), p["fmr"]).when(p.isNull(), at["fmr"]).otherwise(p["fmr"] + share * (at["fmr"] - p["fmr"]))
 
 
@@ -117,7 +300,8 @@ def operating_points(points: DataFrame, targets: list[float], keys: list[str] |
     for n, t in enumerate(targets):
         aggregates += _crossing(F.col("fnmr") > F.lit(t), f"f{n}")
     found = points.groupBy(*keys).agg(*aggregates)
-    return found.select(*keys, _eer().alias("eer"), *[_fixed(f"f{n}", t).alias(f"fmr_at_fnmr_{n}") for n, t in enumerate(targets)])
+    fixed = [_fixed(F.col(f"f{n}_at"), F.col(f"f{n}_p"), F.lit(float(t))).alias(f"fmr_at_fnmr_{n}") for n, t in enumerate(targets)]
+    return found.select(*keys, _eer(F.col("eer_at"), F.col("eer_p")).alias("eer"), *fixed)
 
 
 def eer(points: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -149,29 +333,44 @@ def quantised(items: DataFrame, severities: list[float]) -> DataFrame:
 
 
 def condition_pairs(items: DataFrame, severities: list[float]) -> DataFrame:
-    """severity, i, j, score, is_genuine: degraded probes against the clean vectors of the same items, all severities in one plan."""
-    probe = quantised(items, severities)
-    gallery = probe.select("severity", "item_id", "persona_id", F.col("clean").alias("emb"))
-    return probe_gallery_scores(probe.select("severity", "item_id", "persona_id", "emb"), gallery, "severity")
+    """severity, i, j, score, is_genuine: degraded probes against the clean vectors of the same items."""
+    return quantised_pairs(items, severities).rows()
 
 
-def sweep(items: DataFrame, pairs: DataFrame, severities: list[float], target: float = 0.01) -> DataFrame:
+def sweep(items: DataFrame, scored: Scored, severities: list[float], target: float = 0.01) -> DataFrame:
     """One row a severity: eer, fmr_at_fnmr (null where fewer than 2 items or identities are left) and counts."""
-    curve = roc(pairs, ["severity"])
-    metrics = operating_points(curve, [target], ["severity"]).withColumnRenamed("fmr_at_fnmr_0", "fmr_at_fnmr")
-    counts = pairs.groupBy("severity").agg(
-        F.count("*").alias("n_pairs"), F.count_if("is_genuine").alias("n_genuine"), F.count_if(~F.col("is_genuine")).alias("n_impostor"), F.count_if(F.col("i") == F.col("j")).alias("n_scored")
-    )
+    metrics = scored.operating_points([target]).withColumnRenamed("fmr_at_fnmr_0", "fmr_at_fnmr")
     every = items.sparkSession.createDataFrame([(float(s),) for s in severities], "severity double")
     total = items.agg(F.count("*").alias("n_images"))
-    out = every.crossJoin(F.broadcast(total)).join(counts, "severity", "left").join(metrics, "severity", "left")
-    scored = F.coalesce("n_scored", F.lit(0))
-    usable = (scored >= 2) & (F.col("n_impostor") > 0)
+    out = every.crossJoin(F.broadcast(total)).join(scored.totals(), "severity", "left").join(metrics, "severity", "left")
+    n_scored = F.coalesce("n_scored", F.lit(0))
+    usable = (n_scored >= 2) & (F.col("n_impostor") > 0)
     return out.select(
         "severity", F.when(usable, F.col("eer")).alias("eer"), F.when(usable, F.col("fmr_at_fnmr")).alias("fmr_at_fnmr"), F.when(usable, F.col("n_pairs")).alias("n_pairs"),
-        F.when(usable, F.col("n_genuine")).alias("n_genuine"), F.when(usable, F.col("n_impostor")).alias("n_impostor"), scored.alias("n_scored"), (F.col("n_images") - scored).alias("n_query_dropped"), "n_images",
+        F.when(usable, F.col("n_genuine")).alias("n_genuine"), F.when(usable, F.col("n_impostor")).alias("n_impostor"), n_scored.alias("n_scored"), (F.col("n_images") - n_scored).alias("n_query_dropped"), "n_images",
     )
 
 
+def gate_ablation(items: DataFrame, severities: list[float], least_quality: float, threshold: float, target: float = 0.01) -> DataFrame:
+    """severity, subset (full, gated), n, pass_rate, n_pairs, n_genuine, n_impostor, fmr, fnmr, eer, fmr_at_fnmr.
+
+    A subset of fewer than 2 items or identities has null metrics, and so has the gated subset of such a
+    full one. Both subsets are always there.
+    """
+    scored = quantised_pairs(items, severities, least_quality)
+    keys = ["severity", "subset"]
+    every = items.sparkSession.createDataFrame([(float(s), k) for s in severities for k in ("full", "gated")], "severity double, subset string")
+    metrics = scored.operating_points([target]).withColumnRenamed("fmr_at_fnmr_0", "fmr_at_fnmr")
+    out = every.join(scored.totals(), keys, "left").join(scored.rates([threshold]).drop("threshold"), keys, "left").join(metrics, keys, "left")
+    out = out.withColumn("n", F.coalesce("n_scored", F.lit(0)))
+    ok = (F.col("n") >= 2) & (F.col("n_impostor") > 0)
+    by = Window.partitionBy("severity")
+    full_ok = F.coalesce(F.max(F.when(F.col("subset") == "full", ok)).over(by), F.lit(False))
+    n_full = F.max(F.when(F.col("subset") == "full", F.col("n"))).over(by)
+    n = F.when((F.col("subset") == "full") | full_ok, F.col("n")).otherwise(0)
+    rate = F.when(F.col("subset") == "full", 1.0).when(full_ok, F.col("n") / n_full).otherwise(0.0)
+    return out.select("severity", "subset", n.alias("n"), rate.alias("pass_rate"), *[F.when(full_ok & ok, F.col(c)).alias(c) for c in ("n_pairs", "n_genuine", "n_impostor", "fmr", "fnmr", "eer", "fmr_at_fnmr")])
+
+
 def valid(items: DataFrame) -> DataFrame:
     return items.where(scoring.valid_vector(F.col("emb")))

@@ -125,7 +125,7 @@ def rates_at(pairs: str, thresholds: list[float]) -> str:
 HITS = ITEMS + f""", hits AS (SELECT a.item_id AS q_id, b.item_id, round(list_cosine_similarity(a.emb, b.emb), 9) AS score, row_number() OVER (PARTITION BY a.item_id ORDER BY round(list_cosine_similarity(a.emb, b.emb), 9) DESC, b.item_id) AS rank
   FROM items a JOIN items b ON a.item_id % 100 = 0 QUALIFY rank <= {q.K})"""
 STATE = "CASE WHEN len(entities) = 0 AND geo IS NULL AND ts IS NULL THEN 'none' ELSE concat_ws('+', CASE WHEN len(entities) > 0 THEN 'entities' END, CASE WHEN geo IS NOT NULL THEN 'geo' END, CASE WHEN ts IS NOT NULL THEN 'time' END) END"
-ROC4 = f"WITH {PAIRS}, p4 AS (SELECT i, j, round(score, 4) AS score, is_genuine FROM pairs), {curve('p4')}"
+ROC = f"WITH {PAIRS}, {curve('pairs')}"
 BANDED = lambda quantile: f"band AS (SELECT least(quantile_cont(score, {quantile}), 1 - 1e-9) AS low, 1::DOUBLE AS high FROM ppairs)"
 
 
@@ -140,8 +140,8 @@ def oracle_sql() -> dict[str, str]:
         "probe_gallery_scores": f"WITH {PROBES} SELECT i, j, {R('score')}, is_genuine FROM cpairs WHERE severity = 0.5",
         "fmr_fnmr_at_threshold": f"WITH {PAIRS} {rates_at('pairs', q.THRESHOLDS)}",
         "roc_custom_thresholds": f"WITH {PAIRS} {rates_at('pairs', [round(-1 + 0.05 * i, 2) for i in range(41)])}",
-        "roc_curve": f"{ROC4} SELECT {R('threshold', 'fmr', 'fnmr')} FROM points",
-        "plot_ready_roc": f"{ROC4} SELECT {R('threshold')}, greatest(round(fmr + 3e-12, 6), 5e-5) AS fmr, greatest(round(fnmr + 3e-12, 6), 5e-5) AS fnmr FROM points",
+        "roc_curve": f"{ROC} SELECT {R('threshold', 'fmr', 'fnmr')} FROM points",
+        "plot_ready_roc": f"{ROC} SELECT {R('threshold')}, greatest(round(fmr + 3e-12, 6), 5e-5) AS fmr, greatest(round(fnmr + 3e-12, 6), 5e-5) AS fnmr FROM points",
         "eer": f"WITH {PAIRS}, {curve('pairs')}, {eer_of('', '')} SELECT {R('eer')} FROM e",
         "fmr_at_fnmr": f"WITH {PAIRS}, {curve('pairs')}, {eer_of('', '')}, {', '.join(fixed_of(str(t), '', f'f{n}') for n, t in enumerate((0.01, 0.05, 0.1)))} " + " UNION ALL ".join(f"SELECT {t}::DOUBLE AS target, {R('fmr_at_fnmr')} FROM f{n}" for n, t in enumerate((0.01, 0.05, 0.1))),
         "condition_sweep": f"""WITH {PROBES}, {curve('cpairs', 'severity,', 'PARTITION BY severity')}, {eer_of('severity,', 'PARTITION BY severity')}, {fixed_of('0.01', 'severity,')},
@@ -149,9 +149,14 @@ def oracle_sql() -> dict[str, str]:
  SELECT s.severity, round(CASE WHEN ok THEN eer END + 3e-12, 6) AS eer, round(CASE WHEN ok THEN fmr_at_fnmr END + 3e-12, 6) AS fmr_at_fnmr, CASE WHEN ok THEN n_pairs END AS n_pairs, CASE WHEN ok THEN n_genuine END AS n_genuine, CASE WHEN ok THEN n_impostor END AS n_impostor,
   coalesce(n_scored, 0) AS n_scored, (SELECT count(*) FROM items) - coalesce(n_scored, 0) AS n_query_dropped, (SELECT count(*) FROM items) AS n_images
  FROM severities s LEFT JOIN n USING (severity) LEFT JOIN e USING (severity) LEFT JOIN f USING (severity), LATERAL (SELECT coalesce(n_scored, 0) >= 2 AND n_impostor > 0 AS ok)""",
-        "gate_ablation": f"""WITH {PROBES}, b AS (SELECT *, 'full' AS subset FROM cpairs UNION ALL SELECT *, 'gated' FROM cpairs WHERE qi * (1 - severity) >= 0.3 AND qj * (1 - severity) >= 0.3),
- g AS (SELECT severity, subset, count(*) FILTER (i = j) AS n_scored, count(*) FILTER (is_genuine) AS n_genuine, count(*) FILTER (NOT is_genuine) AS n_impostor, avg((score >= 0.5)::INT) FILTER (NOT is_genuine) AS fmr, avg((score < 0.5)::INT) FILTER (is_genuine) AS fnmr FROM b GROUP BY severity, subset)
- SELECT severity, subset, n_scored, n_genuine, n_impostor, round(fmr + 3e-12, 6) AS fmr, round(fnmr + 3e-12, 6) AS fnmr, round(n_scored::DOUBLE / max(n_scored) FILTER (subset = 'full') OVER (PARTITION BY severity) + 3e-12, 6) AS pass_rate FROM g""",
+        "gate_ablation": f"""WITH {PROBES}, b AS (SELECT severity, 'full' AS subset, i, j, score, is_genuine FROM cpairs UNION ALL SELECT severity, 'gated', i, j, score, is_genuine FROM cpairs WHERE qi * (1 - severity) >= 0.3 AND qj * (1 - severity) >= 0.3),
+ {curve('b', 'severity, subset,', 'PARTITION BY severity, subset')}, {eer_of('severity, subset,', 'PARTITION BY severity, subset')}, {fixed_of('0.01', 'severity, subset,')},
+ g AS (SELECT severity, subset, count(*) FILTER (i = j) AS n, count(*) AS n_pairs, count(*) FILTER (is_genuine) AS n_genuine, count(*) FILTER (NOT is_genuine) AS n_impostor, avg((score >= 0.5)::INT) FILTER (NOT is_genuine) AS fmr, avg((score < 0.5)::INT) FILTER (is_genuine) AS fnmr FROM b GROUP BY severity, subset),
+ a AS (SELECT s.severity, k.subset, coalesce(g.n, 0) AS n, g.n_pairs, g.n_genuine, g.n_impostor, g.fmr, g.fnmr, e.eer, f.fmr_at_fnmr, coalesce(g.n >= 2 AND g.n_impostor > 0, false) AS ok
+   FROM severities s CROSS JOIN (SELECT unnest(['full', 'gated']) AS subset) k LEFT JOIN g ON g.severity = s.severity AND g.subset = k.subset LEFT JOIN e ON e.severity = s.severity AND e.subset = k.subset LEFT JOIN f ON f.severity = s.severity AND f.subset = k.subset),
+ w AS (SELECT *, bool_or(ok) FILTER (subset = 'full') OVER (PARTITION BY severity) AS full_ok, max(n) FILTER (subset = 'full') OVER (PARTITION BY severity) AS n_full FROM a)
+ SELECT severity, subset, CASE WHEN subset = 'full' OR full_ok THEN n ELSE 0 END AS n, round(CASE WHEN subset = 'full' THEN 1::DOUBLE WHEN full_ok THEN n::DOUBLE / n_full ELSE 0 END + 3e-12, 6) AS pass_rate,
+  {', '.join(f'CASE WHEN full_ok AND ok THEN {c} END AS {c}' for c in ('n_pairs', 'n_genuine', 'n_impostor'))}, {', '.join(f'round(CASE WHEN full_ok AND ok THEN {c} END + 3e-12, 6) AS {c}' for c in ('fmr', 'fnmr', 'eer', 'fmr_at_fnmr'))} FROM w""",
         "trust_gate": f"WITH {CONTEXT} SELECT item_id, {R('quality')}, {TRUST} AS trust FROM ctx",
         "ingest_report": f"WITH {CONTEXT} SELECT {TRUST} AS trust, count(*) AS n FROM ctx GROUP BY 1",
         "ingest_ids": f"WITH {CONTEXT} SELECT item_id, row_number() OVER (ORDER BY item_id) + (SELECT max(vec_id) FROM embeddings) AS vector_id FROM ctx WHERE {TRUST} <> 'reject'",

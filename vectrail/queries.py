@@ -88,55 +88,41 @@ def probe_gallery_scores(spark, d):
 
 @query
 def fmr_fnmr_at_threshold(spark, d):
-    return rounded(verification.fmr_fnmr(verification.pair_scores(tables.read_items(spark, d)), THRESHOLDS))
+    return rounded(verification.all_pairs(tables.read_items(spark, d)).rates(THRESHOLDS))
 
 
 @query
 def roc_curve(spark, d):
-    pairs = verification.pair_scores(tables.read_items(spark, d)).withColumn("score", F.round("score", 4))
-    return rounded(verification.roc(pairs))
+    return rounded(verification.all_pairs(tables.read_items(spark, d)).points())
 
 
 @query
 def roc_custom_thresholds(spark, d):
-    return rounded(verification.fmr_fnmr(verification.pair_scores(tables.read_items(spark, d)), [round(-1 + 0.05 * i, 2) for i in range(41)]))
+    return rounded(verification.all_pairs(tables.read_items(spark, d)).rates([round(-1 + 0.05 * i, 2) for i in range(41)]))
 
 
 @query
 def eer(spark, d):
-    return rounded(verification.eer(verification.roc(verification.pair_scores(tables.read_items(spark, d)))))
+    return rounded(verification.all_pairs(tables.read_items(spark, d)).operating_points([]))
 
 
 @query
 def fmr_at_fnmr(spark, d):
-    points = verification.roc(verification.pair_scores(tables.read_items(spark, d)))
     targets = [0.01, 0.05, 0.1]
-    found = verification.operating_points(points, targets)
+    found = verification.all_pairs(tables.read_items(spark, d)).operating_points(targets)
     return rounded(found.select(F.inline(F.array(*[F.struct(F.lit(t).alias("target"), F.col(f"fmr_at_fnmr_{n}").alias("fmr_at_fnmr")) for n, t in enumerate(targets)]))))
 
 
 @query
 def condition_sweep(spark, d):
     items = tables.read_items(spark, d)
-    return rounded(verification.sweep(items, verification.condition_pairs(items, SEVERITIES), SEVERITIES))
+    return rounded(verification.sweep(items, verification.quantised_pairs(items, SEVERITIES), SEVERITIES))
 
 
 @query
 def gate_ablation(spark, d):
     """Full against gated (degraded quality of both sides' items at least 0.3) at threshold 0.5."""
-    items = tables.read_items(spark, d)
-    pairs = verification.condition_pairs(items, SEVERITIES)
-    q = items.select("item_id", "quality")
-    passes = lambda c: F.col(c) * (1 - F.col("severity")) >= 0.3
-    joined = pairs.join(q.select(F.col("item_id").alias("i"), F.col("quality").alias("qi")), "i").join(q.select(F.col("item_id").alias("j"), F.col("quality").alias("qj")), "j")
-    subset = F.explode(F.when(passes("qi") & passes("qj"), F.array(F.lit("full"), F.lit("gated"))).otherwise(F.array(F.lit("full"))))
-    both = joined.select("severity", subset.alias("subset"), "i", "j", "score", "is_genuine")
-    keys = ["severity", "subset"]
-    counts = both.groupBy(*keys).agg(F.count_if(F.col("i") == F.col("j")).alias("n_scored"), F.count_if("is_genuine").alias("n_genuine"), F.count_if(~F.col("is_genuine")).alias("n_impostor"))
-    rates = verification.fmr_fnmr(both, [0.5], keys)
-    total = counts.where("subset = 'full'").select("severity", F.col("n_scored").alias("n_full"))
-    out = counts.join(rates, keys).join(total, "severity").withColumn("pass_rate", F.col("n_scored") / F.col("n_full"))
-    return rounded(out.select("severity", "subset", "n_scored", "n_genuine", "n_impostor", "fmr", "fnmr", "pass_rate"))
+    return rounded(verification.gate_ablation(tables.read_items(spark, d), SEVERITIES, 0.3, 0.5))
 
 
 @query
