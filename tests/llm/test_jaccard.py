@@ -64,3 +64,30 @@ def test_query_on_table(spark):
     docs = [(r.doc_id, r.text or "") for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect()]
     got = queries()["op5_jaccard"](spark, d).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(docs, 3, 90, 100)
+
+
+def thue_morse(n, a, b):
+    return "".join(a if bin(i).count("1") % 2 == 0 else b for i in range(n))
+
+
+def test_words_that_collide_under_polynomials(spark):
+    # equal under every odd base modulo 2**64, though no byte of them is equal
+    x, y = thue_morse(1024, "a", "b"), thue_morse(1024, "b", "a")
+    df = spark.createDataFrame([(1, f"{x} {y} {x}"), (2, f"{y} {x} {y}"), (3, x), (4, y), (5, f"{x} {y} {x}")], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in jaccard.join(df).collect()} == {1: 1, 2: 2, 3: 3, 4: 4, 5: 1}
+
+
+def test_hot_tokens_are_split_by_further_orders(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "HOT_PAIRS", 2)
+    rng = random.Random(9)
+    line = [f"c{i}" for i in range(12)]
+    docs = []
+    for i in range(90):  # many documents share a line; some of them are near copies of each other
+        own = [f"w{rng.randint(0, 6)}" for _ in range(rng.choice([3, 8, 25]))] if i % 3 else list(docs[rng.randrange(len(docs))][1].split()[12:]) if docs else ["x"]
+        if i % 2 and own:
+            own[rng.randrange(len(own))] = "edit"
+        docs.append((i, " ".join(line + own)))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    for words, num, den in ((1, 7, 10), (3, 90, 100)):
+        got = jaccard.join(df, words=words, threshold=(num, den)).collect()
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(docs, words, num, den)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import hashlib
 import tempfile
 import uuid
 
@@ -11,14 +12,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
+#: Most bytes of an Arrow batch while an operator's own tables are written: what a JVM task and its Python worker hold at once.
+ARROW_BYTES = 4 << 20
+_ARROW_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 _OWN_ROOTS: dict[str, str] = {}
 _WRITTEN: list[tuple[SparkSession, str]] = []
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; a folder of our own only where it names none."""
+    """The shared folder that the cluster names in spark.checkpoint.dir; a folder of our own only on a local master that names none."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         if app not in _OWN_ROOTS:
             _OWN_ROOTS[app] = "file://" + tempfile.mkdtemp(prefix="vectrail-")
@@ -34,7 +40,12 @@ def write_table(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/vectrail/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_ARROW_SETTING)
+    spark.conf.set(_ARROW_SETTING, str(ARROW_BYTES))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_ARROW_SETTING, before)
     _WRITTEN.append((spark, path))
     table = spark.read.schema(df.schema).parquet(path)
     table._vectrail_path = path
@@ -170,6 +181,48 @@ def window_hash(prefix: np.ndarray, width: int) -> np.ndarray:
     return (prefix[width:] - prefix[:n]) * down
 
 
+#: Prime modulus 2**61 - 1 of the Rabin-Karp hashes that decide on their own, and a base of them.
+PRIME = (1 << 61) - 1
+PRIME_BASE = 0x1B873593CC9E2D51
+_M30, _M31, _P = U64((1 << 30) - 1), U64((1 << 31) - 1), U64(PRIME)
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    x = (x & _P) + (x >> U64(61))
+    return np.where(x >= _P, x - _P, x)
+
+
+def mulmod(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo 2**61 - 1, for a and b below it."""
+    a1, a0, b1, b0 = a >> U64(31), a & _M31, b >> U64(31), b & _M31
+    middle = a1 * b0 + a0 * b1
+    return _reduced((a1 * b1 << U64(1)) + (middle >> U64(30)) + ((middle & _M30) << U64(31)) + a0 * b0)
+
+
+def _prime_powers(base: int, n: int) -> np.ndarray:
+    key = f"prime-{base}"
+    have = _POWERS.get(key, np.ones(1, U64))
+    while len(have) < n:
+        step = np.full(len(have), pow(base, len(have), PRIME), U64)
+        have = np.concatenate([have, mulmod(have, step)])
+    _POWERS[key] = have
+    return have[:n]
+
+
+def window_hash61(values: np.ndarray, width: int) -> np.ndarray:
+    """Rabin-Karp hash modulo 2**61 - 1 of every window of ``width`` values, from prefix sums.
+
+    Two different windows collide for at most width of the 2**61 bases, whatever they hold.
+    """
+    n = len(values) - width + 1
+    if n <= 0:
+        return np.zeros(0, U64)
+    x = mulmod(_reduced(values), _prime_powers(PRIME_BASE, len(values)))
+    high, low = np.cumsum(x >> U64(31)), np.cumsum(x & _M31)
+    prefix = np.append(U64(0), _reduced((high >> U64(30)) + ((high & _M30) << U64(31)) + _reduced(low)))
+    return mulmod(_reduced(prefix[width:] + (_P - prefix[:n])), _prime_powers(pow(PRIME_BASE, -1, PRIME), n))
+
+
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     """Minimum of every ``width`` consecutive values, by doubling."""
     n = len(x) - width + 1
@@ -184,6 +237,48 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return y[:n]
 
 
+#: Runs of more than so many lanes are hashed by blake2b instead of lane by lane.
+MOST_LANES = 64
+_LANE_MASK = np.array([(1 << (8 * k)) - 1 for k in range(9)], dtype=U64)
+
+
+def byte_lanes(raw: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number (zeros after the end)."""
+    padded = np.zeros(len(raw) + 8, np.uint8)
+    padded[: len(raw)] = raw
+    return np.ndarray((len(raw) + 1,), "<u8", padded, strides=(1,))
+
+
+def content_hash(lanes: np.ndarray, step: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hash of the content of each run [start, end), wherever it starts.
+
+    A lane holds ``step`` symbols (8 bytes, or 1 wide value). Each lane is mixed in by a function that is
+    not linear, so there is no algebraic collision, as there is for any polynomial modulo 2**64
+    (Thue-Morse words). Runs of at most one lane and equal length never collide.
+    """
+    size = end - start
+    out = mix64(size.astype(U64) * U64(0x632BE59BD9B4E019) + U64(0x9FB21C651E98DF25))
+    count = -(-size // step)
+    rows = np.flatnonzero((count > 0) & (count <= MOST_LANES))
+    at, left, h = start[rows], size[rows], out[rows]
+    while len(rows):
+        x = lanes[at]
+        if step > 1:
+            x = x & _LANE_MASK[np.minimum(left, step)]
+        h = mix64((h ^ x) + U64(0xA0761D6478BD642F))
+        more = left > step
+        if not more.all():
+            out[rows[~more]] = h[~more]
+            rows, at, left, h = rows[more], at[more], left[more], h[more]
+        at, left = at + step, left - step
+    for i in np.flatnonzero(count > MOST_LANES).tolist():
+        content = np.ascontiguousarray(lanes[start[i] : end[i] : step])
+        if step > 1 and size[i] % step:
+            content[-1] &= _LANE_MASK[size[i] % step]
+        out[i] = int.from_bytes(hashlib.blake2b(content.tobytes() + int(size[i]).to_bytes(8, "little"), digest_size=8).digest(), "little")
+    return out
+
+
 #: Whitespace bytes of a word separator: tab to carriage return, and the blank.
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
