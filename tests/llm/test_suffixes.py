@@ -66,3 +66,25 @@ def test_query_on_table(spark):
 
     assert {k: r.kept_sha256 for k, r in got.items()} == {k: hashlib.sha256(v).hexdigest() for k, v in want.items()}
     assert sum(r.n_removed for r in got.values()) == sum(len(t) for _, t in docs) - sum(map(len, want.values()))
+
+
+def test_hot_anchors_are_split(spark, monkeypatch):
+    monkeypatch.setattr(suffixes, "HOT_ANCHOR", 1)
+    rng = random.Random(6)
+    base = "".join(rng.choice("abcdefgh ") for _ in range(900))
+    docs = []
+    for i in range(40):  # near copies: every block has many variants
+        text = list(base)
+        for _ in range(rng.randint(0, 9)):
+            text[rng.randrange(len(text))] = rng.choice("xyz")
+        docs.append((i, "".join(text).encode()))
+    for opened in (1, 2):
+        monkeypatch.setattr(suffixes, "OPENED", opened)
+        assert {k: bytes(r.kept) for k, r in run(spark, docs, 100).items()} == brute(docs, 100)
+
+
+def test_strings_that_collide_under_polynomials(spark):
+    x = "".join("ab"[bin(i).count("1") % 2] for i in range(4096))
+    y = x.translate(str.maketrans("ab", "ba"))
+    docs = [(1, x.encode()), (2, y.encode()), (3, (x + "-" + y).encode())]
+    assert {k: bytes(r.kept) for k, r in run(spark, docs, 1100).items()} == brute(docs, 1100)

@@ -57,3 +57,15 @@ def test_query_on_table(spark):
     docs = [(r.doc_id, (r.text or "").encode()) for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect()]
     want = brute(docs, 50)
     assert {k: (r.n_words, r.n_removed, r.kept_sha256) for k, r in got.items()} == {k: (a, b, hashlib.sha256(c).hexdigest()) for k, (a, b, c) in want.items()}
+
+
+def test_words_that_collide_under_polynomials(spark):
+    # words, and sequences of words, whose polynomial hashes modulo 2**64 are equal under every odd base
+    morse = lambda n, a, b: [a if bin(i).count("1") % 2 == 0 else b for i in range(n)]
+    x, y = "".join(morse(1024, "a", "b")), "".join(morse(1024, "b", "a"))
+    docs = [(1, " ".join([x] * 60)), (2, " ".join([y] * 60)), (3, " ".join(morse(2048, "u", "v"))), (4, " ".join(morse(2048, "v", "u"))), (5, " ".join([x] * 55))]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    for width in (50, 1024):
+        got = windows.remove_repeats(df, width=width).collect()
+        want = brute([(d, t.encode()) for d, t in docs], width)
+        assert {r.doc_id: (r.n_words, sum(s.end - s.start for s in r.spans), r.kept.encode()) for r in got} == want

@@ -3,13 +3,14 @@
 Texts are sequences of symbols (bytes or words). Every window of ``width`` symbols has an anchor:
 its leftmost ``gram``-symbol run of least hash, which depends on the window's content alone, so
 equal windows have equal anchors. Consecutive windows with one anchor occurrence form a block, and
-a block's Rabin-Karp hash covers all symbols of its windows. Blocks are exchanged by anchor hash:
+a block's hash covers all symbols of its windows and their place around the anchor. Blocks are
+exchanged by anchor hash and sorted:
  - an anchor that occurs once proves that its windows do not repeat;
- - blocks equal to an earlier block repeat as a whole;
- - where one anchor has several different blocks, the first of each is opened, and its windows are
-   compared one by one by the operator ("open" marks).
-Blocks are pre-aggregated within map batches, so a block in a third of all documents reaches
-its reducer once a batch.
+ - of the blocks of any other anchor, the first occurrences of each different one are opened: the
+   operator compares their windows;
+ - further occurrences are copies of an opened block: equal anchors, places and block hashes.
+Copies are told apart within map batches already, so a block in a third of all documents reaches
+its reducer a few times a batch, and reducers stream over sorted rows without holding a group.
 """
 
 from __future__ import annotations
@@ -17,17 +18,16 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, mix64, prefix_hash, range_hash, sliding_min, slices, window_hash, write_table
+from .common import U64, content_hash, mix64, prefix_hash, sliding_min, slices, window_hash, write_table
 
-#: Symbolise a run of documents: raw bytes of each -> (values of all symbols, number of symbols of each).
-Symbols = Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]
+#: Symbolise a run of documents: raw bytes of each -> (values of all symbols, number of symbols of each, lanes and step of content_hash).
+Symbols = Callable[[list[bytes]], tuple[np.ndarray, np.ndarray, np.ndarray, int]]
 BATCH_BYTES, SLICE_BYTES = 24 << 20, 384 << 10
-MARKS = "doc long, lo long, hi long, anchor long"
+LEAD, COPIED, COPY = 0, 1, 2  # kinds of rows: a lead, a lead with copies in its batch, a copy
 
 
 def unique_rows(docs: DataFrame, id_col: str, text_col: str, *, carry: bool = False) -> tuple[DataFrame, bool]:
@@ -47,7 +47,7 @@ def unique_rows(docs: DataFrame, id_col: str, text_col: str, *, carry: bool = Fa
     return write_table(ranged.select(F.monotonically_increasing_id().alias("doc"), "doc_id", "text", *more), "rows"), False
 
 
-def blocks(values: np.ndarray, counts: np.ndarray, width: int, gram: int):
+def blocks(values: np.ndarray, counts: np.ndarray, lanes: np.ndarray, step: int, width: int, gram: int):
     """Blocks of concatenated documents: (anchor hash, block hash, document index, first and last window start, anchor place).
 
     Places are relative to the block's document.
@@ -59,8 +59,7 @@ def blocks(values: np.ndarray, counts: np.ndarray, width: int, gram: int):
     n = len(values)
     if n < width:
         return none.astype(U64), none.astype(U64), none, none, none, none
-    prefix = prefix_hash(values)
-    h = mix64(window_hash(prefix, gram))
+    h = mix64(window_hash(prefix_hash(values), gram))
     low = sliding_min(h, reach)
     # the last window start of each document; windows over a document's end are not valid
     doc_of_end = np.repeat(ends, np.maximum(counts, 0))[: len(low)]
@@ -88,7 +87,7 @@ def blocks(values: np.ndarray, counts: np.ndarray, width: int, gram: int):
     p, lo, hi = (np.concatenate(x) for x in (out_p, out_lo, out_hi))
     doc = np.searchsorted(ends, lo, side="right")
     shape = ((p - lo).astype(U64) << U64(32)) | (hi - lo).astype(U64)
-    block = mix64(range_hash(prefix, lo, hi + width) ^ mix64(shape ^ h[p]))
+    block = mix64(content_hash(lanes, step, lo, hi + width) ^ mix64(shape))
     base = starts[doc]
     return h[p], block, doc, lo - base, hi - base, p - base
 
@@ -104,111 +103,106 @@ def merged(lo: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return lo[at], end[np.append(at[1:], len(lo)) - 1]
 
 
-def _columns(blob: list[bytes], dtypes: list[str]) -> list[np.ndarray]:
-    """Columns of concatenated blobs; each blob holds its columns one after another."""
-    size = sum(np.dtype(d).itemsize for d in dtypes)
-    parts: list[list[np.ndarray]] = [[] for _ in dtypes]
-    for b in blob:
-        n, at = len(b) // size, 0
-        for k, d in enumerate(dtypes):
-            parts[k].append(np.frombuffer(b, d, n, at))
-            at += n * np.dtype(d).itemsize
-    return [np.concatenate(x) if x else np.zeros(0, d) for x, d in zip(parts, dtypes, strict=True)]
+def _spread(lo: np.ndarray, hi: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """lo, hi - lo and place - lo in one number that sorts as lo does."""
+    return (lo << 32) | ((hi - lo) << 16) | (place - lo)
 
 
-BLOCK_TYPES = ["<u8", "<u8", "<i8", "<u4", "<u2"]  # anchor, block, doc, lo, hi - lo
+def candidates(rows: DataFrame, symbols: Symbols, width: int, gram: int, *, opened: int) -> DataFrame:
+    """doc, lo, hi, place, anchor, block, copy: the windows that may repeat, by block.
 
-
-def candidates(rows: DataFrame, symbols: Symbols, width: int, gram: int, *, own_repeats: bool) -> tuple[DataFrame, int]:
-    """Marks of all documents: doc, lo, hi, anchor; and the number of buckets, which grows with the input.
-
-    anchor null: the windows that start in [lo, hi] all repeat. Otherwise the windows of that
-    anchor in [lo, hi] are to be compared one by one with those of equal anchor.
-    own_repeats: whether an earlier place of the same document counts as earlier.
+    Windows start in [lo, hi], around the anchor's place. The first ``opened`` occurrences of each
+    block have copy = false, all later ones true.
     """
     if width - gram + 1 > 60_000:
         raise ValueError("width is too large")
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = 1 << max(8, int(total >> 19).bit_length())
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(found: list[tuple], ids: np.ndarray) -> pa.RecordBatch:
-            a, c, d, lo, hi = (np.concatenate(x) for x in zip(*found, strict=True))
-            d = ids[d]
-            order = np.lexsort((lo, d, c, a))
-            a, c, d, lo, hi = a[order], c[order], d[order], lo[order], hi[order]
-            new = np.append(True, (a[1:] != a[:-1]) | (c[1:] != c[:-1]))
-            lead = d[np.flatnonzero(new)][np.cumsum(new) - 1]
-            send = new | ((d == lead) & (not own_repeats))
-            out_bucket, out_blob, out_doc = [], [], []
-            # repeats of a block of this batch are decided here
-            rd, rlo, rend = d[~send], lo[~send], hi[~send] + 1
-            order = np.argsort(rd, kind="stable")
-            rd, rlo, rend = rd[order], rlo[order], rend[order]
-            cut = np.flatnonzero(np.append(True, rd[1:] != rd[:-1])) if len(rd) else []
-            for s, e in zip(cut, [*cut[1:], len(rd)], strict=True) if len(rd) else []:
-                x, y = merged(rlo[s:e], rend[s:e])
-                out_bucket.append(int(rd[s]) % buckets), out_doc.append(int(rd[s]))
-                out_blob.append(x.astype("<i8").tobytes() + y.astype("<i8").tobytes())
-            a, c, d, lo, hi = a[send], c[send], d[send], lo[send], hi[send]
-            bucket = (a >> U64(40)).astype(np.int64) & (buckets - 1)
-            order = np.argsort(bucket, kind="stable")
-            bucket, cols = bucket[order], [a[order], c[order], d[order], lo[order].astype("<u4"), (hi - lo)[order].astype("<u2")]
-            cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else []
-            for s, e in zip(cut, [*cut[1:], len(bucket)], strict=True) if len(bucket) else []:
-                out_bucket.append(int(bucket[s])), out_doc.append(None)
-                out_blob.append(b"".join(x[s:e].tobytes() for x in cols))
-            return pa.RecordBatch.from_arrays([pa.array(out_bucket, pa.int32()), pa.array(out_doc, pa.int64()), pa.array(out_blob, pa.binary())], ["bucket", "doc", "blob"])
+    def flush(found: list[tuple], ids: np.ndarray) -> Iterator[pa.RecordBatch]:
+        a, c, d, lo, hi, place = (np.concatenate(x) for x in zip(*found, strict=True))
+        d, at = ids[d], _spread(lo, hi, place)
+        order = np.lexsort((at, d, c, a))
+        a, c, d, at = a[order], c[order], d[order], at[order]
+        first = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (c[1:] != c[:-1]))) if len(a) else np.zeros(0, np.int64)
+        size = np.diff(np.append(first, len(a)))
+        nth = np.arange(len(a)) - np.repeat(first, size)
+        kind = np.where(nth >= opened, COPY, np.where(np.repeat(size, size) > opened, COPIED, LEAD)).astype(np.int8)
+        # copies go anywhere, leads where their anchor belongs
+        route = np.where(kind == COPY, mix64(d.astype(U64)), a).view(np.int64)
+        for i in range(0, len(a), 50_000):
+            s = slice(i, i + 50_000)
+            yield pa.RecordBatch.from_arrays([pa.array(x[s]) for x in (route, kind, a.view(np.int64), c.view(np.int64), d, at)], ["route", "kind", "anchor", "block", "doc", "at"])
 
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, ids, held, n = [], [], 0, 0
         for batch in batches:
             docs = batch.column(0).to_numpy(zero_copy_only=False)
             texts = batch.column(1).cast(pa.binary()).to_pylist()
             for s, e in slices([len(t) for t in texts], SLICE_BYTES):
                 part = texts[s:e]
-                a, c, d, lo, hi, _ = blocks(*symbols(part), width, gram)
-                found.append((a, c, d + n, lo, hi))
+                a, c, d, lo, hi, place = blocks(*symbols(part), width, gram)
+                found.append((a, c, d + n, lo, hi, place))
                 ids.append(docs[s:e])
                 n += e - s
                 held += sum(map(len, part))
                 if held >= BATCH_BYTES:
-                    yield flush(found, np.concatenate(ids))
+                    yield from flush(found, np.concatenate(ids))
                     found, ids, held, n = [], [], 0, 0
         if found:
-            yield flush(found, np.concatenate(ids))
-
-    def judge(group: pd.DataFrame) -> pd.DataFrame:
-        decided = group["doc"].notna()
-        docs, los, his, anchors = [], [], [], []
-        for doc, blob in zip(group["doc"][decided], group["blob"][decided], strict=True):
-            lo, end = _columns([blob], ["<i8", "<i8"])
-            docs.append(np.full(len(lo), int(doc))), los.append(lo), his.append(end - 1), anchors.append(np.zeros(len(lo), np.int64))
-        full = sum(map(len, docs))
-        a, c, d, lo, span = _columns(group["blob"][~decided].tolist(), BLOCK_TYPES)
-        if len(a):
-            order = np.lexsort((lo, d, c, a))
-            a, c, d, lo, span = a[order], c[order], d[order], lo[order].astype(np.int64), span[order]
-            new_a = np.append(True, a[1:] != a[:-1])
-            new = new_a | np.append(True, c[1:] != c[:-1])
-            lead = d[np.flatnonzero(new)][np.cumsum(new) - 1]
-            repeat = ~new if own_repeats else d > lead
-            of_a = np.cumsum(new_a) - 1
-            several = np.bincount(of_a, weights=new)[of_a] > 1
-            opened = ~repeat & several
-            for which in (repeat, opened):
-                docs.append(d[which]), los.append(lo[which]), his.append((lo + span)[which])
-                anchors.append(a[which].view(np.int64))
-            full += int(repeat.sum())
-        if not docs:
-            return pd.DataFrame({"doc": [], "lo": [], "hi": [], "anchor": []}).astype({"doc": "int64", "lo": "int64", "hi": "int64", "anchor": "Int64"})
-        anchor = pd.array(np.concatenate(anchors), dtype="Int64")
-        anchor[:full] = pd.NA
-        return pd.DataFrame({"doc": np.concatenate(docs), "lo": np.concatenate(los), "hi": np.concatenate(his), "anchor": anchor})
-
-    sent = rows.select("doc", "text").mapInArrow(scan, "bucket int, doc long, blob binary")
-    return write_table(sent.groupBy("bucket").applyInPandas(judge, MARKS), "marks"), buckets
-
-
-def by_document(marks: DataFrame) -> DataFrame:
-    """doc and the list of its marks; a list is bounded by its document's length."""
-    return marks.groupBy("doc").agg(F.collect_list(F.struct("lo", "hi", "anchor")).alias("marks"))
+            yield from flush(found, np.concatenate(ids))
+
+    def marks(kind: np.ndarray, a: np.ndarray, c: np.ndarray, d: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+        lo = at >> 32
+        fields = [d, lo, lo + ((at >> 16) & 0xFFFF), lo + (at & 0xFFFF), a, c]
+        return pa.RecordBatch.from_arrays([*[pa.array(x) for x in fields], pa.array(kind == COPY)], ["doc", "lo", "hi", "place", "anchor", "block", "copy"])
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Leads come sorted by anchor, block, doc and place. An anchor's first row waits for a second one."""
+        held: list[np.ndarray] | None = None  # the row that waits
+        live: int | None = None  # the anchor of the rows that were emitted last
+        run, seen = None, 0  # the block of the last row, and its rows so far
+        for batch in batches:
+            kind, a, c, d, at = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(1, 6))
+            copies = kind == COPY
+            if copies.any():
+                yield marks(*(x[copies] for x in (kind, a, c, d, at)))
+                kind, a, c, d, at = (x[~copies] for x in (kind, a, c, d, at))
+            if held is not None and len(a):
+                kind, a, c, d, at = (np.append(x, y) for x, y in zip(held, (kind, a, c, d, at), strict=True))
+                held = None
+            if not len(a):
+                continue
+            new = np.append(True, a[1:] != a[:-1])
+            of = np.cumsum(new) - 1
+            alive = np.bincount(of) > 1
+            alive |= np.bincount(of, weights=kind == COPIED) > 0
+            alive[0] |= live is not None and a[0] == live
+            if not alive[-1]:
+                held = [x[-1:] for x in (kind, a, c, d, at)]
+            first = np.flatnonzero(new | np.append(True, c[1:] != c[:-1]))
+            nth = np.arange(len(a)) - np.repeat(first, np.diff(np.append(first, len(a))))
+            if run == (a[0], c[0]):
+                nth[: first[1] if len(first) > 1 else len(a)] += seen
+            out = alive[of]
+            if alive[-1]:
+                live, run, seen = a[-1], (a[-1], c[-1]), int(nth[-1]) + 1
+            if out.any():
+                yield marks(*(x[out] for x in (np.where(nth >= opened, COPY, LEAD), a, c, d, at)))
+
+    sent = rows.select("doc", "text").mapInArrow(scan, "route long, kind byte, anchor long, block long, doc long, at long")
+    dealt = sent.repartition("route").sortWithinPartitions(F.col("kind") == COPY, "anchor", "block", "doc", "at")
+    return write_table(dealt.mapInArrow(judge, "doc long, lo long, hi long, place long, anchor long, block long, copy boolean"), "marks")
+
+
+def sizes_of(rows: DataFrame, unit: int) -> int:
+    """A number of groups that grows with the bytes of text: one for each ``unit`` of them, 128 at least."""
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(128, -(-total // unit))
+
+
+def with_marks(texts: DataFrame, listed: DataFrame, column: str) -> DataFrame:
+    """doc, text (null where there are no marks), and the marks.
+
+    texts is (doc, text), joined from the left: the exchange below is the same as that of the last
+    join, with all texts, so Spark reuses it and the texts are exchanged once.
+    """
+    return texts.join(listed, "doc", "left").select("doc", F.when(F.col(column).isNotNull(), F.col("text")).alias("text"), column)

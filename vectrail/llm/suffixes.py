@@ -4,12 +4,20 @@ A sparse suffix array over anchor places (see repeats): suffixes right of the an
 reversed prefixes left of them, are sorted by a mergesort whose comparisons find the common
 extension by binary search over prefix polynomial hashes. Runs of the sorted orders with a common
 extension of r (right) and o (left) bytes are the equal strings of length o + r around an anchor.
-Extensions of neighbours in the order are verified byte by byte, so a hash collision cannot pass.
+Extensions of neighbours in the order are verified byte by byte, so a collision cannot pass there.
+
+The array holds the first OPENED occurrences of each different block of bytes around an anchor.
+Further occurrences (groups of more copies) share the place of those in the array: their anchors'
+64-bit hashes and the 64-bit hashes of all their bytes (no polynomials) are equal, and their bytes
+are not compared once more. Anchors with very many different blocks are split by the bytes that
+all windows of a range of places around the anchor share.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+import struct
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -18,14 +26,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BYTE_VALUE, U64, mix64, prefix_hash, range_hash, window_hash
-from .repeats import by_document, candidates, merged, unique_rows
+from .common import BYTE_VALUE, byte_lanes, prefix_hash, range_hash
+from .repeats import candidates, merged, sizes_of, unique_rows, with_marks
 
 GRAM = 24
+#: Occurrences of each block whose bytes are compared.
+OPENED = 2
+#: An anchor with more opened occurrences is split into so many ranges of places, and by what its windows share there.
+HOT_ANCHOR, RANGES = 256, 8
+
 
+def byte_symbols(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    raw = np.frombuffer(b"".join(texts), np.uint8)
+    return BYTE_VALUE[raw], np.array([len(t) for t in texts], dtype=np.int64), byte_lanes(raw), 8
 
-def byte_symbols(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    return BYTE_VALUE[np.frombuffer(b"".join(texts), np.uint8)], np.array([len(t) for t in texts], dtype=np.int64)
+
+#: (columns of a batch, whether each text was cut, what is kept of it) -> columns.
+Rewrite = Callable[[list[pa.Array], list[bool], list[bytes]], list[pa.Array]]
 
 
 class SuffixSorter:
@@ -153,16 +170,7 @@ def repeated_windows(raw, anchor, left, right, first, last, doc, place, width):
     return np.concatenate(found_i), np.concatenate(found_o)
 
 
-def _intervals(marks) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """lo, hi, anchor (0 where null), opened."""
-    lo = marks.field("lo").to_numpy(zero_copy_only=False)
-    hi = marks.field("hi").to_numpy(zero_copy_only=False)
-    anchor = marks.field("anchor")
-    opened = ~anchor.is_null().to_numpy(zero_copy_only=False)
-    return lo, hi, anchor.fill_null(0).to_numpy(zero_copy_only=False), opened
-
-
-def remove_repeats(docs: DataFrame, *, width: int = 100, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, width: int = 100, id_col: str = "doc_id", text_col: str = "text", rewrite: Rewrite | None = None) -> DataFrame:
     """Remove every byte covered by a ``width``-byte string that also starts earlier.
 
     Earlier means a smaller doc_id, or the same document and an earlier start; overlaps count, and
@@ -171,52 +179,61 @@ def remove_repeats(docs: DataFrame, *, width: int = 100, id_col: str = "doc_id",
     without id (which come last), are documents of their own, ordered by text hash. Texts shorter than
     the width keep all bytes. An empty table gives an empty one; other columns are not read.
 
-    With carry, the result is instead all columns of docs followed by spans and kept, in these places,
-    under names c0, c1, ... (docs may have columns of any names).
+    With rewrite, the result has the columns of docs instead: in the same pass over the texts,
+    rewrite gets a batch's columns, which texts were cut, and what is kept of each, and gives the columns anew.
     """
-    rows, _ = unique_rows(docs, id_col, text_col, carry=carry)
-    done = _apply(rows, width, carry)
-    return done if carry else done.select("doc_id", "n_bytes", "spans", "kept")
-
-
-def _apply(rows: DataFrame, width: int, carry: bool) -> DataFrame:
+    carry = rewrite is not None
+    rows, plain = unique_rows(docs, id_col, text_col, carry=carry)
     gram = min(GRAM, width)
-    marks, buckets = candidates(rows, byte_symbols, width, gram, own_repeats=True)
-    opened = marks.where("anchor IS NOT NULL")
-    groups = max(128, buckets >> 1)  # few enough that a group has work for its numpy calls
+    reach = width - gram
+    marks = candidates(rows, byte_symbols, width, gram, opened=OPENED)
+    groups = sizes_of(rows, 1 << 19)
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The bytes of each opened block; of a hot anchor's block, those of each range of windows, under a key of what they share."""
+        kinds = {"place": pa.int32(), "first": pa.int32(), "last": pa.int32(), "context": pa.binary()}
         for batch in batches:
-            out: dict[str, list] = {k: [] for k in ("bucket", "anchor", "doc", "lo", "hi", "context")}
-            for doc, text, marks in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2), strict=True):
-                lo, hi, anchor, _ = _intervals(marks.values)
-                for x, y, a in zip(lo.tolist(), hi.tolist(), anchor.tolist(), strict=True):
-                    out["bucket"].append((a >> 40) & (groups - 1)), out["anchor"].append(a), out["doc"].append(doc)
-                    out["lo"].append(x), out["hi"].append(y), out["context"].append(text[x : y + width])
-            kinds = {"bucket": pa.int32(), "context": pa.binary()}
+            out: dict[str, list] = {k: [] for k in ("key", "doc", "start", "place", "first", "last", "context")}
+            for doc, text, own in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), batch.column(2), strict=True):
+                if not own.is_valid:
+                    continue
+                text = text.as_py()
+                columns = (own.values.field(k).to_pylist() for k in ("lo", "hi", "place", "anchor", "hot"))
+                for lo, hi, place, anchor, hot in zip(*columns, strict=True):
+                    # windows start ``least`` to ``most`` bytes before the anchor
+                    pieces = [(place - hi, place - lo, anchor)]
+                    if hot:
+                        pieces = []
+                        for r in range(RANGES):
+                            low, high = r * (reach + 1) // RANGES, (r + 1) * (reach + 1) // RANGES - 1
+                            least, most = max(low, place - hi), min(high, place - lo)
+                            if least <= most:
+                                core = text[place - low : place + width - high]
+                                pieces.append((least, most, int.from_bytes(hashlib.blake2b(core, digest_size=8, key=struct.pack("<qi", anchor, r)).digest(), "little", signed=True)))
+                    for least, most, key in pieces:
+                        out["key"].append(key), out["doc"].append(doc), out["start"].append(place - most)
+                        out["place"].append(most), out["first"].append(most), out["last"].append(least)
+                        out["context"].append(text[place - most : place - least + width])
             yield pa.RecordBatch.from_arrays([pa.array(v, kinds.get(k, pa.int64())) for k, v in out.items()], list(out))
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["anchor", "doc", "lo"], kind="stable")
+        group = group.sort_values(["key", "doc", "start"], kind="stable")
         sizes = group["context"].str.len().to_numpy(np.int64)
         raw = np.frombuffer(b"".join(group["context"]), np.uint8)
         begin = np.cumsum(sizes) - sizes
-        lo, hi, doc = (group[k].to_numpy(np.int64) for k in ("lo", "hi", "doc"))
-        value = group["anchor"].to_numpy(np.int64)
-        # the anchor's place follows from the context: the leftmost gram of the anchor's hash
-        place = anchor_places(raw, begin, sizes, value.view(U64), width, gram)
-        at = begin + place
-        segment = np.cumsum(np.append(True, value[1:] != value[:-1])) - 1
-        first, last = place, place - (hi - lo)
-        i, o = repeated_windows(raw, {"segment": segment, "at": at}, place, sizes - place, first, last, doc, lo, width)
-        start = lo[i] + place[i] - o
-        order = np.lexsort((start, doc[i]))
-        d, s = doc[i][order], start[order]
+        key, start, doc, place, first, last = (group[k].to_numpy(np.int64) for k in ("key", "start", "doc", "place", "first", "last"))
+        segment = np.cumsum(np.append(True, key[1:] != key[:-1])) - 1
+        i, o = repeated_windows(raw, {"segment": segment, "at": begin + place}, place, sizes - place, first, last, doc, start, width)
+        at = start[i] + place[i] - o
+        order = np.lexsort((at, doc[i]))
+        d, s = doc[i][order], at[order]
         new = np.append(True, (d[1:] != d[:-1]) | (s[1:] > s[:-1] + 1)) if len(d) else np.zeros(0, bool)
         at_new = np.flatnonzero(new)
         end = np.append(at_new[1:], len(d)) - 1
         return pd.DataFrame({"doc": d[at_new], "lo": s[at_new], "hi": s[end] if len(d) else s})
 
+    names = [f"c{i}" for i in range(len(docs.columns))] if carry else ["doc_id", "n_bytes", "spans", "kept"]
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         for batch in batches:
@@ -230,34 +247,28 @@ def _apply(rows: DataFrame, width: int, carry: bool) -> DataFrame:
                 spans.append([{"start": a, "end": b} for a, b in zip(x.tolist(), y.tolist(), strict=True)])
                 edges = [0, *np.stack([x, y], axis=1).ravel().tolist(), len(text)]
                 kept.append(b"".join(text[edges[k] : edges[k + 1]] for k in range(0, len(edges), 2)) if len(x) else text)
-            own = list(batch.column(3).flatten()) if carry else [batch.column(0), pa.array(sizes, pa.int64())]
-            out = [*own, pa.array(spans, span), pa.array(kept, pa.binary())]
-            yield pa.RecordBatch.from_arrays(out, [f"c{i}" for i in range(len(out))])
-
-    asked = by_document(opened)
-    sent = rows.select("doc", "text").join(asked, "doc").mapInArrow(contexts, "bucket int, anchor long, doc long, lo long, hi long, context binary")
-    single = sent.groupBy("bucket").applyInPandas(compare, "doc long, lo long, hi long")
-    both = marks.where("anchor IS NULL").select("doc", "lo", "hi", F.lit(True).alias("whole")).union(single.select("doc", "lo", "hi", F.lit(False).alias("whole")))
+            if rewrite is not None:
+                out = rewrite(list(batch.column(3).flatten()), [bool(s) for s in spans], kept)
+                yield pa.RecordBatch.from_arrays(out, names)
+            else:
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(spans, span), pa.array(kept, pa.binary())], names)
+
+    texts = rows.select("doc", "text")
+    opened = marks.where("NOT copy").select("doc", "lo", "hi", "place", "anchor")
+    crowds = opened.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > HOT_ANCHOR).select("anchor", F.lit(True).alias("hot"))
+    opened = opened.join(crowds, "anchor", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    asked = opened.groupBy("doc").agg(F.collect_list(F.struct("lo", "hi", "place", "anchor", "hot")).alias("asked"))
+    sent = with_marks(texts, asked, "asked").mapInArrow(contexts, "key long, doc long, start long, place int, first int, last int, context binary")
+    single = sent.groupBy(F.pmod(F.xxhash64("key"), F.lit(groups)).alias("bucket")).applyInPandas(compare, "doc long, lo long, hi long")
+    both = marks.where("copy").select("doc", "lo", "hi").union(single)
     listed = both.groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("removed"))
-    joined = rows.join(listed, "doc", "left").select("doc_id", "text", "removed", *(["row"] if carry else []))
-    fields = rows.schema["row"].dataType.fields if carry else [T.StructField("doc_id", T.LongType()), T.StructField("n_bytes", T.LongType())]
-    added = T.StructType.fromDDL("spans array<struct<start:bigint,end:bigint>>, kept binary").fields
-    plain = [T.StructField(f"c{i}", f.dataType) for i, f in enumerate([*fields, *added])]
-    done = joined.mapInArrow(cut, T.StructType(plain))
-    return done if carry else done.toDF(*[f.name for f in [*fields, *added]])
-
-
-def anchor_places(raw, begin, sizes, value, width, gram) -> np.ndarray:
-    """Place of the leftmost gram of each context whose hash is the anchor's."""
-    h = mix64(window_hash(prefix_hash(BYTE_VALUE[raw]), gram))
-    grams = sizes - gram + 1
-    row = np.repeat(np.arange(len(sizes)), grams)
-    offset = np.arange(int(grams.sum())) - np.repeat(np.cumsum(grams) - grams, grams)
-    hit = np.flatnonzero(h[np.repeat(begin, grams) + offset] == value[row])
-    rows, first = np.unique(row[hit], return_index=True)
-    place = np.zeros(len(sizes), np.int64)
-    place[rows] = offset[hit[first]]
-    return place
+    alone = plain and not carry
+    joined = (texts if alone else rows).join(listed, "doc", "left").select(F.col("doc" if alone else "doc_id").alias("doc_id"), "text", "removed", *(["row"] if carry else []))
+    if not carry:
+        return joined.mapInArrow(cut, "doc_id long, n_bytes long, spans array<struct<start:bigint,end:bigint>>, kept binary")
+    # columns of docs may have any names
+    done = joined.mapInArrow(cut, T.StructType([T.StructField(n, f.dataType) for n, f in zip(names, docs.schema.fields, strict=True)]))
+    return done.toDF(*docs.columns)
 
 
 def digests(removed: DataFrame) -> DataFrame:
