@@ -2,9 +2,10 @@
 
 A neighbour graph over the distinct vectors of each label starts from random-hyperplane buckets and
 is refined through neighbours-of-neighbours joins until it settles. Edges at or above the threshold
-are links. A vector whose list is saturated (full of links) is compared exactly with every vector of
-its label that an angular bound cannot exclude, in blocks of fixed size and across components. Recall
-of links is audited against brute force; where it falls short, every vector is compared that way.
+are links. A vector whose list is saturated (full of links), or that lies in a large component, is
+compared exactly with every vector of its label that an angular bound cannot exclude, in blocks of
+fixed size and across components; the others are compared exactly within their component. Recall of
+links is audited against brute force; where it falls short, every vector is compared across components.
 """
 
 from __future__ import annotations
@@ -57,10 +58,29 @@ def _cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a @ b.T) / (na[:, None] * nb[None, :])
 
 
+def _runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """Sorted rows again, cut so that no run of equal keys spans two tables."""
+    rest: pa.Table | None = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        table = table if rest is None else pa.concat_tables([rest, table])
+        values = table.column(key).to_numpy()
+        last = int(np.searchsorted(values, values[-1])) if len(values) else 0
+        rest = table.slice(last)
+        if last:
+            yield table.slice(0, last)
+    if rest is not None and rest.num_rows:
+        yield rest
+
+
 def _seed(nodes: DataFrame, tables: int, bits: int, near: int, seed: int) -> DataFrame:
-    """u, v candidates: nodes that follow each other in a random-hyperplane bucket of their label."""
+    """u, v candidates: nodes that follow each other when those of a label are sorted by random-hyperplane bits.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    A range sort cuts each table of bits into tasks of even size, so no bucket and no label is one
+    task's; pairs over a cut are left to the other tables.
+    """
+
+    def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, np.ndarray] = {}
         for batch in batches:
             dims = batch.column(2).to_numpy()
@@ -71,18 +91,32 @@ def _seed(nodes: DataFrame, tables: int, bits: int, near: int, seed: int) -> Dat
                 z = (_vectors(part.column(3), dim) @ planes[dim]).reshape(part.num_rows, tables, bits + 1)
                 code = ((z[:, :, :bits] > 0) * (1 << np.arange(bits, dtype=np.int64))).sum(axis=2)
                 n = part.num_rows
+                each = pa.array(np.repeat(np.arange(n), tables))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(np.repeat(np.arange(n), tables))), part.column(1).take(pa.array(np.repeat(np.arange(n), tables))),
-                     pa.array(np.repeat(np.full(n, dim, np.int32), tables)), pa.array(np.tile(np.arange(tables, dtype=np.int32), n)), pa.array(code.ravel()), pa.array(z[:, :, bits].ravel())],
+                    [part.column(0).take(each), part.column(1).take(each), pa.array(np.full(n * tables, dim, np.int32)), pa.array(np.tile(np.arange(tables, dtype=np.int32), n)), pa.array(code.ravel()), pa.array(z[:, :, bits].ravel())],
                     ["u", "label", "dim", "tbl", "code", "along"])
 
-    coded = nodes.select("u", "label", "dim", "vec").mapInArrow(run, "u long, label string, dim int, tbl int, code long, along double")
-    w = Window.partitionBy("tbl", "label", "dim", "code").orderBy("along", "u")
-    # the order over all codes also gives nodes that are alone in their bucket somebody to start from
-    wide = Window.partitionBy("tbl", "label", "dim", F.col("code").bitwiseAND((1 << max(1, bits // 3)) - 1)).orderBy("code", "along", "u")
-    after = F.array(*[F.lead("u", i).over(w) for i in range(1, near + 1)], *[F.lead("u", i).over(wide) for i in (1, 2)])
-    found = coded.select("u", after.alias("after")).select("u", F.explode("after").alias("v")).where("v IS NOT NULL AND u <> v")
-    return found.union(found.select("v", "u")).distinct()
+    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, keys = np.zeros(0, np.int64), np.zeros(0, object)
+        for batch in batches:
+            own = np.empty(batch.num_rows, object)
+            own[:] = list(zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True))
+            ids, keys = np.append(ids, batch.column(0).to_numpy()), np.append(keys, own)
+            found = []
+            for i in range(1, near + 1):
+                # pairs within the rows kept from the last batch were found there
+                first = max(0, len(ids) - batch.num_rows - i)
+                x, y = ids[first : len(ids) - i], ids[first + i :]
+                same = keys[first : len(ids) - i] == keys[first + i :]
+                found.append((x[same], y[same]))
+            u, v = (np.concatenate(z) for z in zip(*found, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(u, v)), pa.array(np.append(v, u))], ["u", "v"])
+            ids, keys = ids[-near:], keys[-near:]
+
+    coded = nodes.select("u", "label", "dim", "vec").mapInArrow(codes, "u long, label string, dim int, tbl int, code long, along double")
+    order = ["tbl", "label", "dim", "code", "along", "u"]
+    ranged = coded.repartitionByRange(*order).sortWithinPartitions(*order)
+    return ranged.select("u", "label", "dim", "tbl").mapInArrow(follow, "u long, v long").distinct()
 
 
 def _scored(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -130,9 +164,7 @@ def _refine(graph: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
         return ids[i], ids[j], sim[i, j]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: pa.Table | None = None
-
-        def flush(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        for table in _runs(batches, "c"):
             c, m = table.column("c").to_numpy(), table.column("m").to_numpy()
             least, dims = table.column("least").to_numpy(), table.column("dim").to_numpy()
             vec = table.column("vec").to_pylist()
@@ -146,17 +178,6 @@ def _refine(graph: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
                 for i in range(0, len(u), 200_000):
                     yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 200_000]) for x in (u, v, sim)], ["u", "v", "sim"])
 
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            table = table if rest is None else pa.concat_tables([rest, table])
-            c = table.column("c").to_numpy()
-            last = int(np.searchsorted(c, c[-1])) if len(c) else 0
-            rest = table.slice(last)
-            if last:
-                yield from flush(table.slice(0, last))
-        if rest is not None and rest.num_rows:
-            yield from flush(rest)
-
     return sorted_members.mapInArrow(run, "u long, v long, sim double")
 
 
@@ -270,32 +291,54 @@ def _complete(asked: DataFrame, nodes: DataFrame, sizes: DataFrame, threshold: f
     return reached.join(balls.select("ball", "dim", "us", "copies", "vecs"), "ball").mapInArrow(meet, "u long, n long, v long")
 
 
-def _counted(nodes: DataFrame, links: DataFrame, comp: DataFrame, asked: DataFrame, threshold: float) -> DataFrame:
+def _within(members: DataFrame, threshold: float) -> DataFrame:
+    """u, inner: vectors linked with each node among the other members of its component, which is of BLOCK nodes at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _runs(batches, "component"):
+            c, u, copies, dims = (table.column(k).to_numpy() for k in ("component", "u", "copies", "dim"))
+            vec = table.column("vec").to_pylist()
+            inner = np.zeros(len(c), np.int64)
+            cut = np.flatnonzero(np.append(True, c[1:] != c[:-1]))
+            for s, e in zip(cut.tolist(), [*cut[1:].tolist(), len(c)], strict=True):
+                x = _vectors(vec[s:e], int(dims[s]))
+                link = _cosines(x, x) >= threshold
+                np.fill_diagonal(link, False)
+                inner[s:e] = link @ copies[s:e]
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(inner)], ["u", "inner"])
+
+    return members.select("component", "u", "copies", "dim", "vec").repartition("component").sortWithinPartitions("component").mapInArrow(run, "u long, inner long")
+
+
+def _counted(nodes: DataFrame, comp: DataFrame, full: DataFrame, threshold: float) -> DataFrame:
     """label, dim, vec, u, copies, n_links, component_id of each node.
 
-    Links with an asked node are counted exactly, those between the others from the lists.
+    Nodes in ``full`` and in components of more than BLOCK nodes meet all nodes of their label,
+    the others those of their component.
     """
-    members = write_table(nodes.join(asked, "u").join(comp, "u"), "saturated")
-    sizes = members.groupBy("component").agg(F.count("*").alias("size"))
-    exact = write_table(_complete(members, nodes, sizes, threshold), "exact")
+    sizes = comp.groupBy("component").agg(F.count("*").alias("size"))
+    told = comp.join(sizes, "component").join(full.select("u", F.lit(True).alias("full")), "u", "left")
+    told = write_table(nodes.join(told, "u").withColumn("asked", F.coalesce("full", F.lit(False)) | (F.col("size") > BLOCK)).drop("full"), "told")
+    members = told.where("asked").drop("size", "asked")
+    asked = members.select("u")
+    exact = write_table(_complete(members.select("u", "label", "dim", "vec", "copies", "component"), nodes, members.groupBy("component").agg(F.count("*").alias("size")), threshold), "exact")
     of = lambda c: comp.select(F.col("u").alias(c), F.col("component").alias(f"{c}_c"))
     merged = exact.where("u <> v").select("u", "v").distinct().join(of("u"), "u").join(of("v"), "v").where("u_c <> v_c")
     merged = write_table(merged.select(F.least("u_c", "v_c").alias("u"), F.greatest("u_c", "v_c").alias("v")).distinct(), "merged")
     if not merged.isEmpty():
         top = components(merged).select(F.col("node").alias("component"), F.col("component").alias("top"))
         comp = comp.join(top, "component", "left").select("u", F.coalesce("top", "component").alias("component"))
-    both = links.union(links.select("v", "u")).join(asked, "u", "left_anti").join(asked.withColumnRenamed("u", "v"), "v", "left_anti")
-    listed = both.join(nodes.select(F.col("u").alias("v"), "copies"), "v").groupBy("u").agg(F.sum("copies").alias("listed"))
+    inner = _within(told.where("size > 1 AND NOT asked"), threshold)
     counts = exact.groupBy("u").agg(F.sum("n").alias("n"))
-    n_links = F.coalesce("n", F.lit(0)) + F.coalesce("listed", F.lit(0)) + F.col("copies") - 1
-    per_node = nodes.join(comp, "u").join(listed, "u", "left").join(counts, "u", "left")
+    n_links = F.coalesce("n", F.lit(0)) + F.coalesce("inner", F.lit(0)) + F.col("copies") - 1
+    per_node = nodes.join(comp, "u").join(inner, "u", "left").join(counts, "u", "left")
     return write_table(per_node.select("label", "dim", "vec", "u", "copies", n_links.alias("n_links"), F.col("component").alias("component_id")), "per-node")
 
 
 @dataclasses.dataclass
 class NearDuplicates:
-    rows: DataFrame  # vec_id, n_links, component_id, kept
-    recall: float  # of the audited nodes' links; 1.0 if they have none
+    rows: DataFrame  # vec_id, n_links, component_id, kept, link_recall
+    recall: float | None  # of the audited vectors' links; None if they have none
 
 
 def near_duplicates(
@@ -305,7 +348,8 @@ def near_duplicates(
     """Links between vectors of equal label with cosine >= threshold (double precision), and their components.
 
     One row a distinct vec_id: n_links (other ids linked directly), component_id (smallest id reachable),
-    kept (vec_id = component_id). Rows whose vector is null, empty, zero, or has a null or non-finite
+    kept (vec_id = component_id), link_recall (of about ``queries`` audited vectors; null if they have no
+    link). A recall below 0.9 raises. Rows whose vector is null, empty, zero, or has a null or non-finite
     component, and rows with a null label, link with nothing; vectors of different length are not
     compared. Rows that repeat an id count as one vector, the first in the order of label and bytes;
     rows without id are left out of the links and returned with nulls. An empty table gives an empty
@@ -332,11 +376,13 @@ def near_duplicates(
     comp = write_table(nodes.select("u").join(linked_comp, "u", "left").select("u", F.coalesce("component", "u").alias("component")), "comp")
     # a list full of links may miss some, in its component or in another
     full = graph.groupBy("u").agg(F.min("sim").alias("low"), F.count("*").alias("n")).where((F.col("low") >= threshold) & (F.col("n") >= k)).select("u")
-    per_node = _counted(nodes, links, comp, write_table(full, "full"), threshold)
+    per_node = _counted(nodes, comp, full, threshold)
     recall = audit(per_node, threshold, queries, n)
-    if recall < least_recall:
-        per_node = _counted(nodes, links, comp, nodes.select("u"), threshold)
+    if recall is not None and recall < least_recall:
+        per_node = _counted(nodes, comp, nodes.select("u"), threshold)
         recall = audit(per_node, threshold, queries, n)
+    if recall is not None and recall < 0.9:
+        raise RuntimeError(f"only {recall:.3f} of the audited links were found")
     found = packed.join(per_node, ["label", "dim", "vec"]).select("vec_id", "n_links", "component_id")
     ids = source.select("vec_id").distinct()
     rows = ids.join(found, "vec_id", "left").select(
@@ -344,30 +390,32 @@ def near_duplicates(
         F.when(F.col("vec_id").isNotNull(), F.coalesce("n_links", F.lit(0))).cast("long").alias("n_links"),
         F.coalesce("component_id", "vec_id").alias("component_id"),
         (F.col("vec_id") == F.coalesce("component_id", "vec_id")).alias("kept"),
+        F.lit(recall).cast("double").alias("link_recall"),
     )
     return NearDuplicates(rows, recall)
 
 
-def audit(per_node: DataFrame, threshold: float, queries: int, n: int) -> float:
-    """Share of the links that brute force finds for about ``queries`` nodes that their n_links holds."""
-    asked = per_node.where(F.pmod(F.xxhash64("u", F.lit(5)), F.lit(1_000_003)) < int(1_000_003 * min(1.0, queries / max(1, n))))
-    sample = [(r.u, r.label, r.dim, r.vec) for r in asked.select("u", "label", "dim", "vec").collect()]
-    if not sample:
-        return 1.0
+def audit(per_node: DataFrame, threshold: float, queries: int, n: int) -> float | None:
+    """Share of the links that brute force finds for about ``queries`` nodes that their n_links holds; None without links."""
+    chosen = per_node.where(F.pmod(F.xxhash64("u", F.lit(5)), F.lit(1_000_003)) < int(1_000_003 * min(1.0, queries / max(1, n))))
+    sample: dict[tuple, list] = {}
+    for r in chosen.select("u", "label", "dim", "vec").collect():
+        sample.setdefault((r.label, r.dim), []).append((r.u, bytes(r.vec)))
+    groups = {key: (np.array([u for u, _ in rows]), _vectors([v for _, v in rows], key[1])) for key, rows in sample.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, labels, dims = batch.column(0).to_numpy(), np.array(batch.column(1).to_pylist(), object), batch.column(2).to_numpy()
-            copies = batch.column(4).to_numpy()
+            ids, labels, dims, copies = batch.column(0).to_numpy(), np.array(batch.column(1).to_pylist(), object), batch.column(2).to_numpy(), batch.column(4).to_numpy()
             u, true = [], []
-            for q, label, dim, vec in sample:
-                i = np.flatnonzero((labels == label) & (dims == dim) & (ids != q))
+            for (label, dim), (asked, x) in groups.items():
+                i = np.flatnonzero((labels == label) & (dims == dim))
                 if len(i):
-                    sim = _cosines(_vectors([vec], dim), _vectors(batch.column(3).take(pa.array(i)), dim))[0]
-                    u.append(q), true.append(int(copies[i[sim >= threshold]].sum()))
-            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(true, pa.int64())], ["u", "true"])
+                    link = (_cosines(x, _vectors(batch.column(3).take(pa.array(i)), dim)) >= threshold) & (asked[:, None] != ids[i][None, :])
+                    u.append(asked), true.append(link @ copies[i])
+            if u:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(u)), pa.array(np.concatenate(true))], ["u", "true"])
 
     true = per_node.select("u", "label", "dim", "vec", "copies").mapInArrow(run, "u long, true long").groupBy("u").agg(F.sum("true").alias("true"))
     found = true.join(per_node.select("u", (F.col("n_links") - F.col("copies") + 1).alias("found")), "u")
     got = found.agg(F.sum("true").alias("n"), F.sum(F.least("true", "found")).alias("hit")).first()
-    return 1.0 if not got.n else got.hit / got.n
+    return got.hit / got.n if got.n else None

