@@ -22,6 +22,21 @@ def samples():
     return out + ["".join(rng.choice(alphabet) for _ in range(rng.randint(1, 60))) for _ in range(300)]
 
 
+def odd_texts(n=10_000):
+    """Short texts of control characters, unusual blanks, special tokens and letters."""
+    rng = random.Random(1)
+    parts = ["a", "b", "The", " ", "  ", "\n", "\0", "\x1c", "\x1d", "\x85", "\xa0", "<|endoftext|>", "<|", "é", "ß", "中", "'s", "1", "23", "\t", "\ufeff", "😀", "\r\n", "."]
+    return ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(n)]
+
+
+def test_odd_texts_equal_the_library(library):
+    coder, texts = bpe.codec(RANKS, P.PATTERN).encoder(), odd_texts()
+    got = [x for i in range(0, len(texts), 500) for x in coder.encode(texts[i : i + 500])]
+    assert [x.tolist() for x in got] == [library.encode_ordinary(t) for t in texts]
+    own = bpe.codec(RANKS, P.PATTERN)
+    assert [own.decode(x) for x in got] == [t.encode() for t in texts]
+
+
 def test_equals_the_library(library):
     coder = bpe.codec(RANKS, P.PATTERN).encoder(most=50)  # a small cache is cleared on the way
     texts = samples()

@@ -106,3 +106,78 @@ def test_scoring_edge_cases(spark, module, column):
     for only, want in ((marks.where("false"), 0.5), (marks.where(F.col(column) == 1), 0.98)):
         values = [r[3] for r in module.score(odd, module.train(docs, only)).collect()]
         assert all(v == pytest.approx(want, abs=0.01) for v in values)
+
+
+def test_long_texts_are_scored_in_chunks(monkeypatch):
+    rng = np.random.default_rng(3)
+    words = ["alpha", "beta", "Gamma!", "|||", "x", "", "12 34", "alpha alpha"]
+    texts = ["\n".join(" ".join(rng.choice(words, rng.integers(0, 9))) for _ in range(n)).encode() for n in (1, 40, 0, 300)] + [b"", b"\n\n", b"w " * 900]
+    w = rng.standard_normal(quality.FEATURES)
+    x, size, lines = quality.line_features(texts)
+    assert lines.tolist() == [t.count(b"\n") + 1 for t in texts]
+    for chunk, most in ((16_384, 512 << 10), (7, 512 << 10), (50, 64)):
+        monkeypatch.setattr(quality, "CHUNK_LINES", chunk)
+        monkeypatch.setattr(quality, "SLICE_BYTES", most)
+        z, size2, lines2 = quality.emissions(texts, w)
+        assert np.allclose(z, x @ w) and (size == size2).all() and (lines == lines2).all()
+    whole, _ = quality.sampled_lines(texts[3], 1000, 10)
+    assert np.allclose(whole, quality.line_features([texts[3]])[0])
+    some, size = quality.sampled_lines(texts[3], 40, 10)
+    assert len(some) == len(size) == 40 and all((np.abs(whole - r).sum(axis=1) < 1e-9).any() for r in some)
+
+
+def test_a_text_of_line_ends_takes_little_memory():
+    import resource
+
+    model = quality.QualityModel(np.linspace(-1, 1, quality.FEATURES), np.zeros((2, 2)), 1.0, 0.0)
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    assert 0 <= model.scores([b"\n" * 300_000])[0] <= 1
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 200_000  # KB
+
+
+def test_language_margins_equal_a_loop_over_grams():
+    rng = np.random.default_rng(1)
+    model = langid.LanguageModel(["a", "b", "c"], rng.standard_normal((1 << langid.BITS, 3)), rng.standard_normal(3), 1.7, (1, 2, 3))
+    texts = ["The cat", "", "é", "ab ab ab", "x" * 50]
+    got = model.margins(texts)
+    for text, row in zip(texts, got, strict=True):
+        padded = " " + text.lower() + " "
+        grams = [padded[i : i + n] for n in (1, 2, 3) for i in range(len(padded) - n + 1)]
+        buckets = [langid.gram_buckets(np.array(list(map(ord, g)), np.uint32), (len(g),))[0][0] for g in grams]
+        assert np.allclose(row, sum(model.weights[b] for b in buckets) / len(grams) + model.bias)
+    best, score = model.predict(texts)
+    p = np.exp(got / 1.7) / np.exp(got / 1.7).sum(axis=1, keepdims=True)
+    assert (best == p.argmax(axis=1)).all() and np.allclose(score, p.max(axis=1))
+
+
+def explicit_kernel(raw):
+    """(weight of each gapped subsequence of a stretch, sum of the squared weights of all occurrences), by enumeration."""
+    out, square = {}, 0.0
+    padded = np.append(raw, np.full(toxicity.SPAN, 33, np.uint16))
+    for i in range(min(len(raw), toxicity.STRETCH)):
+        for rest in itertools.combinations(range(i + 1, i + toxicity.SPAN), toxicity.ORDER - 1):
+            letters = [int(padded[k]) for k in (i, *rest)]
+            if letters[0] == 33 or any(c in (32, 33) for c in letters[1:]):
+                continue
+            key = 0
+            for place, c in enumerate(letters):
+                key ^= int(toxicity._CODES[place][c])
+            weight = toxicity.DECAY ** (rest[-1] - i + 1 - toxicity.ORDER)
+            out[key], square = out.get(key, 0.0) + weight, square + weight * weight
+    return out, square
+
+
+def test_folded_machine_equals_the_explicit_kernel():
+    rng = np.random.default_rng(2)
+    stretches = [toxicity.codes("".join(rng.choice(list("abcde .é"), 15))) for _ in range(30)]
+    size = lambda k: np.sqrt(sum(v * v for v in k.values()) + toxicity.LEAST_SQUARE)
+    kernels = [explicit_kernel(s) for s in stretches]
+    for (u, v), (k, _) in zip(toxicity.features(stretches), kernels, strict=True):
+        assert dict(zip(u.tolist(), v.tolist(), strict=True)).keys() == k.keys()
+        assert np.allclose(v, [k[a] / size(k) for a in u.tolist()], rtol=1e-4)
+    weights, _ = toxicity._svm(stretches[:10], stretches[10:20], stretches[:12], 1e-3, np.random.default_rng(0))
+    for s, (k, square) in zip(stretches[20:], kernels[20:], strict=True):
+        want = sum(float(weights[a]) * v for a, v in k.items()) / np.sqrt(square + toxicity.LEAST_SQUARE)
+        assert toxicity.stretch_margins(s, weights)[0] == pytest.approx(want, rel=1e-3, abs=1e-4)
+    # the machine's weights are a combination of the landmarks' kernels: nothing else has a weight
+    assert set(np.flatnonzero(weights).tolist()) <= set().union(*[k.keys() for k, _ in kernels[:12]])

@@ -64,3 +64,36 @@ def test_locate(spark, old, new, want):
     if want is not None:
         assert found == want
     assert bool(found) == (s[1] != s[2])
+
+
+def plain_tree(text):
+    """(root, distinct leaves in order) by the standard library."""
+    import re
+
+    import xxhash
+
+    sha = lambda parts: hashlib.sha256(",".join(parts).encode()).hexdigest()
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    sections, seen = [], []
+    for section in re.split(r"(?<=\n\n)|(?<=\n)(?=#{1,6} )", text):
+        nodes = []
+        for paragraph in re.split(r"(?<=\n)", section):
+            found = [xxhash.xxh64(x.encode(), seed=42).intdigest() for x in re.findall(r"[^.!?]{1,160}(?:[.!?]+\s?)?|[.!?]+\s?", paragraph)]
+            seen += [x for x in dict.fromkeys(found) if x not in seen]
+            nodes.append(sha([str(signed(x)) for x in found]))
+        sections.append(sha(nodes))
+    return sha(sections), seen
+
+
+def test_tree_and_likeness_equal_a_plain_version(spark):
+    docs = {1: "One. Two.\n\nThree!", 2: "One. Two.\n\nThree! Four?\n# Head\nText. " + "long " * 80, 3: "# Head\nText. One. Two. " * 3, 4: "", 5: "...!\n\n\n"}
+    got = {r.doc_id: r for r in merkle.edited_fingerprints(spark.createDataFrame(list(docs.items()), "doc_id long, text string")).collect()}
+    ids = sorted(docs, reverse=True)
+    near = lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b)) if a or b else 1.0
+    for i, d in enumerate(ids):
+        (root, leaves), (_, after) = plain_tree(docs[d]), plain_tree(docs[ids[(i + 1) % len(ids)]])
+        edited_root, edited_leaves = plain_tree(edit(docs)[d])
+        assert got[d].fingerprint == root + ":" + "".join(f"{x:016X}" for x in leaves)
+        assert got[d].edited_fingerprint.startswith(edited_root + ":")
+        assert got[d].near_edited == pytest.approx(near(leaves, edited_leaves))
+        assert got[d].near_next == pytest.approx(near(leaves, after))

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BYTE_VALUE, labelled_sample, platt, prefix_hash, range_hash, slices, word_bounds
+from .common import byte_lanes, content_hash, labelled_sample, platt, slices, word_bounds
 
 #: Byte classes whose share of a line is a feature.
 _CLASSES = [
@@ -26,16 +26,31 @@ for _k, _bytes in enumerate(_CLASSES):
     _IN_CLASS[_k, list(_bytes)] = True
 OWN = len(_CLASSES) * 3 + 7
 FEATURES = 3 * OWN + 1
-SLICE_BYTES = 512 << 10
+SLICE_BYTES, CHUNK_LINES = 512 << 10, 16_384
 
 
-def line_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(features of all lines, bytes of each line, lines of each document). A text has one line more than line ends."""
+def _lines(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes of all texts, start and end of each line, lines of each text). A text has one line more than line ends."""
     raw = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
     end = np.flatnonzero(raw == 10)
     start = np.append(0, end[:-1] + 1)
-    size = end - start
     lines = np.diff(np.append(-1, np.searchsorted(end, np.cumsum([len(t) + 1 for t in texts]) - 1)))
+    return raw, start, end, lines
+
+
+def _again(raw: np.ndarray, start: np.ndarray, end: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Whether each line (not an empty one) occurs more than once in its text."""
+    h = content_hash(byte_lanes(raw), 8, start, end)
+    order = np.lexsort((h, doc))
+    same = np.append(False, (h[order][1:] == h[order][:-1]) & (doc[order][1:] == doc[order][:-1]) & (end[order][1:] > start[order][1:]))
+    out = np.empty(len(h), bool)
+    out[order] = same | np.append(same[1:], False)
+    return out
+
+
+def _own_features(raw: np.ndarray, start: np.ndarray, end: np.ndarray, again: np.ndarray) -> np.ndarray:
+    """Features of lines by themselves; raw holds these lines and their line ends."""
+    size = end - start
     n = np.maximum(size, 1)
     own = np.zeros((len(size), OWN))
     for k in range(len(_CLASSES)):
@@ -49,27 +64,74 @@ def line_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     own[:, base + 1] = np.minimum(size / words / 10, 2)
     own[:, base + 2] = (size > 0) & np.isin(raw[np.maximum(end - 1, 0)], list(b".!?"))
     own[:, base + 3] = size < 20
-    # a line that occurs again in its document
-    doc = np.repeat(np.arange(len(texts)), lines)
-    prefix = prefix_hash(BYTE_VALUE[raw])
-    h = range_hash(prefix, start, end)
-    order = np.lexsort((h, doc))
-    same = np.append(False, (h[order][1:] == h[order][:-1]) & (doc[order][1:] == doc[order][:-1]) & (size[order][1:] > 0))
-    again = same | np.append(same[1:], False)
-    own[order, base + 4] = again
-    # words that repeat the word before them
+    own[:, base + 4] = again
+    # words that repeat the word before them in their line
     word, word_end = word_bounds(raw)
-    wh = range_hash(prefix, word, word_end)
+    h = content_hash(byte_lanes(raw), 8, word, word_end)
+    line = np.searchsorted(end, word)
     twice = np.zeros(len(word) + 1, np.int32)
-    np.cumsum(np.append(False, wh[1:] == wh[:-1])[: len(word)], out=twice[1:])
+    np.cumsum(np.append(False, (h[1:] == h[:-1]) & (line[1:] == line[:-1]))[: len(word)], out=twice[1:])
     repeated = (twice[np.searchsorted(word, end)] - twice[np.searchsorted(word, start)]) / np.maximum(words, 1)
     own[:, base + 5], own[:, base + 6] = np.sqrt(np.minimum(repeated, 1)), repeated > 0.15
-    x = np.zeros((len(size), FEATURES))
-    x[:, :OWN], x[:, -1] = own, 1
-    inside = np.append(False, doc[1:] == doc[:-1])
-    x[1:, OWN : 2 * OWN] = own[:-1] * inside[1:, None]
-    x[:-1, 2 * OWN : 3 * OWN] = own[1:] * inside[1:, None]
-    return x, size, lines
+    return own
+
+
+def _own_chunks(raw: np.ndarray, start: np.ndarray, end: np.ndarray, doc: np.ndarray) -> Iterator[tuple[slice, np.ndarray]]:
+    """Own features of the lines in turn, in chunks of CHUNK_LINES lines and SLICE_BYTES bytes at most (or one line)."""
+    again = _again(raw, start, end, doc)
+    first = 0
+    while first < len(start):
+        last = min(first + CHUNK_LINES, max(first + 1, int(np.searchsorted(end, start[first] + SLICE_BYTES))))
+        chunk, at = slice(first, last), start[first]
+        yield chunk, _own_features(raw[at : end[last - 1] + 1], start[chunk] - at, end[chunk] - at, again[chunk])
+        first = last
+
+
+def line_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(features of all lines, bytes of each line, lines of each text): a line's own features, those of the lines before and after it, and 1."""
+    raw, start, end, lines = _lines(texts)
+    doc = np.repeat(np.arange(len(texts)), lines)
+    x = np.zeros((len(start), FEATURES))
+    for chunk, own in _own_chunks(raw, start, end, doc):
+        x[chunk, :OWN] = own
+    x[:, -1] = 1
+    inside = doc[1:] == doc[:-1]
+    x[1:, OWN : 2 * OWN] = x[:-1, :OWN] * inside[:, None]
+    x[:-1, 2 * OWN : 3 * OWN] = x[1:, :OWN] * inside[:, None]
+    return x, end - start, lines
+
+
+def emissions(texts: list[bytes], weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(line_features @ weights, bytes of each line, lines of each text), with one chunk's features in memory."""
+    raw, start, end, lines = _lines(texts)
+    doc = np.repeat(np.arange(len(texts)), lines)
+    each = np.empty((len(start), 3))
+    for chunk, own in _own_chunks(raw, start, end, doc):
+        each[chunk] = own @ weights[:-1].reshape(3, OWN).T
+    z = each[:, 0] + weights[-1]
+    inside = doc[1:] == doc[:-1]
+    z[1:] += each[:-1, 1] * inside
+    z[:-1] += each[1:, 2] * inside
+    return z, end - start, lines
+
+
+def sampled_lines(text: bytes, most: int, segment: int) -> tuple[np.ndarray, np.ndarray]:
+    """(features, bytes) of all lines of a text, or of segments spread evenly over it, about ``most`` lines in all."""
+    raw, start, end, lines = _lines([text])
+    n = len(start)
+    take = np.arange(n)
+    if n > most:
+        pieces = max(1, most // segment)
+        first = np.linspace(0, n - segment, pieces).astype(np.int64)
+        take = np.unique(first[:, None] + np.arange(segment))
+    near = np.unique(np.clip(np.concatenate([take - 1, take, take + 1]), 0, n - 1))
+    own = np.zeros((len(near) + 2, OWN))  # the last rows are the lines outside the text
+    for chunk, part in _own_chunks(raw, start, end, np.zeros(n, np.int64)):
+        lo, hi = np.searchsorted(near, (chunk.start, chunk.stop))
+        own[lo:hi] = part[near[lo:hi] - chunk.start]
+    row = lambda i: np.where((i >= 0) & (i < n), np.searchsorted(near, np.clip(i, 0, n - 1)), len(near))
+    x = np.concatenate([own[row(take)], own[row(take - 1)], own[row(take + 1)], np.ones((len(take), 1))], axis=1)
+    return x, (end - start)[take]
 
 
 def forward_backward(emission: np.ndarray, lines: np.ndarray, transition: np.ndarray):
@@ -110,8 +172,7 @@ class QualityModel:
     shift: float
 
     def line_marginals(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        x, size, lines = line_features(texts)
-        z = x @ self.weights
+        z, size, lines = emissions(texts, self.weights)
         marginal, _, _ = forward_backward(np.stack([np.zeros(len(z)), z], axis=1), lines, self.transition)
         return marginal[:, 1], size, lines
 
@@ -129,12 +190,12 @@ class QualityModel:
         return 1 / (1 + np.exp(-(self.slope * np.log(p / (1 - p)) + self.shift)))
 
 
-def _lines_of(rows: DataFrame) -> DataFrame:
+def _lines_of(rows: DataFrame, most: int, segment: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1)
-                x, size, _ = line_features([(row.column(0)[0].as_py() or "").encode()])
+                x, size = sampled_lines((row.column(0)[0].as_py() or "").encode(), most, segment)
                 yield pa.RecordBatch.from_arrays([row.column(1), row.column(2), pa.array([x.astype("<f2").tobytes()]), pa.array([size.astype("<i4").tobytes()])], ["label", "part", "x", "size"])
 
     return rows.select("text", "label", "part").mapInArrow(run, "label int, part int, x binary, size binary")
@@ -142,14 +203,15 @@ def _lines_of(rows: DataFrame) -> DataFrame:
 
 def train(
     docs: DataFrame, labels: DataFrame, *, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text",
-    sample: int = 3000, segment: int = 48, steps: int = 120, rate: float = 0.15, penalty: float = 1e-3,
+    sample: int = 3000, fit_lines: int = 192, segment: int = 48, steps: int = 120, rate: float = 0.15, penalty: float = 1e-3,
 ) -> QualityModel:
     """Fit on at most about ``sample`` labelled documents; a fifth of them only calibrates the score.
 
-    Lines take their document's label. Longer chains are cut into ``segment`` lines for fitting only.
+    Lines take their document's label. For fitting only, longer chains are cut into ``segment`` lines,
+    and of a document of more than ``fit_lines`` lines, segments spread evenly over it teach.
     Without labels of both kinds the score is 0.5 for every text, or the only label seen.
     """
-    got = _lines_of(labelled_sample(docs, labels, label_col, sample, id_col, text_col)).toArrow().to_pylist()
+    got = _lines_of(labelled_sample(docs, labels, label_col, sample, id_col, text_col), fit_lines, segment).toArrow().to_pylist()
     got.sort(key=lambda r: (r["label"], r["part"], r["x"]))
     kinds = {r["label"] for r in got}
     if len(kinds) < 2:

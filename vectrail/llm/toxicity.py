@@ -73,7 +73,10 @@ def _keys(raw: np.ndarray) -> Iterator[tuple[np.ndarray, np.float32]]:
 
 
 def stretch_margins(raw: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """The kernel machine's value on the unit-length stretch that starts at each place."""
+    """The kernel machine's value on the stretch that starts at each place, over its length.
+
+    The length takes each occurrence by itself, which is exact unless a stretch repeats a subsequence.
+    """
     total, square = np.zeros(len(raw), np.float32), np.zeros(len(raw), np.float32)
     for key, weight in _keys(raw):
         total += weights[key] * weight
