@@ -9,8 +9,6 @@ where they are not, a row is told apart by its id and text, and a repeat of both
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -63,24 +61,18 @@ def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     Parts of characters that a cut leaves are dropped. A text that is cut down to nothing stays as
     an empty text; null stays null where nothing was cut.
     """
-    removed = suffixes.remove_repeats(docs, width=REPEAT_BYTES, carry=True)
-    names, at = docs.columns, docs.columns.index("text")
-    count = names.index("n_chars") if "n_chars" in names else -1
-
-    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns = list(batch.columns[: len(names)])
-            cut = [k is not None and len(k) for k in batch.column(len(names)).to_pylist()]
-            kept = batch.column(len(names) + 1).to_pylist()
-            old = columns[at].to_pylist()
-            new = [k.decode("utf-8", "ignore") if c else t for t, k, c in zip(old, kept, cut, strict=True)]
-            columns[at] = pa.array(new, pa.string())
-            if count >= 0:
-                chars = [len(t or "") if c else n for t, n, c in zip(new, columns[count].to_pylist(), cut, strict=True)]
-                columns[count] = pa.array(chars, columns[count].type)
-            yield pa.RecordBatch.from_arrays(columns, names)
-
-    return removed.mapInArrow(texts, docs.schema)
+    at = docs.columns.index("text")
+    count = docs.columns.index("n_chars") if "n_chars" in docs.columns else -1
+
+    def rewrite(columns: list[pa.Array], cut: list[bool], kept: list[bytes]) -> list[pa.Array]:
+        new = [k.decode("utf-8", "ignore") if c else t for t, k, c in zip(columns[at].to_pylist(), kept, cut, strict=True)]
+        columns[at] = pa.array(new, pa.string())
+        if count >= 0:
+            chars = [len(t or "") if c else n for t, n, c in zip(new, columns[count].to_pylist(), cut, strict=True)]
+            columns[count] = pa.array(chars, columns[count].type)
+        return columns
+
+    return suffixes.remove_repeats(docs, width=REPEAT_BYTES, rewrite=rewrite)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
