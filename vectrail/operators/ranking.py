@@ -7,7 +7,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scoring
+from ..functions.scorers import Scorer, rounded_context
 from . import blocks
+from .ordering import numbered, quantiles
 
 CONTEXT = ["ts", "geo", "entities"]
 METHODS = ["face", "fused", "selective", "tiebreak"]
@@ -18,7 +20,7 @@ def evidence(items: DataFrame, queries: DataFrame | None = None, query_vector: s
 
     A persona's similarity to a query is the largest cosine of its items other than the query itself
     (ties: smallest item id), and its context is that item's. Queries whose own persona has no other
-    item are left out. Each pair of blocks keeps one item a query and persona.
+    item are left out. Each pair of blocks keeps one item a query and persona. Ids are whole numbers.
     """
     queries = items if queries is None else queries
     q = queries.select("item_id", "persona_id", F.col(query_vector).alias("emb"))
@@ -54,18 +56,17 @@ def q_context(prefix: str = "q_") -> dict[str, Column]:
     return {c: F.col(prefix + c) for c in CONTEXT}
 
 
-def ranked(ev: DataFrame, alpha, beta, gate: float, extra: list[str] | None = None) -> DataFrame:
+def ranked(ev: DataFrame, scorer: Scorer, gate: float, extra: list[str] | None = None) -> DataFrame:
     """Evidence with context, fused, gap and a rank for each method.
 
     face: by similarity; fused: by fused score; selective: fused where the gap between the two most
     similar personas is at most ``gate``, else face; tiebreak: face, but the first two change places
     where the gap is within the gate, the query has context, and the second's fused score is larger.
-    Ties go to the smaller persona id. alpha and beta may be columns.
+    Ties go to the smaller persona id.
     """
     keys = ["q_id", *(extra or [])]
-    context = F.round(scoring.context_score(q_context("q_"), q_context("c_")), blocks.DIGITS)
-    ev = ev.withColumn("context", context)
-    ev = ev.withColumn("fused", F.round(scoring.fuse(F.col("face"), F.col("context"), alpha, beta) + 3e-12, blocks.DIGITS))
+    ev = ev.withColumn("context", rounded_context(scorer, q_context("q_"), q_context("c_")))
+    ev = ev.withColumn("fused", F.round(scorer.fuse(F.col("face"), F.col("context")) + 3e-12, blocks.DIGITS))
     by = Window.partitionBy(*keys)
     ev = ev.withColumn("face_rank", F.row_number().over(by.orderBy(F.col("face").desc(), "persona_id")))
     ev = ev.withColumn("fused_rank", F.row_number().over(by.orderBy(F.col("fused").desc(), "persona_id")))
@@ -81,6 +82,11 @@ def ranked(ev: DataFrame, alpha, beta, gate: float, extra: list[str] | None = No
     )
 
 
+def ranked_by(rows: DataFrame, score: str, keys: list[str]) -> DataFrame:
+    """rows with their rank by a score, ties to the smaller persona id."""
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(score).desc(), "persona_id")))
+
+
 def true_ranks(ranks: DataFrame, methods: list[str] | None = None, extra: list[str] | None = None) -> DataFrame:
     """q_id, q_persona, gap, method, rank: the rank of the query's own persona."""
     methods = methods or METHODS
@@ -96,25 +102,48 @@ def metrics(ranks: DataFrame, keys: list[str], k: int = 5) -> DataFrame:
     )
 
 
-def scoped(ranks: DataFrame, sets: list[list[int]]) -> DataFrame:
-    """ranks with set_key: the first near-tie set of the query's persona, or null."""
-    which = F.lit(None).cast("string")
-    for key, members in reversed(list(enumerate(sets))):
-        which = F.when(F.col("q_persona").isin(*members), F.lit(f"set{key}")).otherwise(which)
-    return ranks.withColumn("set_key", which)
+def members_of(spark, sets: DataFrame | list[list]) -> DataFrame:
+    """set_no, persona_id: near-tie sets given as lists of personas, or as a table with set_no and persona_ids."""
+    if isinstance(sets, DataFrame):
+        return sets.select("set_no", F.explode(F.array_distinct("persona_ids")).alias("persona_id"))
+    kind = "string" if any(isinstance(p, str) for s in sets for p in s) else "bigint"
+    return spark.createDataFrame([(n, p) for n, s in enumerate(sets) for p in dict.fromkeys(s)], f"set_no int, persona_id {kind}")
+
+
+def set_of(members: DataFrame) -> DataFrame:
+    """q_persona, set_no, set_key, candidates: the first set of each persona, its key 'a|b|...' and its personas."""
+    first = members.groupBy("persona_id").agg(F.min("set_no").alias("set_no"))
+    whole = members.groupBy("set_no").agg(F.array_sort(F.collect_set("persona_id")).alias("candidates"))
+    key = F.array_join(F.col("candidates").cast("array<string>"), "|")
+    return first.join(whole, "set_no").select(F.col("persona_id").alias("q_persona"), "set_no", key.alias("set_key"), "candidates")
+
+
+def scoped(rows: DataFrame, members: DataFrame) -> DataFrame:
+    """rows with set_no and set_key: the first near-tie set of the query's persona, or null."""
+    return rows.join(set_of(members).drop("candidates"), "q_persona", "left")
+
+
+def restricted(ev: DataFrame, members: DataFrame) -> DataFrame:
+    """Evidence with set_key, whose candidates are the personas of the query's near-tie set, where it has one."""
+    told = ev.join(set_of(members), "q_persona", "left")
+    return told.where(F.col("candidates").isNull() | F.array_contains("candidates", F.col("persona_id"))).drop("candidates")
 
 
-def gap_slices(ranks: DataFrame, thresholds: list[float], k: int = 5) -> DataFrame:
+def gap_slices(ranks: DataFrame, thresholds: list[float], k: int = 5, methods: list[str] | None = None) -> DataFrame:
     """gap_le, method, n and metrics of the queries whose gap is at most gap_le; empty slices stay, with nulls."""
     spark = ranks.sparkSession
-    every = spark.createDataFrame([(float(t), m) for t in thresholds for m in METHODS], "gap_le double, method string")
-    inside = F.explode(F.filter(F.array(*[F.lit(float(t)) for t in thresholds]), lambda t: F.col("gap") <= t))
+    every = spark.createDataFrame([(float(t), m) for t in thresholds for m in methods or METHODS], "gap_le double, method string")
+    inside = F.explode(F.filter(F.array(*[F.lit(float(t)) for t in thresholds]).cast("array<double>"), lambda t: F.col("gap") <= t))
     got = metrics(ranks.where("gap IS NOT NULL").withColumn("gap_le", inside), ["gap_le", "method"], k)
     return every.join(got, ["gap_le", "method"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
-def gap_summary(ranks: DataFrame) -> DataFrame:
-    return ranks.where("method = 'face' AND gap IS NOT NULL").agg(F.count("*").alias("n"), F.avg("gap").alias("mean_gap"), F.percentile("gap", 0.5).alias("median_gap"))
+def gap_summary(ranks: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """keys, n, mean_gap, median_gap. The median interpolates between the two middle gaps."""
+    rows = ranks.where("method = 'face' AND gap IS NOT NULL")
+    sums = rows.groupBy(*(keys or [])).agg(F.count("*").alias("n"), F.avg("gap").alias("mean_gap"))
+    middle = quantiles(rows, keys or [], "gap", {"median_gap": 0.5})
+    return sums.join(middle, keys) if keys else sums.crossJoin(F.broadcast(middle))
 
 
 def deltas(table: DataFrame, keys: list[str]) -> DataFrame:
@@ -124,27 +153,55 @@ def deltas(table: DataFrame, keys: list[str]) -> DataFrame:
     return joined.select(*keys, "method", *[(F.col(m) - F.col(f"f_{m}")).alias(f"delta_{m}") for m in ("hit_at_1", "hit_at_k", "mrr")])
 
 
-def corrupted(ev: DataFrame, items: DataFrame, rates: list[float], kind: str = "replace") -> DataFrame:
-    """Evidence once a rate, with the query's context corrupted for that share of queries (chosen by a hash of the id).
+#: A prime below 2**20, and a power that permutes the numbers below it (it shares no factor with the prime less 1).
+DRAWS = 1_000_003
 
-    replace: the context of a donor of another persona (the next item id that has one, by a fixed
-    stride); drop: the entities go. Candidates' contexts stay.
+
+def draw(item: Column, seed: int, stream: Column | int) -> Column:
+    """A whole number below DRAWS from an item's number: the fifth power of a linear step, in integers that any engine has."""
+    base = F.pmod(F.pmod(item, F.lit(DRAWS)) * F.lit(7919) + F.lit(seed % DRAWS) * F.lit(104_729) + F.lit(stream) * F.lit(15_485), F.lit(DRAWS))
+    square = lambda x: (x * x) % F.lit(DRAWS)
+    return (square(square(base)) * base) % F.lit(DRAWS)
+
+
+def _number(ids: DataFrame) -> Column:
+    """An item's number: itself, or a hash of it where ids are not whole numbers."""
+    kind = ids.schema["q_id"].dataType.typeName()
+    return F.col("q_id").cast("long") if kind in ("long", "integer", "short", "byte") else F.xxhash64("q_id")
+
+
+def corrupted(ev: DataFrame, items: DataFrame, rates: list[float], kinds: list[str], seed: int = 0) -> DataFrame:
+    """Evidence once a rate, with ``hit``, and the query's context corrupted where it is set: for that share of queries.
+
+    The kind is drawn among ``kinds``. replace: the context of a donor, drawn among all items of other
+    personas (of the first DRAWS, where there are more); drop: the entities go. Candidates' contexts stay.
     """
+    number = _number(ev)
     rate = F.explode(F.array(*[F.lit(float(r)) for r in rates])).alias("rate")
-    spread = ev.select("*", rate)
-    hit = F.pmod(F.col("q_id") * 7919, F.lit(1000)) < F.col("rate") * 1000
-    if kind == "drop":
-        return spread.withColumn("q_entities", F.when(hit, F.array().cast("array<string>")).otherwise(F.col("q_entities")))
-    donors = donor_of(items)
-    joined = spread.join(donors, "q_id", "left")
+    stream = F.round(F.col("rate") * 1000).cast("long")
+    spread = ev.select("*", rate).withColumn("hit", draw(number, seed, stream) < F.col("rate") * DRAWS)
+    which = F.element_at(F.array(*[F.lit(k) for k in kinds]), (draw(number, seed + 1, stream) % len(kinds) + 1).cast("int"))
+    spread = spread.withColumn("kind", F.when(F.col("hit"), which))
+    told = spread.join(donors(ev, items, rates, seed), ["q_id", "rate"], "left")
+    swap = (F.col("kind") == "replace") & F.col("donor_id").isNotNull()
     for c in CONTEXT:
-        joined = joined.withColumn(f"q_{c}", F.when(hit & F.col("donor_id").isNotNull(), F.col(f"d_{c}")).otherwise(F.col(f"q_{c}")))
-    return joined.drop("donor_id", *[f"d_{c}" for c in CONTEXT])
+        told = told.withColumn(f"q_{c}", F.when(swap, F.col(f"d_{c}")).otherwise(F.col(f"q_{c}")))
+    told = told.withColumn("q_entities", F.when(F.col("kind") == "drop", F.array().cast("array<string>")).otherwise(F.col("q_entities")))
+    return told.drop("donor_id", "kind", *[f"d_{c}" for c in CONTEXT])
 
 
-def donor_of(items: DataFrame) -> DataFrame:
-    """q_id, donor_id and the donor's context: the item at id + 1, 2 or 3 that is the first of another persona."""
-    steps = items.select(F.col("item_id").alias("q_id"), F.col("persona_id").alias("q_p"), F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("step"))
-    found = steps.join(items.select("item_id", F.col("persona_id").alias("d_p")), F.col("item_id") == F.col("q_id") + F.col("step")).where("d_p <> q_p")
-    first = found.groupBy("q_id").agg(F.min("item_id").alias("donor_id"))
-    return first.join(items.select(F.col("item_id").alias("donor_id"), *[F.col(c).alias(f"d_{c}") for c in CONTEXT]), "donor_id")
+def donors(ev: DataFrame, items: DataFrame, rates: list[float], seed: int) -> DataFrame:
+    """q_id, rate, donor_id and the donor's context.
+
+    Items are numbered persona by persona, so those of other personas are all numbers but one
+    stretch; a draw over them is one number, and the donor an equi-join away.
+    """
+    ordered = numbered(items.select("item_id", "persona_id", F.struct(F.col("persona_id").cast("string").alias("p"), "item_id").alias("by"), *CONTEXT), "by").drop("by")
+    stretch = ordered.groupBy("persona_id").agg(F.min("place").alias("start"), F.count("*").alias("own"))
+    total = ordered.agg(F.count("*").alias("total"))
+    q = ev.select("q_id", F.col("q_persona").alias("persona_id")).distinct().select("*", F.explode(F.array(*[F.lit(float(r)) for r in rates])).alias("rate"))
+    q = q.withColumn("persona_id", F.col("persona_id").cast(items.schema["persona_id"].dataType)).join(stretch, "persona_id").crossJoin(F.broadcast(total))
+    others = F.col("total") - F.col("own")
+    at = F.floor(draw(_number(q), seed + 2, F.round(F.col("rate") * 1000).cast("long")) * others / DRAWS).cast("long")
+    q = q.where(others > 0).select("q_id", "rate", F.when(at < F.col("start"), at).otherwise(at + F.col("own")).alias("place"))
+    return q.join(ordered.select("place", F.col("item_id").alias("donor_id"), *[F.col(c).alias(f"d_{c}") for c in CONTEXT]), "place").drop("place")
