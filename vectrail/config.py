@@ -27,12 +27,21 @@ class Profile:
 
 @dataclasses.dataclass(frozen=True)
 class SearchConfig:
-    """Approximate search: cells of the coarse partition, and how many of them a query probes."""
+    """Approximate search. cells: of the coarse partition (0: the square root of the table's size, at most
+    most_cells); probes: cells that a query visits (0: as many as the recall target needs on a sample);
+    sample: vectors that the partition is fitted on."""
 
-    cells: int = 16
-    probes: int = 8
+    cells: int = 0
+    most_cells: int = 4096
+    probes: int = 0
+    recall: float = 0.96
+    sample: int = 20_000
     seed: int = 1
 
+    def __post_init__(self):
+        if min(self.cells, self.probes) < 0 or min(self.most_cells, self.sample) < 1 or not 0 < self.recall <= 1:
+            raise ValueError("search settings are out of range")
+
 
 def load_profiles(path: str) -> dict[str, Profile]:
     """Profiles of a YAML file (a mapping of names to fields, under 'profiles' or at the top)."""
@@ -52,5 +61,5 @@ def load_search_config(path: str) -> SearchConfig:
 
     with open(path) as f:
         data = yaml.safe_load(f) or {}
-    known = {f.name for f in dataclasses.fields(SearchConfig)}
-    return SearchConfig(**{k: int(v) for k, v in data.items() if k in known})
+    kinds = {f.name: type(f.default) for f in dataclasses.fields(SearchConfig)}
+    return SearchConfig(**{k: kinds[k](v) for k, v in data.items() if k in kinds})

@@ -1,4 +1,4 @@
-"""Exact and approximate nearest neighbours by cosine, and the fused search on top of them."""
+"""Exact nearest neighbours by cosine, and the fused search on top of them (the approximate index is in index)."""
 
 from __future__ import annotations
 
@@ -6,7 +6,6 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import SearchConfig
 from ..functions import scoring
 from . import blocks
 
@@ -56,43 +55,6 @@ def fused_search(hits: DataFrame, queries: DataFrame, sidecar: DataFrame, alpha:
     return joined.select("q_id", "item_id", F.col("score").alias("face_score"), "context_score", "fused_score", rank.alias("rank"))
 
 
-def cells(items: DataFrame, config: SearchConfig) -> np.ndarray:
-    """Centroids of a coarse partition, fitted by k-means on at most 20,000 vectors; every vector is indexed."""
-    n = items.count()
-    share = min(1.0, 20_000 / max(1, n))
-    sample = items.where(F.pmod(F.xxhash64("item_id", F.lit(3)), F.lit(1_000_003)) < int(share * 1_000_003) + 1)
-    x = np.array([r.emb for r in sample.select("emb").collect()], dtype=float)
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    rng = np.random.default_rng(config.seed)
-    centers = x[rng.permutation(len(x))[: config.cells]]
-    for _ in range(12):
-        own = (x @ centers.T).argmax(axis=1)
-        for j in range(len(centers)):
-            if (own == j).any():
-                centers[j] = x[own == j].mean(axis=0)
-        centers /= np.maximum(np.linalg.norm(centers, axis=1, keepdims=True), 1e-12)
-    return centers
-
-
-def assign(df: DataFrame, centers: np.ndarray, probes: int) -> DataFrame:
-    """df with one row for each of the ``probes`` nearest cells. The centroids are few, by configuration."""
-    table = F.array(*[F.struct((scoring.dot(F.col("emb"), F.array(*[F.lit(float(v)) for v in c]))).alias("s"), F.lit(i).alias("cell")) for i, c in enumerate(centers)])
-    nearest = F.slice(F.sort_array(table, asc=False), 1, probes)
-    return df.withColumn("cell", F.explode(F.transform(nearest, lambda x: x["cell"])))
-
-
-def approximate_topk(queries: DataFrame, items: DataFrame, k: int, config: SearchConfig) -> DataFrame:
-    """As exact_topk, over the items whose cell a query probes; candidates are scored exactly."""
-    q = queries.where(scoring.valid_vector(F.col("emb"))).select(F.col("item_id"), "emb")
-    c = items.where(scoring.valid_vector(F.col("emb"))).select("item_id", "emb")
-    centers = cells(c, config)
-    probes = assign(q, centers, min(config.probes, len(centers))).select(F.col("item_id").alias("q_id"), F.col("emb").alias("q_emb"), "cell")
-    pairs = assign(c, centers, 1).join(probes, "cell")
-    score = F.round(scoring.dot(F.col("emb"), F.col("q_emb")) / (scoring.norm(F.col("emb")) * scoring.norm(F.col("q_emb"))), blocks.DIGITS)
-    rank = F.row_number().over(Window.partitionBy("q_id").orderBy(F.col("score").desc(), "item_id"))
-    return pairs.select("q_id", "item_id", score.alias("score")).withColumn("rank", rank).where(F.col("rank") <= k)
-
-
 def recall(found: DataFrame, truth: DataFrame) -> DataFrame:
     """n_queries, recall: mean share of the true neighbours that were found."""
     hit = truth.select("q_id", "item_id").join(found.select("q_id", "item_id", F.lit(1).alias("hit")), ["q_id", "item_id"], "left")
