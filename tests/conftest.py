@@ -3,7 +3,10 @@ import sys
 
 import pytest
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+TESTS = os.path.dirname(os.path.abspath(__file__))
+sys.path.insert(0, os.path.dirname(TESTS))
+# Python workers import functions of the tests by name
+os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, [os.path.dirname(TESTS), TESTS, os.environ.get("PYTHONPATH")]))
 
 
 @pytest.fixture(scope="session")

@@ -74,6 +74,10 @@ def in_band(score: Column, low: float, high: float) -> Column:
 
 
 def condition_label(name: Column, severity: Column) -> Column:
-    """'name severity', the severity without trailing zeros."""
-    text = F.regexp_replace(F.regexp_replace(F.format_string("%.6f", severity), "0+$", ""), r"\.$", "")
-    return F.concat_ws(" ", name, text)
+    """'name severity', the severity with six significant digits and no trailing zeros (1e-07 for small ones)."""
+    parts = F.format_string("%.5e", severity.cast("double"))
+    exponent = F.regexp_extract(parts, "e(.*)$", 1)
+    bare = lambda text: F.regexp_replace(text, r"\.?0+$", "")
+    fixed = parts.cast("double").cast("decimal(30,10)").cast("string")
+    plain = F.when(exponent.cast("int").between(-4, 5), F.when(fixed.contains("."), bare(fixed)).otherwise(fixed))
+    return F.concat_ws(" ", name, F.coalesce(plain, F.concat(bare(F.regexp_extract(parts, "^(.*)e", 1)), F.lit("e"), exponent)))

@@ -36,6 +36,15 @@ class Scored:
         """keys, i, j, score, is_genuine: every pair."""
         return self.apply(lambda score, genuine, i, j: {"i": i, "j": j, "score": score, "is_genuine": genuine}, "i long, j long, score double, is_genuine boolean")
 
+    def in_band(self, low: float, high: float) -> DataFrame:
+        """keys, i, j, score, is_genuine of the pairs with low <= score <= high."""
+
+        def kernel(score, genuine, i, j):
+            own = (score >= low) & (score <= high)
+            return {"i": i[own], "j": j[own], "score": score[own], "is_genuine": genuine[own]}
+
+        return self.apply(kernel, "i long, j long, score double, is_genuine boolean")
+
     def counts(self) -> DataFrame:
         """keys, score, gen, imp: genuine and impostor pairs of each distinct score."""
 

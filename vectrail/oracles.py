@@ -88,7 +88,7 @@ def true_ranks(extra: str = "", methods=("face", "fused", "selective", "tiebreak
 METRICS = "count(*) AS n, avg((rank <= 1)::INT) AS hit_at_1, avg((rank <= 5)::INT) AS hit_at_k, avg(1.0::DOUBLE / rank) AS mrr"
 RANKED = f"WITH {EVIDENCE}, {scored()}, {ranks()}"
 TRUE = f"{RANKED}, {true_ranks()}"
-SET_KEY = "CASE " + " ".join(f"WHEN q_persona IN ({', '.join(map(str, s))}) THEN 'set{n}'" for n, s in enumerate(q.SETS)) + " END"
+SET_KEY = "CASE " + " ".join(f"WHEN q_persona IN ({', '.join(map(str, s))}) THEN '{'|'.join(map(str, sorted(s)))}'" for s in q.SETS) + " END"
 R = lambda *cols: ", ".join(f"round({c} + 3e-12, 6) + 0 AS {c}" for c in cols)
 M = "n, " + R("hit_at_1", "hit_at_k", "mrr")
 D = R("delta_hit_at_1", "delta_hit_at_k", "delta_mrr")
@@ -100,17 +100,38 @@ def deltas(table: str, keys: str) -> str:
     return f"SELECT {pre} m.method, m.hit_at_1 - f.hit_at_1 AS delta_hit_at_1, m.hit_at_k - f.hit_at_k AS delta_hit_at_k, m.mrr - f.mrr AS delta_mrr FROM {table} m JOIN {table} f ON f.method = 'face' AND {on} WHERE m.method <> 'face'"
 
 
-NOISE = f"""WITH {EVIDENCE}, rates AS (SELECT unnest([{', '.join(f'{r}::DOUBLE' for r in q.RATES)}]) AS rate, unnest([{', '.join(map(str, range(len(q.RATES))))}]) AS ordinal),
- donors AS (SELECT a.item_id AS q_id, min(b.item_id) AS donor_id FROM items a JOIN items b ON b.item_id - a.item_id BETWEEN 1 AND 3 AND b.persona_id <> a.persona_id GROUP BY a.item_id),
- noisy AS (SELECT r.rate, i.item_id, CASE WHEN hit THEN dd.ts ELSE i.ts END AS ts, CASE WHEN hit THEN dd.geo ELSE i.geo END AS geo, CASE WHEN hit THEN dd.entities ELSE i.entities END AS entities
-   FROM items i CROSS JOIN rates r LEFT JOIN donors d ON d.q_id = i.item_id LEFT JOIN items dd ON dd.item_id = d.donor_id, LATERAL (SELECT ((i.item_id * 7919) % 1000 < r.rate * 1000 AND d.donor_id IS NOT NULL) AS hit)),
- {scored('usable', 'noisy', ', qc.rate')}, {ranks('q_id, rate')}, {true_ranks('rate,')},
- m AS (SELECT rate, method, {METRICS} FROM tr GROUP BY rate, method), dl AS ({deltas('m', 'rate')})"""
+SET_ROWS = ", ".join(f"({n}, {p}, '{'|'.join(map(str, sorted(s)))}')" for n, s in enumerate(q.SETS) for p in s)
+CANDIDATES = EVIDENCE + f""", sets AS (SELECT * FROM (VALUES {SET_ROWS}) t(set_no, persona, set_key)),
+ cand AS (SELECT u.*, k.set_key FROM usable u LEFT JOIN sets k ON k.persona = u.q_persona WHERE k.set_no IS NULL OR EXISTS (SELECT 1 FROM sets m WHERE m.set_no = k.set_no AND m.persona = u.persona_id))"""
+ABLATION = f"WITH {CANDIDATES}, {scored('cand')}, {ranks()}, {true_ranks('set_key,')}"
+
+
+def scopes(source: str = "tr", keys: str = "", per_set: bool = True) -> str:
+    """m: keys, scope, method and metrics of every scope and method."""
+    each = [f"SELECT *, 'overall' AS scope FROM {source}", f"SELECT *, 'near_tie' FROM {source} WHERE set_key IS NOT NULL"] + ([f"SELECT *, set_key FROM {source} WHERE set_key IS NOT NULL"] if per_set else [])
+    return f"sc AS ({' UNION ALL '.join(each)}), m AS (SELECT {keys} scope, method, {METRICS} FROM sc GROUP BY {keys} scope, method)"
+
+
+def draw(item: str, seed: int, stream: str) -> str:
+    """The same whole number below 1,000,003 as ranking.draw."""
+    base = f"((({item} % 1000003) * 7919 + {seed % 1000003} * 104729 + ({stream}) * 15485) % 1000003)"
+    square = lambda x: f"(({x} * {x}) % 1000003)"
+    return f"(({square(square(base))} * {base}) % 1000003)"
+
+
+STREAM = "round(rate * 1000)::BIGINT"
+NOISE = f"""WITH {CANDIDATES}, rates AS (SELECT unnest([{', '.join(f'{r}::DOUBLE' for r in q.RATES)}]) AS rate, unnest([{', '.join(map(str, range(len(q.RATES))))}]) AS ordinal),
+ numb AS (SELECT *, row_number() OVER (ORDER BY persona_id::VARCHAR, item_id) - 1 AS place FROM items), stretch AS (SELECT persona_id, min(place) AS start, count(*) AS own, (SELECT count(*) FROM items) AS total FROM numb GROUP BY persona_id),
+ drawn AS (SELECT i.*, r.rate, {draw('i.item_id', q.SEED, STREAM)} < rate * 1000003 AS hit, ['replace', 'drop'][{draw('i.item_id', q.SEED + 1, STREAM)} % 2 + 1] AS kind,
+   floor({draw('i.item_id', q.SEED + 2, STREAM)} * (s.total - s.own) / 1000003.0::DOUBLE)::BIGINT AS at, s.start, s.own FROM items i JOIN stretch s USING (persona_id) CROSS JOIN rates r),
+ noisy AS (SELECT x.rate, x.item_id, x.hit, CASE WHEN hit AND kind = 'replace' THEN dd.ts ELSE x.ts END AS ts, CASE WHEN hit AND kind = 'replace' THEN dd.geo ELSE x.geo END AS geo,
+   CASE WHEN hit AND kind = 'replace' THEN dd.entities WHEN hit THEN []::VARCHAR[] ELSE x.entities END AS entities FROM drawn x JOIN numb dd ON dd.place = CASE WHEN x.at < x.start THEN x.at ELSE x.at + x.own END),
+ {scored('cand', 'noisy', ', qc.rate')}, {ranks('q_id, rate')}, {true_ranks('rate, set_key,')}, {scopes('tr', 'rate,', False)}, dl AS ({deltas('m', 'rate,scope')})"""
 WEIGHT_ROWS = ", ".join(f"({n}, {a}::DOUBLE, {b}::DOUBLE)" for n, (a, b) in enumerate(q.WEIGHTS))
-WEIGHTS = f"""WITH {EVIDENCE}, {scored()}, weights AS (SELECT * FROM (VALUES {WEIGHT_ROWS}) t(ordinal, alpha, beta)),
+WEIGHTS = f"""WITH {CANDIDATES}, {scored('cand')}, weights AS (SELECT * FROM (VALUES {WEIGHT_ROWS}) t(ordinal, alpha, beta)),
  fw AS (SELECT ev.*, w.*, round(least(1, greatest(0, alpha * face + beta * context)) + 3e-12, 9) AS fused FROM ev CROSS JOIN weights w),
- rk AS (SELECT *, row_number() OVER (PARTITION BY q_id, ordinal ORDER BY fused DESC, persona_id) AS rank FROM fw),
- m AS (SELECT ordinal, alpha, beta, {METRICS}, CASE WHEN alpha > 0 THEN beta / alpha END AS ratio FROM rk WHERE persona_id = q_persona GROUP BY ordinal, alpha, beta)"""
+ rk AS (SELECT *, 'fused' AS method, row_number() OVER (PARTITION BY q_id, ordinal ORDER BY fused DESC, persona_id) AS rank FROM fw), own AS (SELECT * FROM rk WHERE persona_id = q_persona),
+ {scopes('own', 'ordinal, alpha, beta,', False)}"""
 CENTROIDS = ITEMS + """, comp AS (SELECT persona_id, pos - 1 AS pos, round(avg(x), 12) AS x, count(*) AS n_items FROM (SELECT persona_id, unnest(emb) AS x, generate_subscripts(emb, 1) AS pos FROM items) GROUP BY persona_id, pos),
  cent AS (SELECT persona_id, max(n_items) AS n_items, list(x ORDER BY pos) AS emb FROM comp GROUP BY persona_id),
  ppairs AS (SELECT a.persona_id AS i, b.persona_id AS j, round(list_cosine_similarity(a.emb, b.emb), 9) AS score FROM cent a JOIN cent b ON a.persona_id < b.persona_id)"""
@@ -157,6 +178,13 @@ def oracle_sql() -> dict[str, str]:
  w AS (SELECT *, bool_or(ok) FILTER (subset = 'full') OVER (PARTITION BY severity) AS full_ok, max(n) FILTER (subset = 'full') OVER (PARTITION BY severity) AS n_full FROM a)
  SELECT severity, subset, CASE WHEN subset = 'full' OR full_ok THEN n ELSE 0 END AS n, round(CASE WHEN subset = 'full' THEN 1::DOUBLE WHEN full_ok THEN n::DOUBLE / n_full ELSE 0 END + 3e-12, 6) AS pass_rate,
   {', '.join(f'CASE WHEN full_ok AND ok THEN {c} END AS {c}' for c in ('n_pairs', 'n_genuine', 'n_impostor'))}, {', '.join(f'round(CASE WHEN full_ok AND ok THEN {c} END + 3e-12, 6) AS {c}' for c in ('fmr', 'fnmr', 'eer', 'fmr_at_fnmr'))} FROM w""",
+        "ann_append": f"WITH {ITEMS} SELECT count(*) AS n, max(item_id) AS max_id, count(DISTINCT item_id) AS n_ids FROM items",
+        "ann_all_cells": f"WITH {HITS} SELECT q_id, item_id, round(score + 3e-12, 6) AS score, rank FROM hits",
+        "brightened_pixels": f"WITH {ITEMS}, v AS (SELECT item_id, list_transform(emb[1:32], lambda x: ((round(abs(x) * 500)::INT * 37) % 256)) AS px FROM items) SELECT item_id, 'clean' AS condition, (list_sum(px) * 96)::BIGINT AS total FROM v UNION ALL SELECT item_id, 'brightness', (list_sum(list_transform(px, lambda x: least(255, x + 51))) * 96)::BIGINT FROM v",
+        "form_metadata": f"""WITH {CONTEXT}, f AS (SELECT *, item_id % 10 = 0 OR item_id % 15 IN (0, 1) AS rejected, ts IS NOT NULL OR geo IS NOT NULL OR item_id % 15 <> 2 AS present FROM ctx)
+ SELECT item_id, rejected, NOT rejected AND present AS has_context, CASE WHEN NOT rejected AND present THEN CASE WHEN item_id % 15 = 2 THEN 0 ELSE len(entities) END END AS n_entities FROM f""",
+        "best_detections": "SELECT user_id, event_id, round(value + 3e-12, 6) AS detection_score, round(CASE WHEN event_id % 3 = 0 THEN 0.25::DOUBLE ELSE value / 100 END + 3e-12, 6) AS quality FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) = 1",
+        "sanitised_paths": f"WITH {CONTEXT} SELECT item_id, item_id || '.json' AS file, item_id || '.json|plain' AS files FROM ctx",
         "trust_gate": f"WITH {CONTEXT} SELECT item_id, {R('quality')}, {TRUST} AS trust FROM ctx",
         "ingest_report": f"WITH {CONTEXT} SELECT {TRUST} AS trust, count(*) AS n FROM ctx GROUP BY 1",
         "ingest_ids": f"WITH {CONTEXT} SELECT item_id, row_number() OVER (ORDER BY item_id) + (SELECT max(vec_id) FROM embeddings) AS vector_id FROM ctx WHERE {TRUST} <> 'reject'",
@@ -173,14 +201,19 @@ def oracle_sql() -> dict[str, str]:
         "ambiguous_band": f"WITH {PAIRS} SELECT i, j, {R('score')} FROM pairs WHERE score BETWEEN {q.BAND[0]} AND {q.BAND[1]}",
         "rank_metrics": f"{TRUE}, m AS (SELECT method, {METRICS} FROM tr GROUP BY method) SELECT method, {M} FROM m",
         "rank_metrics_per_set": f"{TRUE}, m AS (SELECT method, {SET_KEY} AS set_key, {METRICS} FROM tr GROUP BY 1, 2) SELECT method, set_key, {M} FROM m WHERE set_key IS NOT NULL",
-        "rank_metrics_scopes": f"{TRUE}, s AS (SELECT *, 'overall' AS scope FROM tr UNION ALL SELECT *, 'near_tie' FROM tr WHERE {SET_KEY} IS NOT NULL UNION ALL SELECT *, {SET_KEY} FROM tr WHERE {SET_KEY} IS NOT NULL), m AS (SELECT scope, method, {METRICS} FROM s GROUP BY scope, method) SELECT scope, method, {M} FROM m",
+        "rank_metrics_scopes": f"{ABLATION}, {scopes()} SELECT scope, method, {M} FROM m",
+        "ablation_deltas": f"{ABLATION}, {scopes()}, dl AS ({deltas('m', 'scope')}) SELECT scope, method, {D} FROM dl",
+        "ablation_gap_le": f"{ABLATION}, t AS (SELECT unnest([{', '.join(f'{g}::DOUBLE' for g in q.GAPS)}]) AS gap_le), ms AS (SELECT unnest(['face', 'fused', 'tiebreak']) AS method), m AS (SELECT t.gap_le, ms.method, count(rank) AS n, avg((rank <= 1)::INT) AS hit_at_1, avg((rank <= 5)::INT) AS hit_at_k, avg(1.0::DOUBLE / rank) AS mrr FROM t CROSS JOIN ms LEFT JOIN tr ON tr.method = ms.method AND tr.gap <= t.gap_le GROUP BY 1, 2) SELECT gap_le, method, {M} FROM m",
+        "ablation_gaps": f"{ABLATION}, s AS (SELECT *, 'overall' AS scope FROM tr UNION ALL SELECT *, 'near_tie' FROM tr WHERE set_key IS NOT NULL) SELECT scope, count(*) AS n, round(avg(gap) + 3e-12, 6) AS mean_gap, round(quantile_cont(gap, 0.5) + 3e-12, 6) AS median_gap FROM s WHERE method = 'face' AND gap IS NOT NULL GROUP BY scope",
+        "ablation_counts": f"WITH {EVIDENCE} SELECT count(DISTINCT q_id) AS n_queries, (SELECT count(*) FROM items) - count(DISTINCT q_id) AS n_skipped FROM usable",
         "gap_slices": f"{TRUE}, t AS (SELECT unnest([{', '.join(f'{g}::DOUBLE' for g in q.GAPS)}]) AS gap_le), ms AS (SELECT unnest(['face', 'fused', 'selective', 'tiebreak']) AS method), m AS (SELECT t.gap_le, ms.method, count(rank) AS n, avg((rank <= 1)::INT) AS hit_at_1, avg((rank <= 5)::INT) AS hit_at_k, avg(1.0::DOUBLE / rank) AS mrr FROM t CROSS JOIN ms LEFT JOIN tr ON tr.method = ms.method AND tr.gap <= t.gap_le GROUP BY 1, 2) SELECT gap_le, method, {M} FROM m",
         "gap_summary": f"{TRUE} SELECT count(*) AS n, round(avg(gap) + 3e-12, 6) AS mean_gap, round(quantile_cont(gap, 0.5) + 3e-12, 6) AS median_gap FROM tr WHERE method = 'face' AND gap IS NOT NULL",
         "method_deltas": f"{TRUE}, m AS (SELECT method, {METRICS} FROM tr GROUP BY method), dl AS ({deltas('m', '')}) SELECT method, {D} FROM dl",
-        "noise_sweep": f"{NOISE} SELECT rate, method, {D} FROM dl",
-        "first_negative_rate": f"{NOISE} SELECT method, arg_min(rate, ordinal) AS rate FROM dl JOIN rates USING (rate) WHERE round(delta_hit_at_1, 9) < 0 GROUP BY method",
-        "weight_sweep": f"{WEIGHTS} SELECT ordinal, alpha, beta, {M}, {R('ratio')} FROM m",
-        "weight_peak": f"{WEIGHTS} SELECT alpha, beta, {R('hit_at_1', 'mrr')} FROM m ORDER BY round(m.hit_at_1, 9) DESC, round(m.mrr, 9) DESC, ordinal LIMIT 1",
+        "noise_sweep": f"{NOISE} SELECT rate, scope, method, {D} FROM dl",
+        "noise_corrupted": f"{NOISE} SELECT rate, count(*) FILTER (hit) AS n_corrupted FROM noisy WHERE item_id IN (SELECT q_id FROM usable) GROUP BY rate",
+        "first_negative_rate": f"{NOISE} SELECT scope, method, arg_min(rate, ordinal) FILTER (round(delta_hit_at_1, 9) < 0) AS rate FROM dl JOIN rates USING (rate) GROUP BY scope, method",
+        "weight_sweep": f"{WEIGHTS} SELECT ordinal, alpha, beta, scope, {M}, round(CASE WHEN alpha > 0 THEN beta / alpha END + 3e-12, 6) AS ratio FROM m",
+        "weight_peak": f"{WEIGHTS} SELECT scope, alpha, beta, {R('hit_at_1', 'mrr')} FROM m ORDER BY scope = 'near_tie' DESC, round(m.hit_at_1, 9) DESC, round(m.mrr, 9) DESC, ordinal LIMIT 1",
         "persona_centroids": f"WITH {CENTROIDS} SELECT persona_id, max(n_items) OVER (PARTITION BY persona_id) AS n_items, pos::INT AS pos, {R('x')} FROM comp",
         "adaptive_band": f"WITH {CENTROIDS}, {BANDED(0.9)} SELECT {R('low', 'high')} FROM band",
         "near_tie_pairs": f"WITH {CENTROIDS}, {BANDED(0.5)} SELECT i, j, {R('score')} FROM ppairs, band WHERE score BETWEEN low AND high",
@@ -193,6 +226,10 @@ def oracle_sql() -> dict[str, str]:
         "latency_percentiles": "SELECT event_type, count(*) AS n, round(avg(value) + 3e-12, 6) AS mean, round(quantile_cont(value, 0.5) + 3e-12, 6) AS p50, round(quantile_cont(value, 0.9) + 3e-12, 6) AS p90, round(quantile_cont(value, 0.95) + 3e-12, 6) AS p95, round(quantile_cont(value, 0.99) + 3e-12, 6) AS p99 FROM events GROUP BY event_type",
         "stream_ingest": f"WITH {CONTEXT} SELECT item_id, platform, {R('quality')}, {TRUST} AS trust FROM ctx WHERE {TRUST} <> 'reject'",
     }
+    labels = ", ".join(f"({s}::DOUBLE, {n + 1}, 'quantised {s:g}')" for n, s in enumerate(q.SEVERITIES))
+    bars = " UNION ALL ".join(f"SELECT ordinal, label, '{m}' AS metric, max({m}) FILTER (subset = 'full') AS \"full\", max({m}) FILTER (subset = 'gated') AS gated, max(pass_rate) FILTER (subset = 'gated') AS pass_rate FROM g GROUP BY ordinal, label" for m in ("fmr", "fnmr"))
+    out["gate_bars"] = f"WITH g AS (SELECT * FROM ({out['gate_ablation']}) JOIN (VALUES {labels}) l(severity, ordinal, label) USING (severity)) {bars}"
+    out["fusion_bars"] = " UNION ALL ".join(f"SELECT scope, method, '{m}' AS metric, {m} AS value FROM ({out['rank_metrics_scopes']})" for m in ("hit_at_1", "hit_at_k", "mrr"))
     for m in ("face", "fused", "selective", "tiebreak"):
         out[f"persona_{m}_rank"] = f"{RANKED} SELECT q_id, persona_id, {R('face', 'fused')}, {m}_rank AS rank FROM ranked"
     return out

@@ -13,6 +13,7 @@ from ..functions import scoring
 from ..operators import search, sidecar
 
 MAX_K = 100
+VERSION = "1"
 
 
 @dataclasses.dataclass
@@ -27,6 +28,7 @@ class Engine:
     metadata: DataFrame
     profile: Profile = dataclasses.field(default_factory=Profile)
     extract: Callable[[DataFrame], DataFrame] | None = None
+    model_id: str = "none"
 
     def ingest(self, media: DataFrame, order: str = "item_id") -> tuple[DataFrame, DataFrame]:
         """(report, accepted): trust of every row, and the accepted rows with ids that continue the index."""
@@ -46,4 +48,5 @@ class Engine:
         return search.fused_search(hits, queries, self.metadata, self.profile.alpha, self.profile.beta)
 
     def info(self) -> dict:
-        return {"index_size": self.index.count(), "profile": self.profile.name}
+        """What a health check reports."""
+        return {"status": "ok", "version": VERSION, "model_id": self.model_id, "index_size": self.index.count(), "profile": self.profile.name}

@@ -6,24 +6,30 @@ in floating point are rounded to 6 digits.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .config import Profile, SearchConfig
-from .functions import scoring
-from .operators import context, neartie, ranking, search, sidecar, verification
-from .plans import scenario
-from .sources import tables
+from .config import Profile
+from .functions import pixels, records, scoring
+from .functions.scorers import LinearScorer
+from .operators import context, index, neartie, ranking, search, sidecar, verification
+from .plans import ablation, experiment, scenario
+from .sources import results, tables
+from .sources.tables import scratch
+from .streaming import ingest
 
 PROFILE = Profile()
+SCORER = LinearScorer.of(PROFILE)
 K, GATE, QUALITY_MIN = 10, 0.05, 0.6
 SEVERITIES = [0.0, 0.1, 0.25, 0.5, 0.6, 0.75]
 THRESHOLDS = [0.0, 0.1, 0.2, 0.3, 0.5]
 SETS = [[0, 1], [2, 3, 4]]
 GAPS = [0.01, 0.02, 0.05, 0.1]
 RATES = [0.5, 0.0, 0.25, 1.0]
+SEED = 3
 WEIGHTS = [(1.0, 0.0), (0.9, 0.1), (0.7, 0.3), (0.5, 0.5)]
 BAND = (0.2, 0.3)
 
@@ -47,11 +53,11 @@ def _queries_of(items: DataFrame) -> DataFrame:
 
 def _ranked(spark, d, extra=None) -> DataFrame:
     items = tables.read_items(spark, d)
-    return ranking.ranked(ranking.evidence(items), PROFILE.alpha, PROFILE.beta, GATE)
+    return ranking.ranked(ranking.evidence(items), SCORER, GATE)
 
 
 def _true(spark, d) -> DataFrame:
-    return ranking.scoped(ranking.true_ranks(_ranked(spark, d)), SETS)
+    return ranking.scoped(ranking.true_ranks(_ranked(spark, d)), ranking.members_of(spark, SETS))
 
 
 @query
@@ -189,12 +195,18 @@ def normalised_norms(spark, d):
     return rounded(v.select("item_id", scoring.norm(scoring.unit(F.col("emb"), F.col("length"))).alias("unit_norm")))
 
 
+def _against_all(items: DataFrame, q: DataFrame) -> DataFrame:
+    """A stated query set against all rows, in blocks: queries in blocks of 256, which each part of the items meets in turn."""
+    blocks = q.groupBy(F.pmod(F.xxhash64("q_id"), F.lit(max(1, q.count() // 256))).alias("block")).agg(F.collect_list(F.struct(*q.columns)).alias("asked"))
+    met = items.crossJoin(blocks.select("asked")).select(*items.columns, F.inline("asked"))
+    return met.where("q_id <> item_id")
+
+
 @query
 def context_score_pairs(spark, d):
     items = tables.read_items(spark, d).select("item_id", "ts", "geo", "entities")
     q = _queries_of(items).select(F.col("item_id").alias("q_id"), *[F.col(c).alias(f"q_{c}") for c in ranking.CONTEXT])
-    # a stated query set against all rows
-    both = items.join(F.broadcast(q), F.col("q_id") != F.col("item_id"))
+    both = _against_all(items, q)
     score = scoring.context_score({c: F.col(f"q_{c}") for c in ranking.CONTEXT}, {c: F.col(c) for c in ranking.CONTEXT})
     return rounded(both.select("q_id", "item_id", score.alias("context_score")))
 
@@ -203,13 +215,13 @@ def context_score_pairs(spark, d):
 def entity_jaccard(spark, d):
     items = tables.read_items(spark, d).select("item_id", "entities")
     q = _queries_of(items).select(F.col("item_id").alias("q_id"), F.col("entities").alias("q_entities"))
-    both = items.where("size(entities) > 0").join(F.broadcast(q.where("size(q_entities) > 0")), F.col("q_id") != F.col("item_id"))
+    both = _against_all(items.where("size(entities) > 0"), q.where("size(q_entities) > 0"))
     return rounded(both.select("q_id", "item_id", scoring.entity_jaccard(F.col("q_entities"), F.col("entities")).alias("jaccard")))
 
 
 @query
 def ambiguous_band(spark, d):
-    return rounded(neartie.in_band_pairs(verification.pair_scores(tables.read_items(spark, d)), *BAND).select("i", "j", "score"))
+    return rounded(verification.all_pairs(tables.read_items(spark, d)).in_band(*BAND).select("i", "j", "score"))
 
 
 def _rank_query(method: str) -> Query:
@@ -233,11 +245,34 @@ def rank_metrics_per_set(spark, d):
     return rounded(ranking.metrics(_true(spark, d).where("set_key IS NOT NULL"), ["method", "set_key"]))
 
 
+def _ambiguity(spark, d) -> ablation.Ablation:
+    return ablation.ambiguity(tables.read_items(spark, d), SCORER, SETS, gap_thresholds=GAPS, selective_gap=GATE)
+
+
 @query
 def rank_metrics_scopes(spark, d):
-    """overall, near_tie and each set in one pass over the ranks."""
-    scope = F.explode(F.when(F.col("set_key").isNull(), F.array(F.lit("overall"))).otherwise(F.array(F.lit("overall"), F.lit("near_tie"), F.col("set_key"))))
-    return rounded(ranking.metrics(_true(spark, d).withColumn("scope", scope), ["scope", "method"]))
+    """overall, near_tie and each set; queries of a near-tie set are ranked among it alone."""
+    return rounded(_ambiguity(spark, d).metrics)
+
+
+@query
+def ablation_deltas(spark, d):
+    return rounded(_ambiguity(spark, d).deltas)
+
+
+@query
+def ablation_gap_le(spark, d):
+    return rounded(_ambiguity(spark, d).gap_le)
+
+
+@query
+def ablation_gaps(spark, d):
+    return rounded(_ambiguity(spark, d).gaps)
+
+
+@query
+def ablation_counts(spark, d):
+    return _ambiguity(spark, d).counts
 
 
 @query
@@ -255,44 +290,38 @@ def method_deltas(spark, d):
     return rounded(ranking.deltas(ranking.metrics(_true(spark, d), ["method"]), []))
 
 
-def _noise(spark, d) -> DataFrame:
-    items = tables.read_items(spark, d)
-    ev = ranking.corrupted(ranking.evidence(items), items, RATES)
-    ranks = ranking.true_ranks(ranking.ranked(ev, PROFILE.alpha, PROFILE.beta, GATE, ["rate"]), extra=["rate"])
-    return ranking.deltas(ranking.metrics(ranks, ["rate", "method"]), ["rate"])
+def _noise(spark, d) -> ablation.NoiseSweep:
+    return ablation.noise(tables.read_items(spark, d), SCORER, SETS, RATES, SEED, selective_gap=GATE)
 
 
 @query
 def noise_sweep(spark, d):
-    return rounded(_noise(spark, d))
+    return rounded(_noise(spark, d).deltas)
+
+
+@query
+def noise_corrupted(spark, d):
+    return _noise(spark, d).corrupted
 
 
 @query
 def first_negative_rate(spark, d):
-    """The first rate in the order given at which a method is worse than face."""
-    place = F.array_position(F.array(*[F.lit(r) for r in RATES]), F.col("rate"))
-    worse = _noise(spark, d).where("round(delta_hit_at_1, 9) < 0").groupBy("method").agg(F.min(F.struct(place.alias("p"), "rate")).alias("x"))
-    return worse.select("method", F.col("x.rate").alias("rate"))
+    """The first rate in the order given at which a method is worse than face, by scope (null: none)."""
+    return _noise(spark, d).first_negative
 
 
-def _weights(spark, d) -> DataFrame:
-    items = tables.read_items(spark, d)
-    each = F.inline(F.array(*[F.struct(F.lit(n).alias("ordinal"), F.lit(a).alias("alpha"), F.lit(b).alias("beta")) for n, (a, b) in enumerate(WEIGHTS)]))
-    ev = ranking.evidence(items).select("*", each)
-    keys = ["ordinal", "alpha", "beta"]
-    ranks = ranking.true_ranks(ranking.ranked(ev, F.col("alpha"), F.col("beta"), GATE, keys), ["fused"], keys)
-    return ranking.metrics(ranks, [*keys, "method"]).withColumn("ratio", F.when(F.col("alpha") > 0, F.col("beta") / F.col("alpha")))
+def _weights(spark, d) -> ablation.WeightSweep:
+    return ablation.weights(tables.read_items(spark, d), LinearScorer, WEIGHTS, SETS)
 
 
 @query
 def weight_sweep(spark, d):
-    return rounded(_weights(spark, d).drop("method"))
+    return rounded(_weights(spark, d).rows)
 
 
 @query
 def weight_peak(spark, d):
-    best = _weights(spark, d).agg(F.max(F.struct(F.round("hit_at_1", 9).alias("h"), F.round("mrr", 9).alias("m"), (-F.col("ordinal")).alias("o"), "alpha", "beta")).alias("x"))
-    return rounded(best.select("x.alpha", "x.beta", F.col("x.h").alias("hit_at_1"), F.col("x.m").alias("mrr")))
+    return rounded(_weights(spark, d).peak)
 
 
 @query
@@ -352,14 +381,39 @@ def latency_percentiles(spark, d):
 
 @query
 def plot_ready_roc(spark, d):
-    return rounded(tables.plot_ready(roc_curve(spark, d)))
+    return rounded(results.plot_ready(verification.all_pairs(tables.read_items(spark, d)).points()))
+
+
+def _index(spark, vectors) -> index.CellIndex:
+    return index.CellIndex.create(vectors, f"{scratch(spark)}/index-{uuid.uuid4().hex}")
 
 
 @query
 def ann_recall(spark, d):
-    items = tables.read_items(spark, d)
+    """Recall of the approximate index at its own settings, and the share of the vectors that it scans."""
+    items = tables.read_items(spark, d).select("item_id", "emb")
     q = _queries_of(items)
-    return search.recall(search.approximate_topk(q, items, K, SearchConfig(probes=15)), search.exact_topk(q, items, K))
+    built = _index(spark, items)
+    found = search.recall(built.search(q, K), search.exact_topk(q, items, K))
+    return rounded(found.crossJoin(built.scanned(q)))
+
+
+@query
+def ann_append(spark, d):
+    """Size and largest id of an index that was made from even ids and to which the odd ones were added."""
+    items = tables.read_items(spark, d).select("item_id", "emb")
+    built = _index(spark, items.where("item_id % 2 = 0"))
+    built.append(items.where("item_id % 2 = 1"))
+    again = index.CellIndex.load(spark, built.path, built.dim)
+    return again.vectors().agg(F.count("*").alias("n"), F.max("item_id").alias("max_id"), F.count_distinct("item_id").alias("n_ids"))
+
+
+@query
+def ann_all_cells(spark, d):
+    """The index with every cell probed is an exact search."""
+    items = tables.read_items(spark, d).select("item_id", "emb")
+    built = _index(spark, items)
+    return rounded(built.search(_queries_of(items), K, probes=len(built.centres)))
 
 
 @query
@@ -381,11 +435,12 @@ def _images(spark, d) -> DataFrame:
     return v.select("item_id", F.lit(32).alias("height"), F.lit(32).alias("width"), data.alias("data"))
 
 
+CONDITIONS = [("gaussian_blur", 1.5), ("brightness", 0.2), ("downsample", 0.5), ("off_angle", 30.0)]
+
+
 @query
 def pixel_degradations(spark, d):
-    from .functions import pixels
-
-    grid = [("clean", 0.0), ("gaussian_blur", 1.5), ("brightness", 0.2), ("downsample", 0.5), ("off_angle", 30.0)]
+    grid = [("clean", 0.0), *CONDITIONS]
     each = F.inline(F.array(*[F.struct(F.lit(n).alias("condition"), F.lit(s).alias("severity")) for n, s in grid]))
     out = pixels.degrade(_images(spark, d).select("*", each), "item_id")
     return out.select("item_id", "condition", "severity", F.sha2("data", 256).alias("data_sha256"), "quality")
@@ -393,22 +448,89 @@ def pixel_degradations(spark, d):
 
 @query
 def quality_scores(spark, d):
-    from .functions import pixels
-
     out = pixels.degrade(_images(spark, d).withColumn("condition", F.lit("clean")).withColumn("severity", F.lit(0.0)), "item_id")
     return rounded(out.select("item_id", "quality", scoring.trust(F.col("quality"), QUALITY_MIN).alias("trust")))
 
 
 @query
-def stream_ingest(spark, d):
-    """Events through the streaming ingest, into a table of the shared scratch folder."""
-    import tempfile
-    import uuid
+def brightened_pixels(spark, d):
+    """Sum of all bytes of each image as it is and brighter by a fifth."""
+    images = _images(spark, d)
+    each = F.inline(F.array(*[F.struct(F.lit(n).alias("condition"), F.lit(s).alias("severity")) for n, s in (("clean", 0.0), ("brightness", 0.2))]))
+    out = pixels.degrade(images.select("*", each), "item_id")
+    total = F.aggregate(F.sequence(F.lit(1), F.length("data")), F.lit(0).cast("long"), lambda acc, i: acc + F.conv(F.hex(F.substring("data", i, F.lit(1))), 16, 10).cast("long"))
+    return out.select("item_id", "condition", total.alias("total"))
+
+
+def _rows_embedding(stack):
+    """The mean of every row of pixels, less the image's; images without contrast have none."""
+    rows = stack.mean(axis=(2, 3))
+    rows = rows - rows.mean(axis=1, keepdims=True)
+    return [r if r.any() else None for r in rows]
+
+
+def _labelled_images(spark, d) -> DataFrame:
+    return _images(spark, d).join(tables.read_items(spark, d).select("item_id", F.col("persona_id").alias("label")), "item_id")
+
+
+@query
+def image_sweep(spark, d):
+    """Condition sweep from pixels: degrade, embed, align with the clean gallery, score."""
+    return rounded(experiment.sweep(_labelled_images(spark, d), CONDITIONS, _rows_embedding)[0])
+
+
+@query
+def image_gate(spark, d):
+    return rounded(experiment.gated(_labelled_images(spark, d), CONDITIONS, _rows_embedding, experiment.whole_quality, 0.5))
+
+
+@query
+def form_metadata(spark, d):
+    """Context from form strings: some times and lists of entities can't be read."""
+    e = tables.read_context(spark, d)
+    iso = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    ts = F.when(F.col("item_id") % 10 == 0, "yesterday").otherwise(iso)
+    entities = F.when(F.col("item_id") % 15 == 0, "not json").when(F.col("item_id") % 15 == 1, '["a", 1]').when(F.col("item_id") % 15 == 2, F.lit(None)).otherwise(F.to_json("entities"))
+    forms = e.select("item_id", ts.alias("timestamp"), F.col("geo").cast("string").alias("geo_cluster"), F.lit(None).cast("string").alias("source_platform"), entities.alias("text_entities"))
+    out = records.form_context(forms)
+    return out.select("item_id", F.col("problem").isNotNull().alias("rejected"), F.col("context").isNotNull().alias("has_context"), F.size("context.text_entities").cast("long").alias("n_entities"))
 
-    from .streaming import ingest
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="vectrail-")
-    base = f"{root.rstrip('/')}/vectrail-stream/{uuid.uuid4().hex}"
+@query
+def best_detections(spark, d):
+    """The best detection of each user's events, and its quality where it brings one along."""
+    e = spark.read.parquet(f"{d}/events.parquet")
+    quality = F.when(F.col("event_id") % 3 == 0, F.struct(F.lit(0.25).alias("score"), F.lit("given").alias("method")))
+    observation = F.struct(F.col("event_id").alias("event_id"), F.col("value").alias("detection_score"), quality.alias("quality"))
+    per = e.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col("event_id").alias("at"), observation.alias("o")))), lambda x: x["o"]).alias("found"))
+    best = per.select("user_id", records.best_detection(F.col("found")).alias("b"))
+    return rounded(best.select("user_id", "b.event_id", F.col("b.detection_score").alias("detection_score"), records.assessed(F.col("b.quality"), F.col("b.detection_score") / 100, "assessed")["score"].alias("quality")))
+
+
+@query
+def sanitised_paths(spark, d):
+    """Paths of nested results, cut to their last part."""
+    e = tables.read_context(spark, d)
+    path = F.concat(F.lit("/data/runs/"), F.col("platform"), F.lit("/"), F.col("item_id").cast("string"), F.lit(".json"))
+    nested = e.select("item_id", F.struct(path.alias("file"), F.array(path, F.lit("plain")).alias("files"), F.lit("C:\\tmp\\x").alias("roc_points")).alias("config"), F.lit(1).alias("roc_points"))
+    return results.sanitised(nested).select("item_id", "config.file", F.array_join("config.files", "|").alias("files"))
+
+
+@query
+def gate_bars(spark, d):
+    table = verification.gate_ablation(tables.read_items(spark, d), SEVERITIES, 0.3, 0.5).withColumn("ordinal", F.array_position(F.array(*[F.lit(s) for s in SEVERITIES]), F.col("severity")))
+    return rounded(results.gate_bars(table, scoring.condition_label(F.lit("quantised"), F.col("severity"))))
+
+
+@query
+def fusion_bars(spark, d):
+    return rounded(results.fusion_bars(_ambiguity(spark, d).metrics).drop("text"))
+
+
+@query
+def stream_ingest(spark, d):
+    """Events through the streaming ingest, into a table of the shared scratch folder."""
+    base = f"{scratch(spark)}/stream-{uuid.uuid4().hex}"
     tables.read_context(spark, d).select("item_id", "platform", "quality").write.parquet(f"{base}/in")
     schema = "item_id bigint, platform string, quality double"
     ingest.ingest_stream(spark, f"{base}/in", schema, f"{base}/out", f"{base}/state", quality_min=QUALITY_MIN).awaitTermination()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -13,6 +14,17 @@ from .. import schemas
 FORMAT_VERSION = 1
 
 
+def scratch(spark: SparkSession) -> str:
+    """A folder for tables of the session: in the shared folder that the cluster names in spark.checkpoint.dir; a folder of our own on a local master that names none."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="vectrail-")
+    return f"{root.rstrip('/')}/vectrail-tables"
+
+
 def read_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """item_id, persona_id, emb (doubles), ts, geo, platform, entities, quality: vectors with the context of the event of equal id."""
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("item_id"), F.col("label").alias("persona_id"), F.col("embedding").cast("array<double>").alias("emb"))
@@ -48,8 +60,13 @@ def load_snapshot(spark: SparkSession, path: str, kind: str, dim: int) -> DataFr
     return items
 
 
-def read_images(spark: SparkSession, root: str, per_identity: int | None = None, identities: int | None = None) -> DataFrame:
-    """origin, label, image of <root>/<identity>/*; undecodable files raise, hidden files are skipped by Spark."""
+def read_images(spark: SparkSession, root: str, per_identity: int | None = None, identities: int | None = None, limit: int | None = None, *, labelled: bool = True) -> DataFrame:
+    """origin, label, image of <root>/<identity>/*; undecodable files raise, hidden files are skipped by Spark.
+
+    Limits go by label and path. A labelled folder must hold images of at least two identities.
+    """
+    if identities is not None and identities < 2:
+        raise ValueError("at least 2 identities are needed")
     rows = spark.read.format("image").option("recursiveFileLookup", True).option("dropInvalid", False).load(root)
     rows = rows.select(F.col("image.origin").alias("origin"), F.regexp_extract("image.origin", "([^/]+)/[^/]+$", 1).alias("label"), "image")
     rows = rows.withColumn("image", F.when(F.col("image.height") > 0, F.col("image")).otherwise(F.raise_error(F.concat(F.lit("not an image: "), F.col("origin")))))
@@ -58,9 +75,14 @@ def read_images(spark: SparkSession, root: str, per_identity: int | None = None,
     if identities is not None:
         first = rows.select("label").distinct().orderBy("label").limit(identities)
         rows = rows.join(F.broadcast(first), "label", "left_semi")
+    if limit is not None:
+        rows = rows.orderBy("label", "origin").limit(limit)
+    if labelled and rows.select("label").distinct().limit(2).count() < 2:
+        raise ValueError(f"{root} holds images of fewer than 2 identities")
     return rows
 
 
+
 def write_scenario(path: str, identities: DataFrame, media: DataFrame, config: dict, near_tie_sets: list | None = None) -> None:
     """identities and media as JSON lines, and a manifest with counts, the config's hash and content hashes."""
     identities.write.mode("overwrite").json(f"{path}/identities")
@@ -92,13 +114,13 @@ def load_scenario(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame,
     return out[0], out[1], manifest
 
 
-def sanitised(results: DataFrame) -> DataFrame:
-    """Results without curve points, absolute paths cut to their last part."""
-    kept = results.drop("roc_points")
-    path = lambda c: F.when(F.col(c).rlike(r"^(/|[A-Za-z]:\\)"), F.regexp_replace(c, r"^.*[\\/]", "")).otherwise(F.col(c))
-    return kept.select(*[path(c).alias(c) if t == "string" else F.col(c) for c, t in kept.dtypes])
-
+def media_embeddings(media: DataFrame, vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(media with emb, counts): media joined to the vectors (idx, emb) that their inline/NNNNNN references name.
 
-def plot_ready(curve: DataFrame, floor: float = 5e-5) -> DataFrame:
-    """ROC points for logarithmic axes: rates raised to the floor."""
-    return curve.withColumn("fmr", F.greatest("fmr", F.lit(floor))).withColumn("fnmr", F.greatest("fnmr", F.lit(floor)))
+    Media whose reference is another or has no vector are dropped; counts has n_media and n_dropped.
+    """
+    idx = F.regexp_extract("image_ref", r"^inline/(\d+)$", 1)
+    named = media.withColumn("idx", F.when(idx != "", idx.cast("long")))
+    joined = named.join(vectors.where(F.col("emb").isNotNull()).select(F.col("idx").cast("long").alias("idx"), "emb"), "idx", "left")
+    counts = joined.agg(F.count("*").alias("n_media"), F.count_if(F.col("emb").isNull()).alias("n_dropped"))
+    return joined.where(F.col("emb").isNotNull()), counts
