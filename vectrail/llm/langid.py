@@ -113,7 +113,7 @@ def train(
     no language and predicts 'und' for every text.
     """
     usable = labelled.where(F.col(text_col).isNotNull() & F.col(label_col).isNotNull())
-    kept = bounded_sample(usable, key, sample, [text_col, label_col])
+    kept = bounded_sample(usable, key, sample, [text_col, label_col]).where(has_letter(F.col(text_col)))
     rows = kept.select(
         F.col(text_col).cast("string").alias("text"), F.col(label_col).cast("string").alias("label"),
         F.pmod(F.xxhash64(F.col(key), F.lit(29)), F.lit(5)).cast("int").alias("part"), F.xxhash64(F.col(key), F.lit(31)).alias("turn"),

@@ -103,7 +103,7 @@ def locate_edits(old: Column, new: Column) -> Column:
 
 
 def successors(ids: DataFrame) -> DataFrame:
-    """doc_id, next_id, prev_id: neighbours among the distinct non-null ids in descending order, the ends joined.
+    """doc_id, next_id: the neighbour of each distinct non-null id in descending order, the smallest followed by the largest.
 
     A range sort numbers the ids (partition starts come from one count a partition), and an
     equi-join on the number finds the neighbour: no single task sees all ids.
