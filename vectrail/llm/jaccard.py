@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, byte_lanes, components, content_hash, drop_table, mix64, slices, word_bounds, write_table
+from .common import U64, byte_lanes, components, content_hash, drop_table, mix64, slices, word_bounds, write_in_parts, write_table
 from .repeats import unique_rows
 
 SKETCH_BITS, SLICE_BITS = 20, 16
@@ -33,6 +33,8 @@ BITMAPS = ("b0", "b1", "b2", "b3")
 MARK_BITS = (16, 26)
 #: A token whose rows would meet in more pairs than this is split by further orders first.
 HOT_PAIRS = 1 << 20
+#: Tokens and pairs are exchanged in so many parts by hash, one after the other: a part's shuffle files go before the next begins.
+PARTS = 4
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -248,20 +250,29 @@ def join(
     sets = write_table(known.where("n > 0").groupBy("k1", "k2").agg(F.min("doc").alias("node")), "sets")
     fronts = write_table(_fronts(_marked(rows, sets.select(F.col("node").alias("doc"))), sketch, words, num, den).where("n > 0"), "fronts")
 
-    tokens = fronts.select("node", "n", F.posexplode("f0").alias("pos", "key"))
-    by_token = tokens.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.min(F.struct("pos", "n", "node")).alias("lead"))
-    shared = write_table(tokens.join(by_token.where("low <> high").select("key", "lead"), "key"), "shared")
+    def shared_of(part: int) -> DataFrame:
+        tokens = fronts.select("node", "n", F.posexplode("f0").alias("pos", "key")).where(F.pmod(F.xxhash64("key"), F.lit(PARTS)) == part)
+        by_token = tokens.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.min(F.struct("pos", "n", "node")).alias("lead"))
+        return tokens.join(by_token.where("low <> high").select("key", "lead"), "key")
+
+    shared = write_in_parts(shared_of, "shared", PARTS)
 
     def fits(a: str, b: str) -> str:
         size = f"{den} * least({a}.n, {b}.n) >= {num} * greatest({a}.n, {b}.n)"
         return f"{size} AND {num + den} * least({a}.n - {a}.pos, {b}.n - {b}.pos) >= {num} * ({a}.n + {b}.n)"
 
     def filtered(pairs: DataFrame) -> DataFrame:
-        """Pairs whose parity bitmaps differ in no more tokens than similar sets may, and whose prefixes meet under all further orders."""
-        for side in ("a", "b"):
-            pairs = pairs.join(fronts.select(F.col("node").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in ("n", *BITMAPS)]), side)
-        apart = " + ".join(f"bit_count(a_{c} ^ b_{c})" for c in BITMAPS)
-        pairs = write_table(pairs.where(f"({apart}) * {num + den} <= {den - num} * (a_n + b_n)").select("a", "b"), "plausible")
+        """Pairs (a written table) whose parity bitmaps differ in no more tokens than similar sets may, and whose prefixes meet under all further orders."""
+        proposed = pairs
+
+        def plausible(part: int) -> DataFrame:
+            pairs = proposed.where(F.pmod(F.xxhash64("a", "b"), F.lit(PARTS)) == part)
+            for side in ("a", "b"):
+                pairs = pairs.join(fronts.select(F.col("node").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in ("n", *BITMAPS)]), side)
+            apart = " + ".join(f"bit_count(a_{c} ^ b_{c})" for c in BITMAPS)
+            return pairs.where(f"({apart}) * {num + den} <= {den - num} * (a_n + b_n)").select("a", "b")
+
+        pairs = write_in_parts(plausible, "plausible", PARTS)
         met = pairs
         for side in ("a", "b"):
             met = met.join(fronts.select(F.col("node").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in ("f1", "f2")]), side)
@@ -280,7 +291,9 @@ def join(
         return links
 
     star = shared.alias("m").where("lead.node <> node AND " + fits("lead", "m"))
-    links = verified(star.select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b")).distinct())
+    star = write_table(star.select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b")).distinct(), "star")
+    links = verified(star)
+    drop_table(star)
     placed = shared.select("key", "node", "n", "pos").join(components(links).select("node", "component"), "node", "left")
     placed = write_table(_contested(placed.select("key", "node", "n", "pos", F.coalesce("component", "node").alias("comp"))), "placed")
     drop_table(shared)
