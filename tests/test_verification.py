@@ -96,3 +96,38 @@ def test_gate_ablation_degenerate_subsets(spark):
     gated = rows[0.0, "gated"]  # two items of one identity
     assert (gated.n, gated.pass_rate, gated.eer, gated.fmr, gated.n_pairs) == (2, 0.5, None, None, None)
     assert (rows[5.0, "full"].n, rows[5.0, "full"].fmr, rows[5.0, "gated"].n, rows[5.0, "gated"].pass_rate) == (0, None, 0, 0.0)
+
+
+def test_pairs_of_blocks_are_not_exchanged(spark):
+    t = items(spark, [(i, i // 2, [1.0 + i, 2.0]) for i in range(6)])
+    for scored in (v.all_pairs(t), v.probes_and_gallery(t, t, ["persona_id"]), v.quantised_pairs(t, [0.0, 0.5])):
+        above, _, below = scored.rows()._jdf.queryExecution().executedPlan().toString().partition("CartesianProduct")
+        assert "MapInArrow" in above and "Exchange" not in above and "REPARTITION_BY_NUM" in below
+
+
+def test_blocks_of_a_key_are_filled_by_its_own_rows(spark):
+    import pyarrow as pa
+
+    from vectrail.operators import blocks
+
+    t = spark.createDataFrame([(i, i % 10, [1.0 + i, 2.0]) for i in range(3000)], "item_id long, k int, emb array<double>")
+    kernel = lambda scores, q, c, same: blocks.batch(n=pa.array([scores.size]))
+    met = blocks.cosine_blocks(t, t, kernel, "n long, k int", query_columns=["item_id", "emb"], item_columns=["item_id", "emb"], on=["k"])
+    assert [r.n for r in met.collect()] == [300 * 300] * 10
+
+
+def test_pairs_are_scored_twice_for_all_metrics(spark):
+    import dataclasses
+
+    t = spark.createDataFrame([(i, i % 3, 0.5 + i / 100, [1.0 + i % 7, 2.0 + i % 5, float(i % 4)]) for i in range(40)], "item_id long, persona_id int, quality double, emb array<double>")
+    calls = []
+
+    def counted(scored):
+        return dataclasses.replace(scored, tally=lambda counter: calls.append(1) or scored.tally(counter))
+
+    scored = dataclasses.replace(counted(v.quantised_pairs(t, [0.0, 1.0], 0.6)), cuts=(0.5,))
+    rows, keys = scored.rows(), ["severity", "subset"]
+    key = lambda r: tuple(round(x, 9) if isinstance(x, float) else x for x in r)
+    assert sorted(map(key, scored.operating_points([0.1]).collect())) == sorted(map(key, v.operating_points(v.roc(rows, keys), [0.1], keys).collect()))
+    assert sorted(map(key, scored.rates([0.5]).collect())) == sorted(map(key, v.fmr_fnmr(rows, [0.5], keys).collect()))
+    assert sum(r.n_pairs for r in scored.totals().collect()) == rows.count() and len(calls) == 2

@@ -11,8 +11,10 @@ import dataclasses
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import scoring
 from . import blocks
@@ -27,10 +29,56 @@ class Scored:
 
     apply(kernel, fields) calls kernel(score, is_genuine, i, j) with flat arrays of the pairs of two
     blocks, and gives its columns (``fields``, as DDL) with the columns ``keys``.
+
+    tally(counter) counts in the tasks: each makes counter() = (add, finish), calls add(key, score,
+    is_genuine, own) with flat arrays of the pairs of two blocks (own: items that meet themselves), and
+    finish() gives (key, place, gen, imp) once a key. What is counted at the thresholds ``cuts`` needs
+    no pass of its own.
     """
 
     apply: Callable[[Callable[..., dict[str, np.ndarray]], str], DataFrame]
     keys: list[str]
+    tally: Callable[[Callable], DataFrame]
+    cuts: tuple[float, ...] = ()
+    _bins: DataFrame | None = None
+
+    def bins(self) -> DataFrame:
+        """keys, place, gen, imp: a histogram of at most 2**14 bins; below 0 what reaches each of the cuts, and at OWN the items that meet themselves. Counted once."""
+        if self._bins is None:
+            cuts = self.cuts
+
+            def counter():
+                held: dict[tuple, np.ndarray] = {}
+
+                def add(key, score, genuine, own):
+                    if not len(score):
+                        return
+                    n = held.setdefault(key, np.zeros((2, len(cuts) + 1 + COARSE), np.int64))
+                    n[0, len(cuts)] += own
+                    for s in range(0, len(score), CHUNK):
+                        x, g = score[s : s + CHUNK], genuine[s : s + CHUNK]
+                        bins = _place(x) >> FINE_BITS
+                        every, gen = np.bincount(bins, minlength=COARSE), np.bincount(bins[g], minlength=COARSE)
+                        n[0, len(cuts) + 1 :] += gen
+                        n[1, len(cuts) + 1 :] += every - gen
+                        for k, t in enumerate(cuts):
+                            reached = x >= t
+                            gen = np.count_nonzero(reached & g)
+                            n[0, k] += gen
+                            n[1, k] += np.count_nonzero(reached) - gen
+
+                def finish():
+                    place = np.concatenate([-1 - np.arange(len(cuts)), [OWN], np.arange(COARSE)])
+                    for key, n in held.items():
+                        some = np.flatnonzero((n != 0).any(axis=0) | (place < 0))
+                        yield key, place[some], n[0, some], n[1, some]
+
+                return add, finish
+
+            found = self.tally(counter).groupBy(*self.keys, "place").agg(F.sum("gen").alias("gen"), F.sum("imp").alias("imp"))
+            # a bounded number of counters a key of the configuration
+            self._bins = found.sparkSession.createDataFrame(found.toArrow(), found.schema)
+        return self._bins
 
     def rows(self) -> DataFrame:
         """keys, i, j, score, is_genuine: every pair."""
@@ -58,14 +106,21 @@ class Scored:
     def totals(self) -> DataFrame:
         """keys, n_pairs, n_genuine, n_impostor, n_scored (items that meet themselves)."""
 
-        def kernel(score, genuine, i, j):
-            return {"n_pairs": np.array([len(score)]), "n_genuine": np.array([int(genuine.sum())]), "n_scored": np.array([int((i == j).sum())])}
-
-        found = self.apply(kernel, "n_pairs long, n_genuine long, n_scored long").groupBy(*self.keys).agg(*[F.sum(c).alias(c) for c in ("n_pairs", "n_genuine", "n_scored")])
+        n = F.col("gen") + F.col("imp")
+        sums = {"n_pairs": F.when(F.col("place") >= 0, n), "n_genuine": F.when(F.col("place") >= 0, F.col("gen")), "n_scored": F.when(F.col("place") == OWN, F.col("gen"))}
+        found = self.bins().groupBy(*self.keys).agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(c) for c, x in sums.items()])
         return found.where("n_pairs > 0").select(*self.keys, "n_pairs", "n_genuine", (F.col("n_pairs") - F.col("n_genuine")).alias("n_impostor"), "n_scored")
 
     def rates(self, thresholds: list[float]) -> DataFrame:
         """keys, threshold, fmr, fnmr, as fmr_fnmr gives them: one counter for each stretch between thresholds."""
+        if set(thresholds) <= set(self.cuts):
+            whole = F.col("place") >= 0
+            n_gen, n_imp = (F.sum(F.when(whole, F.col(c))) for c in ("gen", "imp"))
+            found = []
+            for t in thresholds:
+                gen, imp = (F.coalesce(F.sum(F.when(F.col("place") == -1 - self.cuts.index(t), F.col(c))), F.lit(0)) for c in ("gen", "imp"))
+                found.append(F.struct(F.lit(float(t)).alias("threshold"), (imp / F.nullif(n_imp, F.lit(0))).alias("fmr"), ((n_gen - gen) / F.nullif(n_gen, F.lit(0))).alias("fnmr")))
+            return self.bins().groupBy(*self.keys).agg(F.array(*found).alias("at")).select(*self.keys, F.inline("at"))
         cuts = np.sort(np.asarray(thresholds, float))
 
         def kernel(score, genuine, i, j):
@@ -92,13 +147,8 @@ class Scored:
         pass counts the scores of those bins alone, at most 2**17 each. Both are exact.
         """
 
-        def coarse(score, genuine, i, j):
-            n = np.bincount((_place(score) >> FINE_BITS) * 2 + genuine, minlength=2 * COARSE)
-            bins = np.flatnonzero(n[::2] + n[1::2])
-            return {"bin": bins, "gen": n[1::2][bins], "imp": n[::2][bins]}
-
         keys = self.keys
-        bins = self.apply(coarse, "bin long, gen long, imp long").groupBy(*keys, "bin").agg(F.sum("gen").alias("gen"), F.sum("imp").alias("imp"))
+        bins = self.bins().where("place >= 0").withColumnRenamed("place", "bin")
         whole, before = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
         bins = bins.select(
             *keys, "bin", F.coalesce(F.sum("gen").over(before), F.lit(0)).alias("gen_before"), F.coalesce(F.sum("imp").over(before), F.lit(0)).alias("imp_before"),
@@ -112,15 +162,30 @@ class Scored:
             aggregates.append(F.min(F.when(r, F.struct("bin", "fmr", "fnmr"))).alias(f"next_{n}"))
         # one row a key of the configuration
         states = [r.asDict(recursive=True) for r in bins.groupBy(*keys).agg(F.max("n_gen").alias("n_gen"), F.max("n_imp").alias("n_imp"), *aggregates).collect()]
-        opened = np.unique([s[f"open_{n}"]["bin"] for s in states for n in range(len(reached)) if s[f"open_{n}"]] or [-1])
-
-        def fine(score, genuine, i, j):
-            place = _place(score)
-            own = np.isin(place >> FINE_BITS, opened)
-            value, n = np.unique(place[own] * 2 + genuine[own], return_counts=True)
-            return {"place": value >> 1, "gen": n * (value & 1), "imp": n * (1 - (value & 1))}
-
-        found = self.apply(fine, "place long, gen long, imp long").groupBy(*keys, "place").agg(F.sum("gen").alias("gen"), F.sum("imp").alias("imp"))
+        opened = {tuple(s[k] for k in keys): sorted({s[f"open_{n}"]["bin"] for n in range(len(reached)) if s[f"open_{n}"]}) for s in states}
+
+        def fine():
+            held: dict[tuple, np.ndarray] = {}
+
+            def add(key, score, genuine, own):
+                for b in opened.get(key, []):
+                    # scores are multiples of a place, so half a place to spare decides no score
+                    low, high = (-np.inf if b == 0 else ((b << FINE_BITS) - PLACES - 0.5) / PLACES), (np.inf if b == COARSE - 1 else (((b + 1) << FINE_BITS) - PLACES - 0.5) / PLACES)
+                    for s in range(0, len(score), CHUNK):
+                        x = score[s : s + CHUNK]
+                        at = np.flatnonzero((x >= low) & (x < high) if b else ~(x >= high))
+                        if len(at):
+                            n = held.setdefault((key, b), np.zeros((2, 1 << FINE_BITS), np.int64))
+                            np.add.at(n, (1 - genuine[s : s + CHUNK][at].astype(np.int64), _place(x[at]) - (b << FINE_BITS)), 1)
+
+            def finish():
+                for (key, b), n in held.items():
+                    some = np.flatnonzero((n != 0).any(axis=0))
+                    yield key, some + (b << FINE_BITS), n[0, some], n[1, some]
+
+            return add, finish
+
+        found = self.tally(fine).groupBy(*keys, "place").agg(F.sum("gen").alias("gen"), F.sum("imp").alias("imp"))
         spark = found.sparkSession
         fields = ", ".join(f"{k} {found.schema[k].dataType.simpleString()}" for k in keys)
         rows = [
@@ -146,12 +211,49 @@ class Scored:
 #: Scores of nine digits have a place of 31 bits; the coarse histogram keeps the upper 14.
 PLACES, FINE_BITS = 10**blocks.DIGITS, 17
 COARSE = (2 * PLACES >> FINE_BITS) + 1
+#: Scores that are counted at once, so that what is made of them stays in the cache; the place of the items that meet themselves.
+CHUNK, OWN = 1 << 15, -1_000_000
 
 
 def _place(score: np.ndarray) -> np.ndarray:
     return np.clip(np.rint(score * PLACES).astype(np.int64) + PLACES, 0, 2 * PLACES)
 
 
+def _counting(counter: Callable, kinds: list[pa.DataType], pairs_of: Callable) -> Callable:
+    """A counter of blocks.cosine_blocks from one of Scored.tally; pairs_of(key, scores, q, c, same) gives (key, score, is_genuine, own) of each subset of two blocks' pairs."""
+
+    def make():
+        add, finish = counter()
+
+        def added(*block) -> None:
+            for found in pairs_of(*block):
+                add(*found)
+
+        def finished():
+            for key, place, gen, imp in finish():
+                counts = [pa.array(x, pa.int64()) for x in (place, gen, imp)]
+                yield pa.RecordBatch.from_arrays([*counts, *[pa.array([k] * len(place), t) for k, t in zip(key, kinds, strict=True)]], ["place", "gen", "imp", *[f"k{n}" for n in range(len(key))]])
+
+        return added, finished
+
+    return make
+
+
+COUNTS = "place long, gen long, imp long"
+
+
+def _flat(scores: np.ndarray, q: dict, c: dict) -> tuple[np.ndarray, np.ndarray]:
+    return scores.ravel(), (q["persona_id"][:, None] == c["persona_id"][None, :]).ravel()
+
+
+def _met(q: dict, c: dict) -> int:
+    """Items that meet themselves."""
+    ids, n = np.unique(q["item_id"], return_counts=True)
+    other, m = np.unique(c["item_id"], return_counts=True)
+    _, x, y = np.intersect1d(ids, other, assume_unique=True, return_indices=True)
+    return int((n[x] * m[y]).sum())
+
+
 def all_pairs(items: DataFrame) -> Scored:
     """All unordered pairs i < j, in triangular blocks."""
 
@@ -165,7 +267,18 @@ def all_pairs(items: DataFrame) -> Scored:
         columns = ["item_id", "persona_id", "emb"]
         return blocks.cosine_blocks(items, items, run, fields, query_columns=columns, item_columns=columns, triangular=True)
 
-    return Scored(apply, [])
+    def pairs_of(key, scores, q, c, same):
+        if same:
+            chosen = q["item_id"][:, None] < c["item_id"][None, :]
+            yield key, scores[chosen], (q["persona_id"][:, None] == c["persona_id"][None, :])[chosen], 0
+        else:
+            yield key, *_flat(scores, q, c), 0
+
+    def tally(counter):
+        columns = ["item_id", "persona_id", "emb"]
+        return blocks.cosine_blocks(items, items, None, COUNTS, query_columns=columns, item_columns=columns, triangular=True, counter=_counting(counter, [], pairs_of))
+
+    return Scored(apply, [], tally)
 
 
 def probes_and_gallery(probe: DataFrame, gallery: DataFrame, on: list[str] | None = None) -> Scored:
@@ -180,7 +293,16 @@ def probes_and_gallery(probe: DataFrame, gallery: DataFrame, on: list[str] | Non
         kinds = "".join(f", {k} {probe.schema[k].dataType.simpleString()}" for k in on or [])
         return blocks.cosine_blocks(probe, gallery, run, fields + kinds, query_columns=columns, item_columns=columns, on=on)
 
-    return Scored(apply, on or [])
+    def pairs_of(key, scores, q, c, same):
+        yield key, *_flat(scores, q, c), _met(q, c)
+
+    def tally(counter):
+        columns = ["item_id", "persona_id", "emb"]
+        kinds = "".join(f", {k} {probe.schema[k].dataType.simpleString()}" for k in on or [])
+        types = [to_arrow_type(probe.schema[k].dataType) for k in on or []]
+        return blocks.cosine_blocks(probe, gallery, None, COUNTS + kinds, query_columns=columns, item_columns=columns, on=on, counter=_counting(counter, types, pairs_of))
+
+    return Scored(apply, on or [], tally)
 
 
 def quantised_pairs(items: DataFrame, severities: list[float], least_quality: float | None = None) -> Scored:
@@ -219,7 +341,22 @@ def quantised_pairs(items: DataFrame, severities: list[float], least_quality: fl
         schema = fields + ", severity double" + (", subset string" if least_quality is not None else "")
         return blocks.cosine_blocks(items, items, run, schema, query_columns=columns, item_columns=columns, views=views)
 
-    return Scored(apply, ["severity"] if least_quality is None else ["severity", "subset"])
+    def pairs_of(key, scores, q, c, same):
+        if least_quality is None:
+            yield key, *_flat(scores, q, c), _met(q, c)
+            return
+        yield (*key, "full"), *_flat(scores, q, c), _met(q, c)
+        left, right = (np.flatnonzero(side["quality"] * (1 - key[0]) >= least_quality) for side in (q, c))
+        part = lambda side, rows: {k: v[rows] for k, v in side.items()}
+        q, c = part(q, left), part(c, right)
+        yield (*key, "gated"), *_flat(scores[np.ix_(left, right)], q, c), _met(q, c)
+
+    def tally(counter):
+        columns = ["item_id", "persona_id", *(["quality"] if least_quality is not None else []), "emb"]
+        kinds, types = (", severity double, subset string", [pa.float64(), pa.string()]) if least_quality is not None else (", severity double", [pa.float64()])
+        return blocks.cosine_blocks(items, items, None, COUNTS + kinds, query_columns=columns, item_columns=columns, views=views, counter=_counting(counter, types, pairs_of))
+
+    return Scored(apply, ["severity"] if least_quality is None else ["severity", "subset"], tally)
 
 
 def pair_scores(items: DataFrame) -> DataFrame:
@@ -366,7 +503,7 @@ def gate_ablation(items: DataFrame, severities: list[float], least_quality: floa
     A subset of fewer than 2 items or identities has null metrics, and so has the gated subset of such a
     full one. Both subsets are always there.
     """
-    scored = quantised_pairs(items, severities, least_quality)
+    scored = dataclasses.replace(quantised_pairs(items, severities, least_quality), cuts=(threshold,))
     keys = ["severity", "subset"]
     every = items.sparkSession.createDataFrame([(float(s), k) for s in severities for k in ("full", "gated")], "severity double, subset string")
     metrics = scored.operating_points([target]).withColumnRenamed("fmr_at_fnmr_0", "fmr_at_fnmr")

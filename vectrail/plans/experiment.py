@@ -7,6 +7,7 @@ a condition once: equal pixels are embedded once, whatever the number of their r
 
 from __future__ import annotations
 
+import dataclasses
 import math
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
@@ -177,6 +178,7 @@ def gated(images: DataFrame, conditions: Iterable[tuple[str, float]], embed: Emb
     full_ok = sizes.where("subset = 'full' AND n >= 2 AND personas >= 2").select("ordinal", F.lit(True).alias("full_ok"))
     usable = sizes.where("n >= 2 AND personas >= 2").join(full_ok, "ordinal").select(*keys)
     scored = verification.probes_and_gallery(*[t.join(usable, keys, "left_semi").drop("quality") for t in (probe, gallery)], keys)
+    scored = dataclasses.replace(scored, cuts=(threshold,))
     metrics = scored.operating_points([target]).withColumnRenamed("fmr_at_fnmr_0", "fmr_at_fnmr").join(scored.rates([threshold]).drop("threshold"), keys).join(scored.totals().drop("n_scored"), keys)
     every = counts.select("ordinal", "condition", "severity", "n_images", "n_scored").crossJoin(images.sparkSession.createDataFrame([("full",), ("gated",)], "subset string"))
     out = every.join(sizes.drop("personas"), keys, "left").join(full_ok, "ordinal", "left").join(metrics, keys, "left")
