@@ -131,3 +131,16 @@ def test_pairs_are_scored_twice_for_all_metrics(spark):
     assert sorted(map(key, scored.operating_points([0.1]).collect())) == sorted(map(key, v.operating_points(v.roc(rows, keys), [0.1], keys).collect()))
     assert sorted(map(key, scored.rates([0.5]).collect())) == sorted(map(key, v.fmr_fnmr(rows, [0.5], keys).collect()))
     assert sum(r.n_pairs for r in scored.totals().collect()) == rows.count() and len(calls) == 2
+
+
+def test_the_curve_exchanges_no_scores(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(v, "RANGE_BYTES", 8 << v.FINE_BITS + 8)  # ranges of 256 bins
+    rng = np.random.default_rng(6)
+    t = items(spark, [(i, i % 4, [float(x) for x in rng.standard_normal(4)]) for i in range(70)])
+    found = v.all_pairs(t).points()
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString().partition("CartesianProduct")[0]
+    got = [tuple(r) for r in found.collect()]
+    want = sorted(tuple(r) for r in v.roc(v.pair_scores(t)).collect())
+    assert got == sorted(got) and got == [pytest.approx(w, abs=1e-12) for w in want] and found.rdd.getNumPartitions() > 10

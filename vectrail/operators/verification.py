@@ -41,6 +41,8 @@ class Scored:
     tally: Callable[[Callable], DataFrame]
     cuts: tuple[float, ...] = ()
     _bins: DataFrame | None = None
+    #: ranged(tasks, work, schema): work(k, pairs) in tasks that each score all pairs; pairs() gives (score, is_genuine) of two blocks at a time.
+    ranged: Callable[[int, Callable, str], DataFrame] | None = None
 
     def bins(self) -> DataFrame:
         """keys, place, gen, imp: a histogram of at most 2**14 bins; below 0 what reaches each of the cuts, and at OWN the items that meet themselves. Counted once."""
@@ -137,8 +139,56 @@ class Scored:
         )
 
     def points(self) -> DataFrame:
-        """keys, threshold, fmr, fnmr at every distinct score, and just above the largest."""
-        return _curve(self.counts(), self.keys)
+        """keys, threshold, fmr, fnmr at every distinct score, and just above the largest.
+
+        Where ranged is given, each task scores all pairs again and counts a range of scores, so that
+        the scores, which are nearly as many as the pairs, are not exchanged; rows come by threshold.
+        """
+        return _curve(self.counts(), self.keys) if self.ranged is None else self._ranged_points()
+
+    def _ranged_points(self) -> DataFrame:
+        schema = "threshold double, fmr double, fnmr double"
+        bins = sorted((r.place, r.gen, r.imp) for r in self.bins().where("place >= 0").collect())
+        n_gen, n_imp = sum(b[1] for b in bins), sum(b[2] for b in bins)
+        if not bins:
+            return _curve(self.counts(), [])
+        kind = np.uint32 if max(g + i for _, g, i in bins) < 1 << 32 else np.uint64
+        most = RANGE_BYTES // (2 * np.dtype(kind).itemsize) >> FINE_BITS
+        ranges, gen_before, imp_before = [], 0, 0  # first bin, bins, what lies below
+        for b, gen, imp in bins:
+            if not ranges or b >= ranges[-1][0] + most:
+                ranges.append([b, 0, gen_before, imp_before])
+            ranges[-1][1] = b + 1 - ranges[-1][0]
+            gen_before, imp_before = gen_before + gen, imp_before + imp
+
+        def work(k: int, pairs: Callable):
+            first, width, gen_below, imp_below = ranges[k]
+            base, places = first << FINE_BITS, width << FINE_BITS
+            counts = np.zeros((2, places), kind)  # genuine, impostor
+            low = -np.inf if first == 0 else (base - PLACES - 0.5) / PLACES
+            high = np.inf if first + width >= COARSE else (base + places - PLACES - 0.5) / PLACES
+            for score, genuine in pairs():
+                for s in range(0, len(score), CHUNK):
+                    x = score[s : s + CHUNK]
+                    at = np.flatnonzero((x >= low) & (x < high) if first else ~(x >= high))
+                    place, g = _place(x[at]) - base, genuine[s : s + CHUNK][at]
+                    np.add.at(counts[0], place[g], 1)
+                    np.add.at(counts[1], place[~g], 1)
+            rate = lambda n, whole: pa.array(n / whole) if whole else pa.nulls(len(n), pa.float64())
+            for s in range(0, places, 1 << 16):
+                part = counts[:, s : s + (1 << 16)]
+                some = np.flatnonzero(part.any(axis=0))
+                if not len(some):
+                    continue
+                gen, imp = part[:, some].astype(np.int64)
+                gen_upto, imp_upto = gen_below + np.cumsum(gen), imp_below + np.cumsum(imp)
+                threshold = (base + s + some - PLACES) / float(PLACES)
+                yield pa.RecordBatch.from_arrays([pa.array(threshold), rate(n_imp - imp_upto + imp, n_imp), rate(gen_upto - gen, n_gen)], ["threshold", "fmr", "fnmr"])
+                gen_below, imp_below = int(gen_upto[-1]), int(imp_upto[-1])
+            if k == len(ranges) - 1:
+                yield blocks.batch(threshold=np.array([np.nextafter(threshold[-1], np.inf)]), fmr=np.array([0.0]), fnmr=np.array([1.0]))
+
+        return self.ranged(len(ranges), work, schema)
 
     def operating_points(self, targets: list[float]) -> DataFrame:
         """keys, eer, fmr_at_fnmr_0, ...: as operating_points(points, targets), without the curve.
@@ -211,6 +261,8 @@ class Scored:
 #: Scores of nine digits have a place of 31 bits; the coarse histogram keeps the upper 14.
 PLACES, FINE_BITS = 10**blocks.DIGITS, 17
 COARSE = (2 * PLACES >> FINE_BITS) + 1
+#: What the counters of a task's range of scores may take.
+RANGE_BYTES = 192 << 20
 #: Scores that are counted at once, so that what is made of them stays in the cache; the place of the items that meet themselves.
 CHUNK, OWN = 1 << 15, -1_000_000
 
@@ -278,7 +330,13 @@ def all_pairs(items: DataFrame) -> Scored:
         columns = ["item_id", "persona_id", "emb"]
         return blocks.cosine_blocks(items, items, None, COUNTS, query_columns=columns, item_columns=columns, triangular=True, counter=_counting(counter, [], pairs_of))
 
-    return Scored(apply, [], tally)
+    def ranged(tasks, work, schema):
+        def mine(k, pairs):
+            return work(k, lambda: (found[1:3] for block in pairs() for found in pairs_of((), *block)))
+
+        return blocks.ranged(items, tasks, mine, schema, ["item_id", "persona_id", "emb"])
+
+    return Scored(apply, [], tally, ranged=ranged)
 
 
 def probes_and_gallery(probe: DataFrame, gallery: DataFrame, on: list[str] | None = None) -> Scored:
