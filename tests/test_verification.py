@@ -144,3 +144,24 @@ def test_the_curve_exchanges_no_scores(spark, monkeypatch):
     got = [tuple(r) for r in found.collect()]
     want = sorted(tuple(r) for r in v.roc(v.pair_scores(t)).collect())
     assert got == sorted(got) and got == [pytest.approx(w, abs=1e-12) for w in want] and found.rdd.getNumPartitions() > 10
+
+
+def test_gated_pairs_are_scored_with_the_full_ones():
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    side = {"item_id": np.arange(50), "persona_id": np.arange(50) % 3, "quality": rng.random(50), "unit": rng.standard_normal((50, 4))}
+    side["unit"] /= np.linalg.norm(side["unit"], axis=1)[:, None]
+    passed = side["quality"] >= 0.4
+    found = {}
+    for keys, q, c, below, own in v._gated((0.5,), side, side, passed, passed):
+        for key in keys:
+            n = found.setdefault(key, [0, 0, 0])
+            for _, x, genuine in v._slabs(q, c, below):
+                n[0] += len(x)
+                n[1] += int(genuine(np.arange(len(x))).sum())
+            n[2] += own()
+    own = lambda rows: [len(rows) ** 2, sum(int((rows % 3 == k).sum()) ** 2 for k in range(3)), len(rows)]
+    assert found == {(0.5, "full"): own(np.arange(50)), (0.5, "gated"): own(np.flatnonzero(passed))}
+    parts = [len(q["unit"]) * len(c["unit"]) for _, q, c, _, _ in v._gated((0.5,), side, side, passed, passed)]
+    assert sum(parts) == 2500 and v._equal(side, side).tolist() == np.flatnonzero(np.arange(50)[:, None] % 3 == np.arange(50)[None, :] % 3).tolist()

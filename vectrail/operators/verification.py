@@ -8,7 +8,9 @@ sees all scores. Error rates at fixed points need no curve: a histogram and the
 from __future__ import annotations
 
 import dataclasses
+import math
 from collections.abc import Callable
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +32,10 @@ class Scored:
     apply(kernel, fields) calls kernel(score, is_genuine, i, j) with flat arrays of the pairs of two
     blocks, and gives its columns (``fields``, as DDL) with the columns ``keys``.
 
-    tally(counter) counts in the tasks: each makes counter() = (add, finish), calls add(key, score,
-    is_genuine, own) with flat arrays of the pairs of two blocks (own: items that meet themselves), and
-    finish() gives (key, place, gen, imp) once a key. What is counted at the thresholds ``cuts`` needs
-    no pass of its own.
+    tally(counter) counts in the tasks: each makes counter() = (add, finish), calls add(keys, q, c, below,
+    own) with two blocks whose pairs count for each of the keys (below: only those of q's item below
+    c's; own() counts the items that meet themselves), and finish() gives (key, place, gen, imp) once a key. What
+    is counted at the thresholds ``cuts`` needs no pass of its own.
     """
 
     apply: Callable[[Callable[..., dict[str, np.ndarray]], str], DataFrame]
@@ -41,33 +43,49 @@ class Scored:
     tally: Callable[[Callable], DataFrame]
     cuts: tuple[float, ...] = ()
     _bins: DataFrame | None = None
-    #: ranged(tasks, work, schema): work(k, pairs) in tasks that each score all pairs; pairs() gives (score, is_genuine) of two blocks at a time.
+    #: ranged(tasks, work, schema): work(k, pairs) in tasks that each score all pairs; pairs() gives (q, c, below) of two blocks at a time.
     ranged: Callable[[int, Callable, str], DataFrame] | None = None
 
     def bins(self) -> DataFrame:
         """keys, place, gen, imp: a histogram of at most 2**14 bins; below 0 what reaches each of the cuts, and at OWN the items that meet themselves. Counted once."""
         if self._bins is None:
             cuts = self.cuts
+            reached = [_at_least(t) for t in cuts]
 
             def counter():
                 held: dict[tuple, np.ndarray] = {}
 
-                def add(key, score, genuine, own):
-                    if not len(score):
+                def add(keys, q, c, below, own):
+                    if not len(q["unit"]) or not len(c["unit"]):
                         return
-                    n = held.setdefault(key, np.zeros((2, len(cuts) + 1 + COARSE), np.int64))
-                    n[0, len(cuts)] += own
-                    for s in range(0, len(score), CHUNK):
-                        x, g = score[s : s + CHUNK], genuine[s : s + CHUNK]
-                        bins = _place(x) >> FINE_BITS
-                        every, gen = np.bincount(bins, minlength=COARSE), np.bincount(bins[g], minlength=COARSE)
-                        n[0, len(cuts) + 1 :] += gen
-                        n[1, len(cuts) + 1 :] += every - gen
-                        for k, t in enumerate(cuts):
-                            reached = x >= t
-                            gen = np.count_nonzero(reached & g)
-                            n[0, k] += gen
-                            n[1, k] += np.count_nonzero(reached) - gen
+                    n = np.zeros((2, len(cuts) + 1 + COARSE), np.int64)
+                    n[0, len(cuts)] = own()
+                    every, gen = n[1, len(cuts) + 1 :], []
+                    equal = None if below else _equal(q, c)
+                    held_bins = np.empty(CHUNK + len(c["unit"]), np.intp)
+                    for s, x, genuine in _slabs(q, c, below):
+                        for k, least in enumerate(reached):
+                            at = np.flatnonzero(x >= least)
+                            n[1, k] += len(at)
+                            n[0, k] += np.count_nonzero(genuine(at))
+                        x += MIDDLE
+                        bins = held_bins[: len(x)]
+                        np.copyto(bins, x, casting="unsafe")
+                        every += np.bincount(bins, minlength=COARSE)
+                        if below:
+                            gen.append(bins[genuine(np.arange(len(x)))])
+                        else:
+                            first = s * len(c["unit"])
+                            low, high = np.searchsorted(equal, [first, first + len(x)])
+                            gen.append(bins[equal[low:high] - first])
+                    n[0, len(cuts) + 1 :] = np.bincount(np.concatenate(gen), minlength=COARSE)
+                    n[1, : len(cuts)] -= n[0, : len(cuts)]
+                    every -= n[0, len(cuts) + 1 :]
+                    for key in keys:
+                        if key in held:
+                            held[key] += n
+                        else:
+                            held[key] = n.copy()
 
                 def finish():
                     place = np.concatenate([-1 - np.arange(len(cuts)), [OWN], np.arange(COARSE)])
@@ -99,7 +117,7 @@ class Scored:
         """keys, score, gen, imp: genuine and impostor pairs of each distinct score."""
 
         def kernel(score, genuine, i, j):
-            place, n = np.unique(_place(score) * 2 + genuine, return_counts=True)
+            place, n = np.unique(_place(score * SCALE) * 2 + genuine, return_counts=True)
             return {"place": place >> 1, "gen": n * (place & 1), "imp": n * (1 - (place & 1))}
 
         found = self.apply(kernel, "place long, gen long, imp long").groupBy(*self.keys, "place").agg(F.sum("gen").alias("gen"), F.sum("imp").alias("imp"))
@@ -165,13 +183,11 @@ class Scored:
             first, width, gen_below, imp_below = ranges[k]
             base, places = first << FINE_BITS, width << FINE_BITS
             counts = np.zeros((2, places), kind)  # genuine, impostor
-            low = -np.inf if first == 0 else (base - PLACES - 0.5) / PLACES
-            high = np.inf if first + width >= COARSE else (base + places - PLACES - 0.5) / PLACES
-            for score, genuine in pairs():
-                for s in range(0, len(score), CHUNK):
-                    x = score[s : s + CHUNK]
-                    at = np.flatnonzero((x >= low) & (x < high) if first else ~(x >= high))
-                    place, g = _place(x[at]) - base, genuine[s : s + CHUNK][at]
+            low, high = _bounds(base, base + places)
+            for block in pairs():
+                for _, x, genuine in _slabs(*block):
+                    at = np.flatnonzero((x >= low) & (x < high))
+                    place, g = _place(x[at]) - base, genuine(at)
                     np.add.at(counts[0], place[g], 1)
                     np.add.at(counts[1], place[~g], 1)
             rate = lambda n, whole: pa.array(n / whole) if whole else pa.nulls(len(n), pa.float64())
@@ -217,16 +233,18 @@ class Scored:
         def fine():
             held: dict[tuple, np.ndarray] = {}
 
-            def add(key, score, genuine, own):
-                for b in opened.get(key, []):
-                    # scores are multiples of a place, so half a place to spare decides no score
-                    low, high = (-np.inf if b == 0 else ((b << FINE_BITS) - PLACES - 0.5) / PLACES), (np.inf if b == COARSE - 1 else (((b + 1) << FINE_BITS) - PLACES - 0.5) / PLACES)
-                    for s in range(0, len(score), CHUNK):
-                        x = score[s : s + CHUNK]
-                        at = np.flatnonzero((x >= low) & (x < high) if b else ~(x >= high))
+            def add(keys, q, c, below, own):
+                wanted = {b: [k for k in keys if b in opened.get(k, [])] for b in {b for k in keys for b in opened.get(k, [])}}
+                if not len(q["unit"]) or not len(c["unit"]) or not wanted:
+                    return
+                for _, x, genuine in _slabs(q, c, below):
+                    for b, of in wanted.items():
+                        low, high = _bounds(b << FINE_BITS, b + 1 << FINE_BITS)
+                        at = np.flatnonzero((x >= low) & (x < high))
                         if len(at):
-                            n = held.setdefault((key, b), np.zeros((2, 1 << FINE_BITS), np.int64))
-                            np.add.at(n, (1 - genuine[s : s + CHUNK][at].astype(np.int64), _place(x[at]) - (b << FINE_BITS)), 1)
+                            rows, place = 1 - genuine(at).astype(np.int64), _place(x[at]) - (b << FINE_BITS)
+                            for key in of:
+                                np.add.at(held.setdefault((key, b), np.zeros((2, 1 << FINE_BITS), np.int64)), (rows, place), 1)
 
             def finish():
                 for (key, b), n in held.items():
@@ -264,15 +282,64 @@ COARSE = (2 * PLACES >> FINE_BITS) + 1
 #: What the counters of a task's range of scores may take.
 RANGE_BYTES = 192 << 20
 #: Scores that are counted at once, so that what is made of them stays in the cache; the place of the items that meet themselves.
-CHUNK, OWN = 1 << 15, -1_000_000
+CHUNK, OWN = 1 << 16, -1_000_000
+#: Counters take scores as bins of the histogram, before they are rounded to a place; MIDDLE is the score 0, and half a place for rounding.
+SCALE, MIDDLE = PLACES / (1 << FINE_BITS), (PLACES + 0.5) / (1 << FINE_BITS)
 
 
-def _place(score: np.ndarray) -> np.ndarray:
-    return np.clip(np.rint(score * PLACES).astype(np.int64) + PLACES, 0, 2 * PLACES)
+def _slabs(q: dict, c: dict, below: bool):
+    """(first row, scores times SCALE, genuine) of a few rows of q against c at a time, flat; genuine(at) tells which of the pairs at these places are.
+
+    The scores are overwritten by the next ones. Scores that are no number have place 0.
+    """
+    a, b, p, r = q["unit"] * SCALE, c["unit"], q["persona_id"], c["persona_id"]
+    odd = not (np.isfinite(a).all() and np.isfinite(b).all())
+    rows = max(1, CHUNK // len(b))
+    held = np.empty((min(rows, len(a)), len(b)))  # memory that is given back and taken again costs more than the product
+    for s in range(0, len(a), rows):
+        x = np.matmul(a[s : s + rows], b.T, out=held[: len(a[s : s + rows])])
+        if odd:
+            x[np.isnan(x)] = -SCALE
+        if below:
+            i, j = np.nonzero(q["item_id"][s : s + rows, None] < c["item_id"][None, :])
+            yield s, x[i, j], lambda at, i=i, j=j: p[s + i[at]] == r[j[at]]  # noqa: B023
+        else:
+            yield s, x.ravel(), lambda at: p[s + at // len(b)] == r[at % len(b)]  # noqa: B023
+
+
+def _equal(q: dict, c: dict) -> np.ndarray:
+    """Places of the genuine pairs among all of two blocks, in order."""
+    p, r = q["persona_id"], c["persona_id"]
+    if p.dtype.kind not in "iu" or r.dtype.kind not in "iu":
+        return np.flatnonzero(p[:, None] == r[None, :])
+    order = np.argsort(r, kind="stable")
+    low, high = (np.searchsorted(r[order], p, side) for side in ("left", "right"))
+    n = high - low
+    nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - low, n)
+    return np.repeat(np.arange(len(p)) * len(r), n) + order[nth]
+
+
+def _place(x: np.ndarray) -> np.ndarray:
+    """Places of scores times SCALE."""
+    return np.clip(np.rint(x * (1 << FINE_BITS)).astype(np.int64) + PLACES, 0, 2 * PLACES)
+
+
+def _bounds(first: int, end: int) -> tuple[float, float]:
+    """Between which scores times SCALE the places from first up to end lie. Half a place to spare decides no score of nine digits."""
+    at = lambda place: (place - PLACES - 0.5) / (1 << FINE_BITS)
+    return -np.inf if first <= 0 else at(first), np.inf if end > 2 * PLACES else at(end)
+
+
+def _at_least(threshold: float) -> float:
+    """From where scores times SCALE reach a threshold, as nine digits."""
+    place = math.floor(threshold * PLACES) - 1
+    while place / PLACES < threshold:
+        place += 1
+    return (place - 0.5) / (1 << FINE_BITS)
 
 
 def _counting(counter: Callable, kinds: list[pa.DataType], pairs_of: Callable) -> Callable:
-    """A counter of blocks.cosine_blocks from one of Scored.tally; pairs_of(key, scores, q, c, same) gives (key, score, is_genuine, own) of each subset of two blocks' pairs."""
+    """A counter of blocks.cosine_blocks from one of Scored.tally; pairs_of(key, q, c, same) gives the (keys, q, c, below, own) of each part of two blocks' pairs."""
 
     def make():
         add, finish = counter()
@@ -294,10 +361,6 @@ def _counting(counter: Callable, kinds: list[pa.DataType], pairs_of: Callable) -
 COUNTS = "place long, gen long, imp long"
 
 
-def _flat(scores: np.ndarray, q: dict, c: dict) -> tuple[np.ndarray, np.ndarray]:
-    return scores.ravel(), (q["persona_id"][:, None] == c["persona_id"][None, :]).ravel()
-
-
 def _met(q: dict, c: dict) -> int:
     """Items that meet themselves."""
     ids, n = np.unique(q["item_id"], return_counts=True)
@@ -306,6 +369,20 @@ def _met(q: dict, c: dict) -> int:
     return int((n[x] * m[y]).sum())
 
 
+def _gated(key: tuple, q: dict, c: dict, left: np.ndarray, right: np.ndarray):
+    """The parts of two blocks' pairs that count for (key, 'full') and, where both sides pass, also for (key, 'gated'): no pair is scored twice."""
+    part = lambda side, rows: {k: v[rows] for k, v in side.items()}
+    full, gated = (*key, "full"), (*key, "gated")
+    if left.all() and right.all():
+        yield [full, gated], q, c, False, partial(_met, q, c)
+    elif not left.any() or not right.any():
+        yield [full], q, c, False, partial(_met, q, c)
+    else:
+        passed, other = part(q, left), part(c, right)
+        for keys, x, y in (([full, gated], passed, other), ([full], passed, part(c, ~right)), ([full], part(q, ~left), c)):
+            yield keys, x, y, False, partial(_met, x, y)
+
+
 def all_pairs(items: DataFrame) -> Scored:
     """All unordered pairs i < j, in triangular blocks."""
 
@@ -319,22 +396,15 @@ def all_pairs(items: DataFrame) -> Scored:
         columns = ["item_id", "persona_id", "emb"]
         return blocks.cosine_blocks(items, items, run, fields, query_columns=columns, item_columns=columns, triangular=True)
 
-    def pairs_of(key, scores, q, c, same):
-        if same:
-            chosen = q["item_id"][:, None] < c["item_id"][None, :]
-            yield key, scores[chosen], (q["persona_id"][:, None] == c["persona_id"][None, :])[chosen], 0
-        else:
-            yield key, *_flat(scores, q, c), 0
+    def pairs_of(key, q, c, same):
+        yield [key], q, c, same, int
 
     def tally(counter):
         columns = ["item_id", "persona_id", "emb"]
         return blocks.cosine_blocks(items, items, None, COUNTS, query_columns=columns, item_columns=columns, triangular=True, counter=_counting(counter, [], pairs_of))
 
     def ranged(tasks, work, schema):
-        def mine(k, pairs):
-            return work(k, lambda: (found[1:3] for block in pairs() for found in pairs_of((), *block)))
-
-        return blocks.ranged(items, tasks, mine, schema, ["item_id", "persona_id", "emb"])
+        return blocks.ranged(items, tasks, work, schema, ["item_id", "persona_id", "emb"])
 
     return Scored(apply, [], tally, ranged=ranged)
 
@@ -351,8 +421,8 @@ def probes_and_gallery(probe: DataFrame, gallery: DataFrame, on: list[str] | Non
         kinds = "".join(f", {k} {probe.schema[k].dataType.simpleString()}" for k in on or [])
         return blocks.cosine_blocks(probe, gallery, run, fields + kinds, query_columns=columns, item_columns=columns, on=on)
 
-    def pairs_of(key, scores, q, c, same):
-        yield key, *_flat(scores, q, c), _met(q, c)
+    def pairs_of(key, q, c, same):
+        yield [key], q, c, False, partial(_met, q, c)
 
     def tally(counter):
         columns = ["item_id", "persona_id", "emb"]
@@ -399,15 +469,11 @@ def quantised_pairs(items: DataFrame, severities: list[float], least_quality: fl
         schema = fields + ", severity double" + (", subset string" if least_quality is not None else "")
         return blocks.cosine_blocks(items, items, run, schema, query_columns=columns, item_columns=columns, views=views)
 
-    def pairs_of(key, scores, q, c, same):
+    def pairs_of(key, q, c, same):
         if least_quality is None:
-            yield key, *_flat(scores, q, c), _met(q, c)
+            yield [key], q, c, False, partial(_met, q, c)
             return
-        yield (*key, "full"), *_flat(scores, q, c), _met(q, c)
-        left, right = (np.flatnonzero(side["quality"] * (1 - key[0]) >= least_quality) for side in (q, c))
-        part = lambda side, rows: {k: v[rows] for k, v in side.items()}
-        q, c = part(q, left), part(c, right)
-        yield (*key, "gated"), *_flat(scores[np.ix_(left, right)], q, c), _met(q, c)
+        yield from _gated(key, q, c, *[side["quality"] * (1 - key[0]) >= least_quality for side in (q, c)])
 
     def tally(counter):
         columns = ["item_id", "persona_id", *(["quality"] if least_quality is not None else []), "emb"]
