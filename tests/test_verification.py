@@ -165,3 +165,28 @@ def test_gated_pairs_are_scored_with_the_full_ones():
     assert found == {(0.5, "full"): own(np.arange(50)), (0.5, "gated"): own(np.flatnonzero(passed))}
     parts = [len(q["unit"]) * len(c["unit"]) for _, q, c, _, _ in v._gated((0.5,), side, side, passed, passed)]
     assert sum(parts) == 2500 and v._equal(side, side).tolist() == np.flatnonzero(np.arange(50)[:, None] % 3 == np.arange(50)[None, :] % 3).tolist()
+
+
+def test_images_are_exchanged_once_and_clean_vectors_come_along(spark):
+    from vectrail.plans import experiment
+
+    rows = [(i, i % 2, 2, 2, bytes(range(i, i + 12))) for i in range(6)]
+    images = spark.createDataFrame(rows, "item_id long, label int, height int, width int, data binary")
+    whole = lambda stack: [[float(x) + 1 for x in image.ravel()] for image in stack]
+    vectors = experiment.embedded(images, [("brightness", 0.1), ("clean", 0.0)], whole)
+    plan = vectors._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan  # no copy of the pixels for each condition
+    probe, gallery, _ = experiment.aligned(vectors.persist())
+    for side in (probe, gallery):
+        assert "Join" not in side._jdf.queryExecution().optimizedPlan().toString().partition("InMemoryRelation")[0]
+    assert {r.item_id: list(r.emb) for r in gallery.where("ordinal = 0").collect()} == {i: [float(x) + 1 for x in data] for i, _, _, _, data in rows}
+
+
+def test_a_gate_over_probes_equals_two_sets(spark):
+    t = spark.createDataFrame([(i, i % 3, 0.1 * (i % 10), i % 2, [1.0 + i % 7, 2.0 + i % 5, float(i % 4)]) for i in range(60)], "item_id long, persona_id int, quality double, k int, emb array<double>")
+    scored = v.probes_and_gallery(t, t, ["k"], 0.5)
+    key = lambda r: tuple(sorted((k, round(x, 9) if isinstance(x, float) else x) for k, x in r.asDict().items()))
+    for name, side in (("full", t), ("gated", t.where("quality >= 0.5"))):
+        alone = v.probes_and_gallery(side, side, ["k"])
+        for found in (lambda s: s.totals(), lambda s: s.operating_points([0.1]), lambda s: s.rows()):
+            assert sorted(map(key, found(scored).where(f"subset = '{name}'").drop("subset").collect())) == sorted(map(key, found(alone).collect()))

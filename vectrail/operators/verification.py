@@ -383,6 +383,21 @@ def _gated(key: tuple, q: dict, c: dict, left: np.ndarray, right: np.ndarray):
             yield keys, x, y, False, partial(_met, x, y)
 
 
+def _subsets(kernel: Callable, scores: np.ndarray, q: dict, c: dict, left: np.ndarray | None, right: np.ndarray | None, **keys: float) -> pa.RecordBatch:
+    """What the kernel gives of all pairs of two blocks, with the keys; and, if it is known who passes the gate, of the gated ones, with the column subset."""
+    parts = []
+    for name, rows, columns in [("full", np.arange(len(scores)), np.arange(scores.shape[1]))] + ([("gated", np.flatnonzero(left), np.flatnonzero(right))] if left is not None else []):
+        sub = scores[np.ix_(rows, columns)]
+        x, y = np.indices(sub.shape).reshape(2, -1)
+        out = kernel(sub.ravel(), q["persona_id"][rows[x]] == c["persona_id"][columns[y]], q["item_id"][rows[x]], c["item_id"][columns[y]])
+        n = len(next(iter(out.values())))
+        out |= {k: np.full(n, v) for k, v in keys.items()}
+        if left is not None:
+            out["subset"] = np.full(n, name, "U5")
+        parts.append(out)
+    return blocks.batch(**{k: np.concatenate([p[k] for p in parts]) for k in parts[0]})
+
+
 def all_pairs(items: DataFrame) -> Scored:
     """All unordered pairs i < j, in triangular blocks."""
 
@@ -409,28 +424,39 @@ def all_pairs(items: DataFrame) -> Scored:
     return Scored(apply, [], tally, ranged=ranged)
 
 
-def probes_and_gallery(probe: DataFrame, gallery: DataFrame, on: list[str] | None = None) -> Scored:
-    """Every probe against every gallery item of equal ``on`` columns, the item itself included."""
+def probes_and_gallery(probe: DataFrame, gallery: DataFrame, on: list[str] | None = None, least_quality: float | None = None) -> Scored:
+    """Every probe against every gallery item of equal ``on`` columns, the item itself included.
+
+    With least_quality (both sides have a quality) also under the key subset: 'full', and 'gated' where
+    the quality of both items is at least that.
+    """
+    on = on or []
+    columns = ["item_id", "persona_id", *(["quality"] if least_quality is not None else []), "emb"]
+    kinds = "".join(f", {k} {probe.schema[k].dataType.simpleString()}" for k in on)
 
     def apply(kernel, fields):
         def run(scores, q, c, _):
-            x, y = np.indices(scores.shape).reshape(2, -1)
-            return blocks.batch(**kernel(scores.ravel(), q["persona_id"][x] == c["persona_id"][y], q["item_id"][x], c["item_id"][y]))
+            if least_quality is None:
+                x, y = np.indices(scores.shape).reshape(2, -1)
+                return blocks.batch(**kernel(scores.ravel(), q["persona_id"][x] == c["persona_id"][y], q["item_id"][x], c["item_id"][y]))
+            return _subsets(kernel, scores, q, c, *[side["quality"] >= least_quality for side in (q, c)])
 
-        columns = ["item_id", "persona_id", "emb"]
-        kinds = "".join(f", {k} {probe.schema[k].dataType.simpleString()}" for k in on or [])
-        return blocks.cosine_blocks(probe, gallery, run, fields + kinds, query_columns=columns, item_columns=columns, on=on)
+        subset = ", subset string" if least_quality is not None else ""
+        return blocks.cosine_blocks(probe, gallery, run, fields + subset + kinds, query_columns=columns, item_columns=columns, on=on)
 
     def pairs_of(key, q, c, same):
-        yield [key], q, c, False, partial(_met, q, c)
+        if least_quality is None:
+            yield [key], q, c, False, partial(_met, q, c)
+        else:
+            yield from _gated(key, q, c, *[side["quality"] >= least_quality for side in (q, c)])
 
     def tally(counter):
-        columns = ["item_id", "persona_id", "emb"]
-        kinds = "".join(f", {k} {probe.schema[k].dataType.simpleString()}" for k in on or [])
-        types = [to_arrow_type(probe.schema[k].dataType) for k in on or []]
-        return blocks.cosine_blocks(probe, gallery, None, COUNTS + kinds, query_columns=columns, item_columns=columns, on=on, counter=_counting(counter, types, pairs_of))
+        types, subset = [to_arrow_type(probe.schema[k].dataType) for k in on], ""
+        if least_quality is not None:
+            types, subset = [*types, pa.string()], ", subset string"
+        return blocks.cosine_blocks(probe, gallery, None, COUNTS + kinds + subset, query_columns=columns, item_columns=columns, on=on, counter=_counting(counter, types, pairs_of))
 
-    return Scored(apply, on or [], tally)
+    return Scored(apply, on if least_quality is None else [*on, "subset"], tally)
 
 
 def quantised_pairs(items: DataFrame, severities: list[float], least_quality: float | None = None) -> Scored:
@@ -450,20 +476,8 @@ def quantised_pairs(items: DataFrame, severities: list[float], least_quality: fl
 
     def apply(kernel, fields):
         def run(scores, q, c, _, severity):
-            subsets = [("full", np.arange(len(scores)), np.arange(scores.shape[1]))]
-            if least_quality is not None:
-                subsets.append(("gated", *[np.flatnonzero(side["quality"] * (1 - severity) >= least_quality) for side in (q, c)]))
-            parts = []
-            for name, left, right in subsets:
-                sub = scores[np.ix_(left, right)]
-                x, y = np.indices(sub.shape).reshape(2, -1)
-                out = kernel(sub.ravel(), q["persona_id"][left[x]] == c["persona_id"][right[y]], q["item_id"][left[x]], c["item_id"][right[y]])
-                n = len(next(iter(out.values())))
-                out["severity"] = np.full(n, severity)
-                if least_quality is not None:
-                    out["subset"] = np.full(n, name, "U5")
-                parts.append(out)
-            return blocks.batch(**{k: np.concatenate([p[k] for p in parts]) for k in parts[0]})
+            passed = [None, None] if least_quality is None else [side["quality"] * (1 - severity) >= least_quality for side in (q, c)]
+            return _subsets(kernel, scores, q, c, *passed, severity=severity)
 
         columns = ["item_id", "persona_id", "emb"] if least_quality is None else ["item_id", "persona_id", "quality", "emb"]
         schema = fields + ", severity double" + (", subset string" if least_quality is not None else "")

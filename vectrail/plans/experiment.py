@@ -61,42 +61,52 @@ def whole_quality(stack: np.ndarray) -> np.ndarray:
 
 
 def embedded(images: DataFrame, conditions: list[tuple[str, float]], embed: Embed, quality: Quality | None = None) -> DataFrame:
-    """condition, severity, item_id, persona_id, emb (null: can't be embedded), quality of every image under every condition.
+    """ordinal, condition, severity, item_id, persona_id, emb (null: can't be embedded), quality of every image under every condition, and clean, its vector under the clean condition, if that is among them.
 
     images: item_id, label, height, width, data. Vectors must be finite, not zero and of one
-    dimension, and qualities finite; anything else raises.
+    dimension, and qualities finite; anything else raises. An image is exchanged once for all
+    conditions, and its rows leave the task with the clean vector, so that no join brings them together.
     """
-    every = images.sparkSession.createDataFrame([(i, n, float(s)) for i, (n, s) in enumerate(conditions)], "ordinal int, condition string, severity double")
+    spark = images.sparkSession
     distinct = images.select(F.sha1("data").alias("sha"), "height", "width", "data").groupBy("sha", "height", "width").agg(F.first("data").alias("data"))
-    work = distinct.crossJoin(F.broadcast(every)).repartition("sha", "ordinal")
+    # a given number of partitions: the time goes by images and conditions, not by the bytes that are exchanged
+    work = distinct.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "sha")
+    first_clean = next((k for k, (name, _) in enumerate(conditions) if name == pixels.CLEAN), None)
+    kind = pa.list_(pa.float64())
+
+    def vectors_of(seen: np.ndarray) -> list:
+        found = list(embed(seen))
+        if len(found) != len(seen):
+            raise ValueError("embed must give a vector or None for each image")
+        out: list = [None if v is None else np.asarray(v, np.float64) for v in found]
+        if any(v is not None and (v.ndim != 1 or not v.size or not np.isfinite(v).all() or not v.any()) for v in out):
+            raise ValueError("an embedding must be a finite vector that is not zero")
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for start in range(0, whole.num_rows, 128):
                 batch = whole.slice(start, 128)
-                height, width, data, name, severity = (batch.column(i).to_pylist() for i in (1, 2, 3, 5, 6))
-                vectors: list = [None] * batch.num_rows
-                score = np.zeros(batch.num_rows)
-                for rows, stack, (condition, amount) in pixels.stacks(height, width, data, name, severity):
-                    seen = pixels.degraded(pixels.stack_of(stack), condition, amount)
-                    found = list(embed(seen))
-                    if len(found) != len(rows):
-                        raise ValueError("embed must give a vector or None for each image")
-                    for i, v in zip(rows.tolist(), found, strict=True):
-                        if v is not None:
-                            v = np.asarray(v, np.float64)
-                            if v.ndim != 1 or not v.size or not np.isfinite(v).all() or not v.any():
-                                raise ValueError("an embedding must be a finite vector that is not zero")
-                            vectors[i] = v
-                    if quality is not None:
-                        score[rows] = np.asarray(quality(seen), float)
-                        if not np.isfinite(score[rows]).all():
-                            raise ValueError("qualities must be finite")
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(1), batch.column(2), batch.column(4), batch.column(5), batch.column(6), pa.array(vectors, pa.list_(pa.float64())), pa.array(score)],
-                    ["sha", "height", "width", "ordinal", "condition", "severity", "emb", "quality"])
-
-    made = work.mapInArrow(run, "sha string, height int, width int, ordinal int, condition string, severity double, emb array<double>, quality double")
+                height, width, data = (batch.column(i).to_pylist() for i in (1, 2, 3))
+                vectors: list[list] = [[None] * batch.num_rows for _ in conditions]
+                score = np.zeros((len(conditions), batch.num_rows))
+                for rows, stack, _ in pixels.stacks(height, width, data):
+                    for k, (name, severity) in enumerate(conditions):
+                        seen = pixels.degraded(pixels.stack_of(stack), name, float(severity))
+                        for i, v in zip(rows.tolist(), vectors_of(seen), strict=True):
+                            vectors[k][i] = v
+                        if quality is not None:
+                            score[k, rows] = np.asarray(quality(seen), float)
+                            if not np.isfinite(score[k, rows]).all():
+                                raise ValueError("qualities must be finite")
+                clean = pa.array([None] * batch.num_rows if first_clean is None else vectors[first_clean], kind)
+                for k, (name, severity) in enumerate(conditions):
+                    n = batch.num_rows
+                    yield pa.RecordBatch.from_arrays(
+                        [*batch.columns[:3], pa.array([k] * n, pa.int32()), pa.array([name] * n), pa.array([float(severity)] * n), pa.array(vectors[k], kind), pa.array(score[k]), clean],
+                        ["sha", "height", "width", "ordinal", "condition", "severity", "emb", "quality", "clean"])
+
+    made = work.mapInArrow(run, "sha string, height int, width int, ordinal int, condition string, severity double, emb array<double>, quality double, clean array<double>")
     ids = images.select("item_id", F.col("label").alias("persona_id"), F.sha1("data").alias("sha"), "height", "width")
     return ids.join(made, ["sha", "height", "width"]).drop("sha", "height", "width")
 
@@ -106,10 +116,10 @@ def aligned(vectors: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
     vectors: as embedded() gives them, the clean condition among them. counts: ordinal, n_images, n_gallery, n_scored.
     """
-    clean = vectors.where((F.col("condition") == pixels.CLEAN) & F.col("emb").isNotNull()).select("item_id", F.col("emb").alias("clean"))
-    both = vectors.where("emb IS NOT NULL").join(clean, "item_id")
+    both = vectors.where("emb IS NOT NULL AND clean IS NOT NULL")
     probe = both.select("ordinal", "item_id", "persona_id", "quality", "emb")
-    gallery = both.select("ordinal", "item_id", "persona_id", F.col("clean").alias("emb"))
+    gallery = both.select("ordinal", "item_id", "persona_id", "quality", F.col("clean").alias("emb"))
+    clean = vectors.where((F.col("condition") == pixels.CLEAN) & F.col("emb").isNotNull())
     counts = vectors.groupBy("ordinal", "condition", "severity").agg(F.count("*").alias("n_images"))
     scored = probe.groupBy("ordinal").agg(F.count("*").alias("n_scored"), F.count_distinct("persona_id").alias("personas"))
     counts = counts.join(scored, "ordinal", "left").crossJoin(F.broadcast(clean.agg(F.count("*").alias("n_gallery"))))
@@ -149,8 +159,8 @@ def sweep(images: DataFrame, conditions: Iterable[tuple[str, float]], embed: Emb
     """
     vectors, asked = _vectors(images, conditions, include_clean, embed)
     probe, gallery, counts = aligned(vectors)
-    usable = counts.where("n_scored >= 2 AND personas >= 2").select("ordinal")
-    scored = verification.probes_and_gallery(*[t.join(usable, "ordinal", "left_semi").drop("quality") for t in (probe, gallery)], ["ordinal"])
+    usable = counts.where("n_scored >= 2 AND personas >= 2").select("ordinal")  # one row a condition
+    scored = verification.probes_and_gallery(*[t.join(F.broadcast(usable), "ordinal", "left_semi") for t in (probe, gallery)], ["ordinal"])
     metrics = scored.operating_points([target]).withColumnRenamed("fmr_at_fnmr_0", "fmr_at_fnmr")
     out = counts.drop("personas").join(scored.totals().drop("n_scored"), "ordinal", "left").join(metrics, "ordinal", "left")
     out = out.withColumn("n_gallery_dropped", F.col("n_images") - F.col("n_gallery")).withColumn("n_query_dropped", F.col("n_images") - F.col("n_scored"))
@@ -171,15 +181,14 @@ def gated(images: DataFrame, conditions: Iterable[tuple[str, float]], embed: Emb
     vectors, asked = _vectors(images, conditions, include_clean, embed, quality)
     probe, gallery, counts = aligned(vectors)
     subset = F.explode(F.when(F.col("quality") >= least_quality, F.array(F.lit("full"), F.lit("gated"))).otherwise(F.array(F.lit("full"))))
-    probe = probe.withColumn("subset", subset)
-    gallery = gallery.join(probe.select("ordinal", "item_id", "subset"), ["ordinal", "item_id"])
     keys = ["ordinal", "subset"]
-    sizes = probe.groupBy(*keys).agg(F.count("*").alias("n"), F.count_distinct("persona_id").alias("personas"))
+    sizes = probe.withColumn("subset", subset).groupBy(*keys).agg(F.count("*").alias("n"), F.count_distinct("persona_id").alias("personas"))
     full_ok = sizes.where("subset = 'full' AND n >= 2 AND personas >= 2").select("ordinal", F.lit(True).alias("full_ok"))
     usable = sizes.where("n >= 2 AND personas >= 2").join(full_ok, "ordinal").select(*keys)
-    scored = verification.probes_and_gallery(*[t.join(usable, keys, "left_semi").drop("quality") for t in (probe, gallery)], keys)
+    asked_for = F.broadcast(usable.where("subset = 'full'").select("ordinal"))  # one row a condition; the gated set is part of the full one
+    scored = verification.probes_and_gallery(*[t.join(asked_for, "ordinal", "left_semi") for t in (probe, gallery)], ["ordinal"], least_quality)
     scored = dataclasses.replace(scored, cuts=(threshold,))
-    metrics = scored.operating_points([target]).withColumnRenamed("fmr_at_fnmr_0", "fmr_at_fnmr").join(scored.rates([threshold]).drop("threshold"), keys).join(scored.totals().drop("n_scored"), keys)
+    metrics = scored.operating_points([target]).withColumnRenamed("fmr_at_fnmr_0", "fmr_at_fnmr").join(scored.rates([threshold]).drop("threshold"), keys).join(scored.totals().drop("n_scored"), keys).join(usable, keys, "left_semi")
     every = counts.select("ordinal", "condition", "severity", "n_images", "n_scored").crossJoin(images.sparkSession.createDataFrame([("full",), ("gated",)], "subset string"))
     out = every.join(sizes.drop("personas"), keys, "left").join(full_ok, "ordinal", "left").join(metrics, keys, "left")
     full = F.col("subset") == "full"
