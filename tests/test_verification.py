@@ -190,3 +190,22 @@ def test_a_gate_over_probes_equals_two_sets(spark):
         alone = v.probes_and_gallery(side, side, ["k"])
         for found in (lambda s: s.totals(), lambda s: s.operating_points([0.1]), lambda s: s.rows()):
             assert sorted(map(key, found(scored).where(f"subset = '{name}'").drop("subset").collect())) == sorted(map(key, found(alone).collect()))
+
+
+@pytest.mark.parametrize("floor,spread", [(5e-5, 4), (0.2, 4), (0.0, 4), (0.01, 2), (0.3, 3)])
+def test_the_plotted_curve_comes_in_order_without_an_exchange(spark, monkeypatch, floor, spread):
+    import numpy as np
+
+    from vectrail.sources import results
+
+    monkeypatch.setattr(v, "RANGE_BYTES", 8 << v.FINE_BITS + 8)  # windows of 256 bins
+    rng = np.random.default_rng(spread)
+    far = np.repeat(np.eye(3)[:, :spread] * 9, 8, axis=0)[:, : min(spread, 3)]  # with 2 and 3: personas apart, so that long stretches hold no impostor
+    rows = [[float(x) for x in rng.standard_normal(spread) + (np.pad(far[i], (0, spread - far.shape[1])) if spread < 4 else 0)] for i in range(24)]
+    t = items(spark, [(i, i // 8, e) for i, e in enumerate(rows)])
+    found = results.plot_ready(v.all_pairs(t), floor)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString().partition("CartesianProduct")[0]
+    got = [tuple(r) for r in found.collect()]
+    want = [tuple(r) for r in results.plot_ready(v.roc(v.pair_scores(t)), floor).collect()]
+    assert [g[1:] for g in got] == [pytest.approx(w[1:], abs=1e-12) for w in want]
+    assert sorted(got) == [pytest.approx(w, abs=1e-12) for w in sorted(want)]

@@ -182,14 +182,7 @@ class Scored:
         def work(k: int, pairs: Callable):
             first, width, gen_below, imp_below = ranges[k]
             base, places = first << FINE_BITS, width << FINE_BITS
-            counts = np.zeros((2, places), kind)  # genuine, impostor
-            low, high = _bounds(base, base + places)
-            for block in pairs():
-                for _, x, genuine in _slabs(*block):
-                    at = np.flatnonzero((x >= low) & (x < high))
-                    place, g = _place(x[at]) - base, genuine(at)
-                    np.add.at(counts[0], place[g], 1)
-                    np.add.at(counts[1], place[~g], 1)
+            counts = _counted(pairs, base, places, kind)
             rate = lambda n, whole: pa.array(n / whole) if whole else pa.nulls(len(n), pa.float64())
             for s in range(0, places, 1 << 16):
                 part = counts[:, s : s + (1 << 16)]
@@ -206,6 +199,60 @@ class Scored:
 
         return self.ranged(len(ranges), work, schema)
 
+    def plot_points(self, floor: float) -> DataFrame | None:
+        """threshold, fmr, fnmr of points(), rates raised to the floor, by (fmr, fnmr) in the order of the partitions; None where that needs a sort.
+
+        Each task scores all pairs again and counts a window of scores (see _windows), so that no
+        point of the curve is exchanged.
+        """
+        bins = sorted((r.place, r.gen, r.imp) for r in self.bins().where("place >= 0").collect())
+        n_gen, n_imp = sum(b[1] for b in bins), sum(b[2] for b in bins)
+        if self.ranged is None or not n_gen or not n_imp or not 0 <= floor < 1:
+            return None
+        kind = np.uint32 if max(g + i for _, g, i in bins) < 1 << 32 else np.uint64
+        windows = _windows(bins, floor, RANGE_BYTES // (2 * np.dtype(kind).itemsize) >> FINE_BITS)
+        below = [(sum(g for b, g, _ in bins if b < w[0]), sum(i for b, _, i in bins if b < w[0])) for w in windows]
+
+        def work(k: int, pairs: Callable):
+            first, last, low, high, top = windows[k]
+            base, places, one = first << FINE_BITS, (last + 1 - first) << FINE_BITS, 1 << FINE_BITS
+            counts = _counted(pairs, base, places, kind)
+            sums = [np.concatenate([[n], n + np.cumsum(c.reshape(-1, one).sum(axis=1, dtype=np.int64))]) for n, c in zip(below[k], counts, strict=True)]
+            before = lambda side, at: int(sums[side][at // one] + counts[side, at // one * one : at].sum(dtype=np.int64))
+
+            def edge(name: str, own: int) -> int:
+                """Just after an impostor's place in the bin own."""
+                c = counts[1, own * one : (own + 1) * one].astype(np.int64)
+                some = np.flatnonzero(c)
+                if name == "floor":  # the last whose rate is above the floor
+                    some = some[(n_imp - before(1, own * one) - np.cumsum(c[some]) + c[some]) / n_imp > floor]
+                return own * one + int(some[0 if name == "first" else -1]) + 1
+
+            start = edge(low, 0) if low else 0
+            end = places if not high else edge(high, 0 if high == "last" else last - first)
+            rising = not low and high in ("", "first") or low in ("floor", "last")  # one rate of false matches throughout
+            at = start if rising else end
+            while start < end and (at < end if rising else at > start):
+                if rising:
+                    s, e = at, min(end, at + one)
+                else:
+                    s, e = max(start, at - one), at
+                    while s > start and not counts[1, s - 1]:  # points of one rate stay together
+                        found = np.flatnonzero(counts[1, max(start, s - one) : s])
+                        s = max(start, s - one) + (int(found[-1]) + 1 if len(found) else 0)
+                at = e if rising else s
+                some = np.flatnonzero(counts[:, s:e].any(axis=0))
+                gen, imp = counts[:, s:e][:, some].astype(np.int64)
+                fmr = np.maximum((n_imp - before(1, s) - np.cumsum(imp) + imp) / n_imp, floor)
+                fnmr = np.maximum((before(0, s) + np.cumsum(gen) - gen) / n_gen, floor)
+                order = np.lexsort((fnmr, fmr))
+                yield blocks.batch(threshold=((base + s + some - PLACES) / float(PLACES))[order], fmr=fmr[order], fnmr=fnmr[order])
+            if top:
+                largest = base + int(np.flatnonzero(counts.any(axis=0))[-1]) - PLACES
+                yield blocks.batch(threshold=np.array([np.nextafter(largest / float(PLACES), np.inf)]), fmr=np.array([max(0.0, floor)]), fnmr=np.array([1.0]))
+
+        return self.ranged(len(windows), work, "threshold double, fmr double, fnmr double")
+
     def operating_points(self, targets: list[float]) -> DataFrame:
         """keys, eer, fmr_at_fnmr_0, ...: as operating_points(points, targets), without the curve.
 
@@ -324,6 +371,59 @@ def _place(x: np.ndarray) -> np.ndarray:
     return np.clip(np.rint(x * (1 << FINE_BITS)).astype(np.int64) + PLACES, 0, 2 * PLACES)
 
 
+def _counted(pairs: Callable, base: int, places: int, kind: type) -> np.ndarray:
+    """Genuine and impostor pairs of each of so many places from base."""
+    counts = np.zeros((2, places), kind)
+    low, high = _bounds(base, base + places)
+    for block in pairs():
+        for _, x, genuine in _slabs(*block):
+            at = np.flatnonzero((x >= low) & (x < high))
+            place, g = _place(x[at]) - base, genuine(at)
+            np.add.at(counts[0], place[g], 1)
+            np.add.at(counts[1], place[~g], 1)
+    return counts
+
+
+def _windows(bins: list[tuple[int, int, int]], floor: float, most: int) -> list[tuple[int, int, str, str, bool]]:
+    """(first bin, last bin, low, high, whether the point above the largest score follows) of the windows of scores, by rates.
+
+    bins: (bin, genuine, impostors) of a histogram. A window begins after an impostor's place of its
+    first bin (low: the first or the last one, or the last above the floor; none: with the bin), and ends
+    with one of its last bin (high; 'last': of its first bin; none: with the bin), so that the points of
+    one rate of false matches are in one window, or in several that rise with the threshold.
+    """
+    rest, impostors, split = sum(i for _, _, i in bins), [b for b, _, i in bins if i], 0
+    n_imp = rest
+    for b, _, imp in bins:  # the bin in which the rate of false matches reaches the floor
+        if imp and rest / n_imp > floor:
+            split = b
+        rest -= imp
+
+    def rising(some: list[int]) -> list[tuple[int, int, str, str]]:
+        out: list[list] = []
+        for b in some:
+            if not out or b >= out[-1][0] + most:
+                out.append([b, b])
+            out[-1][1] = b
+        return [(a, z, "", "") for a, z in out]
+
+    out = [(split, split, "floor", ""), *rising([b for b, _, _ in bins if b > split])]
+    tops = len(out) - 1
+    last, high = split, "floor"
+    while True:
+        first = next(b for b in impostors if b > last - most)
+        if first < last or high == "floor":
+            out.append((first, last, "first", high))
+        elif last > impostors[0]:  # no impostor for longer than a window
+            first = max(b for b in impostors if b < last)
+            out += [(first, first, "last", ""), *rising([b for b, _, _ in bins if first < b < last]), (last, last, "", "first"), (first, first, "first", "last")]
+        else:
+            break
+        last, high = first, "first"
+    out += [*rising([b for b, _, _ in bins if b < last]), (last, last, "", "first")]
+    return [(*w, k == tops) for k, w in enumerate(out)]
+
+
 def _bounds(first: int, end: int) -> tuple[float, float]:
     """Between which scores times SCALE the places from first up to end lie. Half a place to spare decides no score of nine digits."""
     at = lambda place: (place - PLACES - 0.5) / (1 << FINE_BITS)

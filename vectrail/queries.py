@@ -381,7 +381,7 @@ def latency_percentiles(spark, d):
 
 @query
 def plot_ready_roc(spark, d):
-    return rounded(results.plot_ready(verification.all_pairs(tables.read_items(spark, d)).points()))
+    return rounded(results.plot_ready(verification.all_pairs(tables.read_items(spark, d))))
 
 
 def _index(spark, vectors) -> index.CellIndex:
