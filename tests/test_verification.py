@@ -209,3 +209,44 @@ def test_the_plotted_curve_comes_in_order_without_an_exchange(spark, monkeypatch
     want = [tuple(r) for r in results.plot_ready(v.roc(v.pair_scores(t)), floor).collect()]
     assert [g[1:] for g in got] == [pytest.approx(w[1:], abs=1e-12) for w in want]
     assert sorted(got) == [pytest.approx(w, abs=1e-12) for w in sorted(want)]
+
+
+def test_gate_bars_score_once(spark, monkeypatch):
+    from vectrail import queries
+
+    calls = []
+    real = v.blocks.cosine_blocks
+    monkeypatch.setattr(v.blocks, "cosine_blocks", lambda *a, **b: calls.append(1) or real(*a, **b))
+    bars = queries.gate_bars(spark, "/root/testdata/sf0.001").collect()
+    assert len(calls) == 1 and len(bars) == 12
+    want = {(r.severity, r.subset): r for r in queries.gate_ablation(spark, "/root/testdata/sf0.001").collect()}
+    got = {(r.ordinal, r.metric): (r.full, r.gated, r.pass_rate) for r in bars}
+    for k, s in enumerate(queries.SEVERITIES, 1):
+        full, gated = want[s, "full"], want[s, "gated"]
+        assert got[k, "fmr"] == (full.fmr, gated.fmr, gated.pass_rate) and got[k, "fnmr"] == (full.fnmr, gated.fnmr, gated.pass_rate)
+
+
+@pytest.mark.parametrize("below", [False, True])
+def test_pairs_at_a_cut_are_counted_exactly(below):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    a = rng.normal(size=(70, 64))
+    a /= np.linalg.norm(a, axis=1)[:, None]
+    other = rng.normal(size=(70, 64))
+    other -= (other * a).sum(axis=1)[:, None] * a
+    other /= np.linalg.norm(other, axis=1)[:, None]
+    # cosines of nearly 0.5: by less and by more than half a place of nine digits
+    near = 0.5 + rng.choice([0, 3e-10, -3e-10, 8e-10, -8e-10, 1e-7, -1e-7], 70)
+    b = near[:, None] * a + np.sqrt(1 - near**2)[:, None] * other
+    ids = np.arange(70)
+    for many in (b, np.repeat(b[:3], 40, axis=0)):
+        q = {"item_id": ids, "persona_id": ids % 3, "unit": a}
+        c = {"item_id": np.arange(len(many)) + 20, "persona_id": np.arange(len(many)) % 3, "unit": many}
+        scores = np.round(a @ many.T, 9)
+        counted = ids[:, None] < c["item_id"][None, :] if below else np.ones(scores.shape, bool)
+        genuine = q["persona_id"][:, None] == c["persona_id"][None, :]
+        cuts = [0.5, -0.2, 1.0]
+        got = v._reaching(q, c, below, [v._at_least(t) for t in cuts])
+        want = [[np.count_nonzero(counted & g & (scores >= t)) for t in (*cuts, -2)] for g in (genuine, np.ones(scores.shape, bool))]
+        assert got.tolist() == want

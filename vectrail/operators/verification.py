@@ -42,6 +42,8 @@ class Scored:
     keys: list[str]
     tally: Callable[[Callable], DataFrame]
     cuts: tuple[float, ...] = ()
+    #: Without the histogram: all pairs of a key count at place 0, which is enough for totals() and for rates() at the cuts.
+    histogram: bool = True
     _bins: DataFrame | None = None
     #: ranged(tasks, work, schema): work(k, pairs) in tasks that each score all pairs; pairs() gives (q, c, below) of two blocks at a time.
     ranged: Callable[[int, Callable, str], DataFrame] | None = None
@@ -51,15 +53,30 @@ class Scored:
         if self._bins is None:
             cuts = self.cuts
             reached = [_at_least(t) for t in cuts]
+            coarse = COARSE if self.histogram else 1
+            histogram = self.histogram
 
             def counter():
                 held: dict[tuple, np.ndarray] = {}
 
+                def count(keys, n):
+                    for key in keys:
+                        if key in held:
+                            held[key] += n
+                        else:
+                            held[key] = n.copy()
+
                 def add(keys, q, c, below, own):
                     if not len(q["unit"]) or not len(c["unit"]):
                         return
-                    n = np.zeros((2, len(cuts) + 1 + COARSE), np.int64)
+                    n = np.zeros((2, len(cuts) + 1 + coarse), np.int64)
                     n[0, len(cuts)] = own()
+                    if not histogram:
+                        found = _reaching(q, c, below, reached)
+                        found[1] -= found[0]
+                        n[:, : len(cuts)], n[:, -1] = found[:, :-1], found[:, -1]
+                        count(keys, n)
+                        return
                     every, gen = n[1, len(cuts) + 1 :], []
                     equal = None if below else _equal(q, c)
                     held_bins = np.empty(CHUNK + len(c["unit"]), np.intp)
@@ -81,14 +98,10 @@ class Scored:
                     n[0, len(cuts) + 1 :] = np.bincount(np.concatenate(gen), minlength=COARSE)
                     n[1, : len(cuts)] -= n[0, : len(cuts)]
                     every -= n[0, len(cuts) + 1 :]
-                    for key in keys:
-                        if key in held:
-                            held[key] += n
-                        else:
-                            held[key] = n.copy()
+                    count(keys, n)
 
                 def finish():
-                    place = np.concatenate([-1 - np.arange(len(cuts)), [OWN], np.arange(COARSE)])
+                    place = np.concatenate([-1 - np.arange(len(cuts)), [OWN], np.arange(coarse)])
                     for key, n in held.items():
                         some = np.flatnonzero((n != 0).any(axis=0) | (place < 0))
                         yield key, place[some], n[0, some], n[1, some]
@@ -260,6 +273,8 @@ class Scored:
         pass counts the scores of those bins alone, at most 2**17 each. Both are exact.
         """
 
+        if not self.histogram:
+            raise ValueError("operating points need the histogram")
         keys = self.keys
         bins = self.bins().where("place >= 0").withColumnRenamed("place", "bin")
         whole, before = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
@@ -354,6 +369,40 @@ def _slabs(q: dict, c: dict, below: bool):
             yield s, x.ravel(), lambda at: p[s + at // len(b)] == r[at % len(b)]  # noqa: B023
 
 
+def _reaching(q: dict, c: dict, below: bool, reached: list[float]) -> np.ndarray:
+    """Genuine pairs, and all pairs, of two blocks that reach each of the cuts (see _at_least), and at last of any score.
+
+    A product in single precision decides all pairs but those within its error of a cut; these are scored as ever.
+    """
+    a, b, p, r = q["unit"], c["unit"], q["persona_id"], c["persona_id"]
+    n = np.zeros((2, len(reached) + 1), np.int64)
+    if below or not (np.isfinite(a).all() and np.isfinite(b).all()):
+        for _, x, genuine in _slabs(q, c, below):
+            for k, least in enumerate([*reached, -np.inf]):
+                at = np.flatnonzero(x >= least)
+                n[:, k] += np.count_nonzero(genuine(at)), len(at)
+        return n
+    n[:, -1] = len(_equal(q, c)), len(a) * len(b)
+    spare = (a.shape[1] + 8) * 2.0**-23  # sums of products of vectors of length 1
+    left, right = a.astype(np.float32), b.astype(np.float32).T
+    rows = max(1, 2 * CHUNK // len(b))
+    held = np.empty((min(rows, len(a)), len(b)), np.float32)
+    for s in range(0, len(a), rows):
+        x = np.matmul(left[s : s + rows], right, out=held[: len(left[s : s + rows])]).ravel()
+        for k, least in enumerate(reached):
+            at = np.flatnonzero(x >= np.float32(least / SCALE - spare))
+            unsure = x[at] < np.float32(least / SCALE + spare)
+            if unsure.any():
+                i, j = np.divmod(at[unsure], len(b))
+                few = len(i) < len(x) // 16
+                exact = np.einsum("ij,ij->i", a[s + i] * SCALE, b[j]) if few else ((a[s : s + rows] * SCALE) @ b.T)[i, j]
+                passed = np.ones(len(at), bool)
+                passed[unsure] = exact >= least
+                at = at[passed]
+            n[:, k] += np.count_nonzero(p[s + at // len(b)] == r[at % len(b)]), len(at)
+    return n
+
+
 def _equal(q: dict, c: dict) -> np.ndarray:
     """Places of the genuine pairs among all of two blocks, in order."""
     p, r = q["persona_id"], c["persona_id"]
@@ -742,10 +791,21 @@ def gate_ablation(items: DataFrame, severities: list[float], least_quality: floa
     full one. Both subsets are always there.
     """
     scored = dataclasses.replace(quantised_pairs(items, severities, least_quality), cuts=(threshold,))
-    keys = ["severity", "subset"]
-    every = items.sparkSession.createDataFrame([(float(s), k) for s in severities for k in ("full", "gated")], "severity double, subset string")
     metrics = scored.operating_points([target]).withColumnRenamed("fmr_at_fnmr_0", "fmr_at_fnmr")
-    out = every.join(scored.totals(), keys, "left").join(scored.rates([threshold]).drop("threshold"), keys, "left").join(metrics, keys, "left")
+    return _gate_table(scored, severities, threshold, metrics)
+
+
+def gate_rates(items: DataFrame, severities: list[float], least_quality: float, threshold: float) -> DataFrame:
+    """The columns of gate_ablation() up to fnmr: pairs are scored once, and only what reaches the threshold is counted."""
+    return _gate_table(dataclasses.replace(quantised_pairs(items, severities, least_quality), cuts=(threshold,), histogram=False), severities, threshold)
+
+
+def _gate_table(scored: Scored, severities: list[float], threshold: float, metrics: DataFrame | None = None) -> DataFrame:
+    keys, columns = ["severity", "subset"], ["n_pairs", "n_genuine", "n_impostor", "fmr", "fnmr"]
+    every = scored.bins().sparkSession.createDataFrame([(float(s), k) for s in severities for k in ("full", "gated")], "severity double, subset string")
+    out = every.join(scored.totals(), keys, "left").join(scored.rates([threshold]).drop("threshold"), keys, "left")
+    if metrics is not None:
+        out, columns = out.join(metrics, keys, "left"), [*columns, *[c for c in metrics.columns if c not in keys]]
     out = out.withColumn("n", F.coalesce("n_scored", F.lit(0)))
     ok = (F.col("n") >= 2) & (F.col("n_impostor") > 0)
     by = Window.partitionBy("severity")
@@ -753,7 +813,7 @@ def gate_ablation(items: DataFrame, severities: list[float], least_quality: floa
     n_full = F.max(F.when(F.col("subset") == "full", F.col("n"))).over(by)
     n = F.when((F.col("subset") == "full") | full_ok, F.col("n")).otherwise(0)
     rate = F.when(F.col("subset") == "full", 1.0).when(full_ok, F.col("n") / n_full).otherwise(0.0)
-    return out.select("severity", "subset", n.alias("n"), rate.alias("pass_rate"), *[F.when(full_ok & ok, F.col(c)).alias(c) for c in ("n_pairs", "n_genuine", "n_impostor", "fmr", "fnmr", "eer", "fmr_at_fnmr")])
+    return out.select("severity", "subset", n.alias("n"), rate.alias("pass_rate"), *[F.when(full_ok & ok, F.col(c)).alias(c) for c in columns])
 
 
 def valid(items: DataFrame) -> DataFrame:
