@@ -250,3 +250,22 @@ def test_pairs_at_a_cut_are_counted_exactly(below):
         got = v._reaching(q, c, below, [v._at_least(t) for t in cuts])
         want = [[np.count_nonzero(counted & g & (scores >= t)) for t in (*cuts, -2)] for g in (genuine, np.ones(scores.shape, bool))]
         assert got.tolist() == want
+
+
+def test_image_sweep_packs_blocks_once(spark, monkeypatch):
+    from vectrail.plans import experiment
+
+    packed = []
+    real = v.blocks.pack
+    monkeypatch.setattr(v.blocks, "pack", lambda df, columns, side, n, on: packed.append((side, df, on)) or real(df, columns, side, n, on))
+    rows = [(i, i // 2 % 2, 2, 2, bytes(range(i, i + 12))) for i in range(8)]
+    images = spark.createDataFrame(rows, "item_id long, label int, height int, width int, data binary")
+    # the bright images of odd first pixel have no vector
+    some = lambda stack: [None if image[0, 0, 0] > 100 and image[0, 0, 0] % 2 else [float(x) + 1 for x in image.ravel()] for image in stack]
+    found, curve = experiment.sweep(images, [("brightness", 0.4)], some)
+    got = {r.condition: r for r in found.collect()}
+    gallery = [df for side, df, _ in packed if side == "c"][0]
+    assert gallery.count() == 8 and not packed[0][2]  # an item is in one block, not in one for each condition
+    assert "InMemoryRelation" in found._jdf.queryExecution().optimizedPlan().toString()
+    assert (got["clean"].n_scored, got["clean"].n_pairs, got["brightness"].n_scored, got["brightness"].n_pairs, got["brightness"].n_query_dropped) == (8, 64, 4, 16, 4)
+    assert {r.ordinal for r in curve.collect()} == {0, 1}

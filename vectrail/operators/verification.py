@@ -615,12 +615,12 @@ def quantised_pairs(items: DataFrame, severities: list[float], least_quality: fl
     of both items is at least that. All severities are made in the kernel, from one exchange of the blocks.
     """
 
-    def views(x: np.ndarray):
+    def views(x: np.ndarray, side: str):
         out = []
         for s in severities:
             seen = x if s == 0 else np.floor(x / s + 0.5) * s
             kept = np.flatnonzero((seen != 0).any(axis=1))
-            out.append((float(s), kept, seen[kept]))
+            out.append((float(s), kept, (seen if side == "q" else x)[kept]))
         return out
 
     def apply(kernel, fields):
@@ -646,6 +646,41 @@ def quantised_pairs(items: DataFrame, severities: list[float], least_quality: fl
     return Scored(apply, ["severity"] if least_quality is None else ["severity", "subset"], tally)
 
 
+def seen_and_clean(items: DataFrame, ordinals: list[int], dim: int) -> Scored:
+    """Vectors of each condition against the clean ones, under the key ordinal, from one exchange of the blocks.
+
+    items: item_id, persona_id, seen (one vector of dim components a condition, null where there is none), clean.
+    A condition's probes and gallery are the items that have both; the blocks stay persisted for the next pass.
+    """
+    none = F.lit([0.0] * dim)  # vectors aren't zero
+    has = F.transform("seen", lambda v: F.when(v.isNull(), 0.0).otherwise(1.0))
+    of_dim = lambda v: F.when(F.size(v) == dim, v).otherwise(F.raise_error(F.lit("embeddings must be of one dimension")).cast("array<double>"))
+    kept = items.where("clean IS NOT NULL")
+    probes = kept.select("item_id", "persona_id", F.flatten(F.transform("seen", lambda v: F.when(v.isNull(), none).otherwise(of_dim(v)))).alias("emb"))
+    gallery = kept.select("item_id", "persona_id", F.concat("clean", has).alias("emb"))
+    columns, held, key = ["item_id", "persona_id", "emb"], {}, ", ordinal int"
+
+    def views(x: np.ndarray, side: str):
+        out = []
+        for k in ordinals:
+            own = x[:, k * dim : (k + 1) * dim] if side == "q" else x[:, :dim]
+            rows = np.flatnonzero(own.any(axis=1) if side == "q" else x[:, dim + k])
+            out.append((k, rows, own[rows]))
+        return out
+
+    def apply(kernel, fields):
+        run = lambda scores, q, c, _, k: _subsets(kernel, scores, q, c, None, None, ordinal=np.int32(k))
+        return blocks.cosine_blocks(probes, gallery, run, fields + key, query_columns=columns, item_columns=columns, views=views, held=held)
+
+    def pairs_of(k, q, c, same):
+        yield [k], q, c, False, partial(_met, q, c)
+
+    def tally(counter):
+        return blocks.cosine_blocks(probes, gallery, None, COUNTS + key, query_columns=columns, item_columns=columns, views=views, counter=_counting(counter, [pa.int32()], pairs_of), held=held)
+
+    return Scored(apply, ["ordinal"], tally)
+
+
 def pair_scores(items: DataFrame) -> DataFrame:
     """i, j, score, is_genuine of all unordered pairs i < j."""
     return all_pairs(items).rows()

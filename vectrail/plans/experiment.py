@@ -63,16 +63,33 @@ def whole_quality(stack: np.ndarray) -> np.ndarray:
 def embedded(images: DataFrame, conditions: list[tuple[str, float]], embed: Embed, quality: Quality | None = None) -> DataFrame:
     """ordinal, condition, severity, item_id, persona_id, emb (null: can't be embedded), quality of every image under every condition, and clean, its vector under the clean condition, if that is among them.
 
+    As embedded_once(), a row a condition.
+    """
+    return _by_condition(embedded_once(images, conditions, embed, quality), conditions)
+
+
+def _by_condition(once: DataFrame, conditions: list[tuple[str, float]]) -> DataFrame:
+    each = [F.struct(F.lit(k).alias("ordinal"), F.lit(name).alias("condition"), F.lit(float(severity)).alias("severity"), F.col("seen")[k].alias("emb"), F.col("qualities")[k].alias("quality")) for k, (name, severity) in enumerate(conditions)]
+    return once.select("item_id", "persona_id", F.inline(F.array(*each)), "clean").select("item_id", "persona_id", "ordinal", "condition", "severity", "emb", "quality", "clean")
+
+
+def _clean_at(conditions: list[tuple[str, float]]) -> int | None:
+    return next((k for k, (name, _) in enumerate(conditions) if name == pixels.CLEAN), None)
+
+
+def embedded_once(images: DataFrame, conditions: list[tuple[str, float]], embed: Embed, quality: Quality | None = None) -> DataFrame:
+    """item_id, persona_id, seen (a vector a condition, null: can't be embedded), qualities, clean (that of the clean condition, if it is among them) of every image.
+
     images: item_id, label, height, width, data. Vectors must be finite, not zero and of one
     dimension, and qualities finite; anything else raises. An image is exchanged once for all
-    conditions, and its rows leave the task with the clean vector, so that no join brings them together.
+    conditions, and so is the row of all its vectors.
     """
     spark = images.sparkSession
     distinct = images.select(F.sha1("data").alias("sha"), "height", "width", "data").groupBy("sha", "height", "width").agg(F.first("data").alias("data"))
     # a given number of partitions: the time goes by images and conditions, not by the bytes that are exchanged
     work = distinct.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "sha")
-    first_clean = next((k for k, (name, _) in enumerate(conditions) if name == pixels.CLEAN), None)
-    kind = pa.list_(pa.float64())
+    first_clean = _clean_at(conditions)
+    kind = pa.list_(pa.list_(pa.float64()))
 
     def vectors_of(seen: np.ndarray) -> list:
         found = list(embed(seen))
@@ -99,16 +116,12 @@ def embedded(images: DataFrame, conditions: list[tuple[str, float]], embed: Embe
                             score[k, rows] = np.asarray(quality(seen), float)
                             if not np.isfinite(score[k, rows]).all():
                                 raise ValueError("qualities must be finite")
-                clean = pa.array([None] * batch.num_rows if first_clean is None else vectors[first_clean], kind)
-                for k, (name, severity) in enumerate(conditions):
-                    n = batch.num_rows
-                    yield pa.RecordBatch.from_arrays(
-                        [*batch.columns[:3], pa.array([k] * n, pa.int32()), pa.array([name] * n), pa.array([float(severity)] * n), pa.array(vectors[k], kind), pa.array(score[k]), clean],
-                        ["sha", "height", "width", "ordinal", "condition", "severity", "emb", "quality", "clean"])
-
-    made = work.mapInArrow(run, "sha string, height int, width int, ordinal int, condition string, severity double, emb array<double>, quality double, clean array<double>")
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(list(zip(*vectors, strict=True)), kind), pa.array(score.T.tolist(), pa.list_(pa.float64()))], ["sha", "height", "width", "seen", "qualities"])
+
+    made = work.mapInArrow(run, "sha string, height int, width int, seen array<array<double>>, qualities array<double>")
     ids = images.select("item_id", F.col("label").alias("persona_id"), F.sha1("data").alias("sha"), "height", "width")
-    return ids.join(made, ["sha", "height", "width"]).drop("sha", "height", "width")
+    clean = F.lit(None).cast("array<double>") if first_clean is None else F.col("seen")[first_clean]
+    return ids.join(made, ["sha", "height", "width"]).select("item_id", "persona_id", "seen", "qualities", clean.alias("clean"))
 
 
 def aligned(vectors: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -126,23 +139,26 @@ def aligned(vectors: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return probe, gallery, counts.withColumn("n_scored", F.coalesce("n_scored", F.lit(0)))
 
 
-def _vectors(images: DataFrame, conditions: Iterable[tuple[str, float]], include_clean: bool, embed: Embed, quality: Quality | None = None) -> tuple[DataFrame, bool]:
-    """(persisted vectors of all conditions and the clean one, whether the clean one was asked for)."""
+def _vectors(images: DataFrame, conditions: Iterable[tuple[str, float]], include_clean: bool, embed: Embed, quality: Quality | None = None) -> tuple[DataFrame, bool, DataFrame, int]:
+    """(vectors of all conditions and the clean one, whether the clean one was asked for, the persisted rows of embedded_once() that they are made of, dimension)."""
     validation.check_images(images)
     planned = validation.planned_conditions(conditions, include_clean)
     asked = any(n == pixels.CLEAN for n, _ in planned)
-    vectors = embedded(images, planned if asked else [*planned, (pixels.CLEAN, 0.0)], embed, quality).persist()
-    r = vectors.where(F.col("condition") == pixels.CLEAN).where("emb IS NOT NULL").agg(F.count("*").alias("n"), F.count_distinct("persona_id").alias("p"), F.count_distinct(F.size("emb")).alias("dims")).first()
+    every = planned if asked else [*planned, (pixels.CLEAN, 0.0)]
+    once = embedded_once(images, every, embed, quality).persist()
+    vectors = _by_condition(once, every)
+    sizes = F.size("clean")
+    r = once.where("clean IS NOT NULL").agg(F.count("*").alias("n"), F.count_distinct("persona_id").alias("p"), F.min(sizes).alias("least"), F.max(sizes).alias("dim")).first()
     if r.n < 2 or r.p < 2:
         raise ValueError(f"the gallery has {r.n} images of {r.p} identities that can be embedded; at least 2 of 2 are needed")
-    if r.dims != 1:
+    if r.least != r.dim:
         raise ValueError("embeddings must be of one dimension")
-    return vectors, asked
+    return vectors, asked, once, r.dim
 
 
 def degraded_pairs(images: DataFrame, condition: tuple[str, float], embed: Embed) -> DataFrame:
     """i, j, score, is_genuine of the probes of one condition against the clean gallery; raises below 2 items of 2 identities."""
-    vectors, _ = _vectors(images, [condition], False, embed)
+    vectors, *_ = _vectors(images, [condition], False, embed)
     probe, gallery, counts = aligned(vectors.where((F.col("condition") == pixels.CLEAN) | (F.col("ordinal") == 0)))
     r = counts.where("ordinal = 0").first()
     if r.n_scored < 2 or r.personas < 2:
@@ -157,10 +173,10 @@ def sweep(images: DataFrame, conditions: Iterable[tuple[str, float]], embed: Emb
     items of 2 identities), n_images, n_gallery, n_gallery_dropped, n_scored, n_query_dropped (images of the condition without an embedding, or whose clean image has none).
     curve: ordinal, threshold, fmr, fnmr.
     """
-    vectors, asked = _vectors(images, conditions, include_clean, embed)
-    probe, gallery, counts = aligned(vectors)
-    usable = counts.where("n_scored >= 2 AND personas >= 2").select("ordinal")  # one row a condition
-    scored = verification.probes_and_gallery(*[t.join(F.broadcast(usable), "ordinal", "left_semi") for t in (probe, gallery)], ["ordinal"])
+    vectors, asked, once, dim = _vectors(images, conditions, include_clean, embed)
+    counts = aligned(vectors)[2].persist()
+    usable = sorted(r.ordinal for r in counts.where("n_scored >= 2 AND personas >= 2").collect())  # one row a condition
+    scored = verification.seen_and_clean(once, usable, dim)
     metrics = scored.operating_points([target]).withColumnRenamed("fmr_at_fnmr_0", "fmr_at_fnmr")
     out = counts.drop("personas").join(scored.totals().drop("n_scored"), "ordinal", "left").join(metrics, "ordinal", "left")
     out = out.withColumn("n_gallery_dropped", F.col("n_images") - F.col("n_gallery")).withColumn("n_query_dropped", F.col("n_images") - F.col("n_scored"))
@@ -178,7 +194,7 @@ def gated(images: DataFrame, conditions: Iterable[tuple[str, float]], embed: Emb
     """
     if not math.isfinite(least_quality) or not math.isfinite(threshold):
         raise ValueError("thresholds must be finite")
-    vectors, asked = _vectors(images, conditions, include_clean, embed, quality)
+    vectors, asked, *_ = _vectors(images, conditions, include_clean, embed, quality)
     probe, gallery, counts = aligned(vectors)
     subset = F.explode(F.when(F.col("quality") >= least_quality, F.array(F.lit("full"), F.lit("gated"))).otherwise(F.array(F.lit("full"))))
     keys = ["ordinal", "subset"]
