@@ -269,3 +269,42 @@ def test_image_sweep_packs_blocks_once(spark, monkeypatch):
     assert "InMemoryRelation" in found._jdf.queryExecution().optimizedPlan().toString()
     assert (got["clean"].n_scored, got["clean"].n_pairs, got["brightness"].n_scored, got["brightness"].n_pairs, got["brightness"].n_query_dropped) == (8, 64, 4, 16, 4)
     assert {r.ordinal for r in curve.collect()} == {0, 1}
+
+
+def test_pairs_leave_a_task_in_runs_of_their_scores(spark, monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(7)
+    emb = np.round(rng.standard_normal((90, 3)), 1) + 0.01
+    emb[4], emb[5] = [np.nan, 1, 1], [1e-170] * 3  # without a score, and of a length that no double holds
+    person = np.arange(90) % 7
+    want = emb / np.sqrt((emb * emb).sum(axis=1))[:, None]
+    sides = [{"item_id": np.arange(90)[s], "persona_id": person[s], "unit": want[s]} for s in (slice(0, 90, 2), slice(1, 90, 2))]
+    want = np.round(want @ want.T, 9)
+    for run, item_bits, query_bits in ((1 << 24, 12, 15), (1500, 12, 15), (1 << 24, 3, 5)):
+        for name, value in (("RUN", run), ("SLICE", 400), ("ITEM_BITS", item_bits), ("QUERY_BITS", query_bits)):
+            monkeypatch.setattr(v, name, value)
+        add, finish = v._runs(True)
+        found = [x for q, c, below in ((0, 0, True), (1, 0, False), (1, 1, True)) for x in add([("k",)], sides[q], sides[c], below, int)]
+        found += finish()
+        assert {key for key, *_ in found} == {("k",)} and max(len(i) for _, i, *_ in found) <= 400
+        i, j, score, genuine = (np.concatenate([x[n] for x in found]) for n in (1, 2, 3, 4))
+        assert sorted(zip(i.tolist(), j.tolist())) == [(a, b) for a in range(90) for b in range(a + 1, 90)]
+        np.testing.assert_array_equal(score, want[i, j])
+        np.testing.assert_array_equal(genuine, person[i] == person[j])
+        if run > 1500 and item_bits == 12:
+            assert np.isnan(score[-89:]).all() and np.isinf(score).any() and (np.diff(score[np.isfinite(score)]) >= 0).all()
+
+    monkeypatch.undo()
+    t = items(spark, [(int(k), int(person[k]), [float(x) for x in emb[k]]) for k in range(90) if k not in (4, 5)])
+    seen = v.pair_scores(t).mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([bool((np.diff(b.column(2).to_numpy()) >= 0).all())]), pa.array([b.num_rows])], ["ordered", "n"]) for b in batches), "ordered boolean, n long").collect()
+    assert all(r.ordered for r in seen) and sum(r.n for r in seen) == 88 * 87 // 2
+
+
+def test_scores_of_pairs_are_rounded_as_all_others(spark):
+    from vectrail import queries
+
+    digits = [*range(-1_000_000_000, 1_000_000_001, 7_654_321), *range(-3000, 3001, 125), *[s * (k * 1000 + 500) for k in range(0, 10**6, 997) for s in (-1, 1)]]
+    t = spark.createDataFrame([(0, 1, k / 10**9, True) for k in digits] + [(0, 1, x, True) for x in (float("nan"), float("inf"), -0.0)], "i long, j long, score double, is_genuine boolean")
+    assert list(map(repr, queries.rounded_scores(t).collect())) == list(map(repr, queries.rounded(t).collect()))
