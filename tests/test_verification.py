@@ -308,3 +308,22 @@ def test_scores_of_pairs_are_rounded_as_all_others(spark):
     digits = [*range(-1_000_000_000, 1_000_000_001, 7_654_321), *range(-3000, 3001, 125), *[s * (k * 1000 + 500) for k in range(0, 10**6, 997) for s in (-1, 1)]]
     t = spark.createDataFrame([(0, 1, k / 10**9, True) for k in digits] + [(0, 1, x, True) for x in (float("nan"), float("inf"), -0.0)], "i long, j long, score double, is_genuine boolean")
     assert list(map(repr, queries.rounded_scores(t).collect())) == list(map(repr, queries.rounded(t).collect()))
+
+
+def test_degraded_probes_against_all_items_come_in_the_order_of_scores(spark):
+    import numpy as np
+    import pyarrow as pa
+
+    emb = np.round(np.random.default_rng(8).standard_normal((70, 4)), 2)
+    emb[9] = 0.1  # nothing is left of it
+    t = items(spark, [(k, k % 6, [float(x) for x in emb[k]]) for k in range(70)])
+    rows = v.condition_pairs(t, [0.5])
+    seen = np.floor(emb / 0.5 + 0.5) * 0.5
+    left = np.flatnonzero(seen.any(axis=1)).tolist()
+    assert 9 not in left
+    unit = lambda x: x / np.sqrt((x * x).sum(axis=1))[:, None]
+    want = np.round(unit(seen[left]) @ unit(emb[left]).T, 9)
+    got = {(r.i, r.j): (r.score, r.is_genuine, r.severity) for r in rows.collect()}
+    assert got == {(i, j): (pytest.approx(want[x, y], abs=2e-9), i % 6 == j % 6, 0.5) for x, i in enumerate(left) for y, j in enumerate(left)} and rows.count() == len(left) ** 2
+    order = rows.select("score").mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([bool((np.diff(b.column(0).to_numpy()) >= 0).all())])], ["ordered"]) for b in batches), "ordered boolean").collect()
+    assert order and all(r.ordered for r in order)
