@@ -327,3 +327,60 @@ def test_degraded_probes_against_all_items_come_in_the_order_of_scores(spark):
     assert got == {(i, j): (pytest.approx(want[x, y], abs=2e-9), i % 6 == j % 6, 0.5) for x, i in enumerate(left) for y, j in enumerate(left)} and rows.count() == len(left) ** 2
     order = rows.select("score").mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([bool((np.diff(b.column(0).to_numpy()) >= 0).all())])], ["ordered"]) for b in batches), "ordered boolean").collect()
     assert order and all(r.ordered for r in order)
+
+
+def halfway_items():
+    """48 vectors of 64 components; those of 2k and 2k + 1 have a cosine that is halfway between two numbers of nine digits, or a last bit beside it."""
+    import numpy as np
+
+    rng = np.random.default_rng(11)
+    a, b = rng.normal(size=(2, 24, 64))
+    a /= np.linalg.norm(a, axis=1)[:, None]
+    b -= (b * a).sum(axis=1)[:, None] * a
+    b /= np.linalg.norm(b, axis=1)[:, None]
+    near = (rng.integers(-900_000_000, 900_000_000, 24) + 0.5) / 1e9
+    near[0] = 0.5 * 1e-9
+    b = near[:, None] * a + np.sqrt(1 - near**2)[:, None] * b
+    return np.stack([a, b * 3], axis=1).reshape(48, 64)
+
+
+@pytest.fixture(scope="module")
+def halfway_pairs():
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql("CREATE TABLE items (item_id BIGINT, persona_id INT, emb DOUBLE[])")
+    con.executemany("INSERT INTO items VALUES (?, ?, ?)", [(k, k % 5, e.tolist()) for k, e in enumerate(halfway_items())])
+    con.sql("CREATE TABLE pairs AS SELECT a.item_id AS i, b.item_id AS j, round(list_cosine_similarity(a.emb, b.emb), 9) AS score, a.persona_id = b.persona_id AS is_genuine FROM items a JOIN items b ON a.item_id < b.item_id")
+    return con
+
+
+def test_scores_halfway_are_rounded_as_by_the_sql(spark, halfway_pairs):
+    import numpy as np
+
+    from vectrail import oracles
+
+    emb = halfway_items()
+    want = {(i, j): s for i, j, s, _ in halfway_pairs.sql("FROM pairs").fetchall()}
+    got = v.blocks.cosines(emb, emb)
+    assert {p: got[p] for p in want} == want and (got == got.T).all()
+    assert any(np.round(emb[i] @ emb[j] / np.sqrt((emb[i] @ emb[i]) * (emb[j] @ emb[j])), 9) != s for (i, j), s in want.items())
+
+    scored = v.all_pairs(items(spark, [(k, k % 5, e.tolist()) for k, e in enumerate(emb)]))
+    assert {(r.i, r.j): r.score for r in scored.rows().collect()} == want
+    points = sorted(halfway_pairs.sql(f"WITH {oracles.curve('pairs')} FROM points").fetchall())
+    assert sorted(map(tuple, scored.points().collect())) == points
+    assert sorted((r.score, r.gen, r.imp) for r in scored.counts().collect()) == sorted(halfway_pairs.sql("SELECT score, count(*) FILTER (is_genuine), count(*) FILTER (NOT is_genuine) FROM pairs GROUP BY score").fetchall())
+
+
+def test_cuts_at_scores_halfway(halfway_pairs):
+    import numpy as np
+
+    emb, ids = halfway_items(), np.arange(48)
+    side = {"item_id": ids, "persona_id": ids % 5, "unit": v.blocks.unit(emb), "emb": emb}
+    cuts = [s for i, j, s, _ in halfway_pairs.sql("FROM pairs ORDER BY i").fetchall() if j == i + 1 and i % 2 == 0]
+    for below, counted in ((True, "i < j"), (False, "true")):
+        got = v._reaching(side, side, below, [v._at_least(t) for t in cuts])
+        every = halfway_pairs.sql("SELECT * FROM pairs UNION ALL SELECT j, i, score, is_genuine FROM pairs UNION ALL SELECT item_id, item_id, 1, true FROM items").filter(counted).fetchnumpy()
+        want = [[int((every["score"][kind] >= t).sum()) for t in (*cuts, -2)] for kind in (every["is_genuine"].astype(bool), slice(None))]
+        assert got.tolist() == want

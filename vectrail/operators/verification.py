@@ -347,25 +347,32 @@ PLACES, FINE_BITS = 10**blocks.DIGITS, 17
 COARSE = (2 * PLACES >> FINE_BITS) + 1
 #: What the counters of a task's range of scores may take.
 RANGE_BYTES = 192 << 20
-#: Scores that are counted at once, so that what is made of them stays in the cache; the place of the items that meet themselves.
-CHUNK, OWN = 1 << 16, -1_000_000
+#: Scores that are counted at once; the place of the items that meet themselves.
+CHUNK, OWN = blocks.CHUNK, -1_000_000
 #: Counters take scores as bins of the histogram, before they are rounded to a place; MIDDLE is the score 0, and half a place for rounding.
 SCALE, MIDDLE = PLACES / (1 << FINE_BITS), (PLACES + 0.5) / (1 << FINE_BITS)
 
 
+def _vectors(side: dict) -> np.ndarray:
+    """The vectors as they came, where they are there."""
+    return side.get("emb", side["unit"])
+
+
 def _slabs(q: dict, c: dict, below: bool):
     """(first row, scores times SCALE, genuine) of a few rows of q against c at a time, flat; genuine(at) tells which of the pairs at these places are.
 
-    The scores are overwritten by the next ones. Scores that are no number have place 0.
+    The scores are overwritten by the next ones. Scores that are no number have place 0. Those halfway between places are set to their own.
     """
     a, b, p, r = q["unit"] * SCALE, c["unit"], q["persona_id"], c["persona_id"]
     odd = not (np.isfinite(a).all() and np.isfinite(b).all())
+    left, right = _vectors(q), _vectors(c)
     rows = max(1, CHUNK // len(b))
-    held = np.empty((min(rows, len(a)), len(b)))  # memory that is given back and taken again costs more than the product
+    held, *spare = np.empty((3, min(rows, len(a)), len(b)))  # memory that is given back and taken again costs more than the product
     for s in range(0, len(a), rows):
         x = np.matmul(a[s : s + rows], b.T, out=held[: len(a[s : s + rows])])
         if odd:
             x[np.isnan(x)] = -SCALE
+        blocks.settle(x, 1 << FINE_BITS, left[s : s + rows], right, spare)
         if below:
             i, j = np.nonzero(q["item_id"][s : s + rows, None] < c["item_id"][None, :])
             yield s, x[i, j], lambda at, i=i, j=j: p[s + i[at]] == r[j[at]]  # noqa: B023
@@ -400,6 +407,8 @@ def _reaching(q: dict, c: dict, below: bool, reached: list[float]) -> np.ndarray
                 i, j = np.divmod(at[unsure], len(b))
                 few = len(i) < len(x) // 16
                 exact = np.einsum("ij,ij->i", a[s + i] * SCALE, b[j]) if few else ((a[s : s + rows] * SCALE) @ b.T)[i, j]
+                own = blocks.halfway(exact * (1 << FINE_BITS), a.shape[1])
+                exact[own] = blocks.digits(_vectors(q)[s + i[own]], _vectors(c)[j[own]]) / (1 << FINE_BITS)
                 passed = np.ones(len(at), bool)
                 passed[unsure] = exact >= least
                 at = at[passed]
@@ -564,6 +573,7 @@ def _runs(unordered: bool):
     def add(keys, q, c, below, own):
         scores = q["unit"] @ c["unit"].T
         scores *= PLACES
+        blocks.settle(scores, 1, _vectors(q), _vectors(c))
         np.rint(scores, out=scores)
         if scores.size and not LESS < scores.min() <= scores.max() < INF:
             odd = [(test(scores), code) for test, code in ((np.isnan, NAN), (np.isposinf, INF), (np.isneginf, LESS))]
