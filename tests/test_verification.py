@@ -359,6 +359,7 @@ def test_scores_halfway_are_rounded_as_by_the_sql(spark, halfway_pairs):
     import numpy as np
 
     from vectrail import oracles
+    from vectrail.sources import results
 
     emb = halfway_items()
     want = {(i, j): s for i, j, s, _ in halfway_pairs.sql("FROM pairs").fetchall()}
@@ -370,6 +371,7 @@ def test_scores_halfway_are_rounded_as_by_the_sql(spark, halfway_pairs):
     assert {(r.i, r.j): r.score for r in scored.rows().collect()} == want
     points = sorted(halfway_pairs.sql(f"WITH {oracles.curve('pairs')} FROM points").fetchall())
     assert sorted(map(tuple, scored.points().collect())) == points
+    assert sorted(map(tuple, results.plot_ready(scored, 0.01).collect())) == [(t, max(m, 0.01), max(n, 0.01)) for t, m, n in points]
     assert sorted((r.score, r.gen, r.imp) for r in scored.counts().collect()) == sorted(halfway_pairs.sql("SELECT score, count(*) FILTER (is_genuine), count(*) FILTER (NOT is_genuine) FROM pairs GROUP BY score").fetchall())
 
 
